@@ -276,7 +276,7 @@ def _regions_by_leaf(pts: DataFrame, tris: DataFrame, slice_rows: int) -> DataFr
     p = pl.join(counts, "leaf").withColumn("ps", pick("np", "point_id")).withColumn("ts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nt") - 1)))
     t = tl.join(counts, "leaf").withColumn("ts", pick("nt", "region_id", "ax", "ay", "bx", "by")).withColumn("ps", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("np") - 1)))
 
-    def work(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         tree = Hierarchy(b[["ax", "ay", "bx", "by", "cx", "cy", "t1", "t2"]].to_numpy(), b["region_id"].to_numpy())
         row, region = tree.locate(a[["t", "x", "y"]].to_numpy())
         return pd.DataFrame({"region_id": region.astype("int64"), "point_id": a["point_id"].to_numpy()[row]})
