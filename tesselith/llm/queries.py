@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselith.llm import bisection, mixture, packing, reservoir, tokens
+from tesselith.llm import bisection, mixture, packing, pagespam, reservoir, tokens
 from tesselith.session import cut
 from tesselith.sources.tables import table
 
@@ -61,7 +61,15 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return _mixed(spark, base)[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_summaries, p3_merged, p5_sample, p6_packed, p6_fill, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return pagespam.page_shapes(table(spark, base, "documents")).where("flagged").select("doc_id")
+
+
+def p8_pages(spark: SparkSession, base: str) -> DataFrame:
+    return pagespam.page_shapes(table(spark, base, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_summaries, p3_merged, p5_sample, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_pages)}
 
 ORACLES = {
     "p3_percentiles": f"""
