@@ -1,0 +1,182 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tesselith.model import LOWS, Boundary, Box
+from tesselith.operators import grid as grids
+from tesselith.operators import stats
+from tesselith.operators.grid import Grid
+from tesselith.operators.range_query import range_query
+from tesselith.sources import index, text
+
+CUBE = Box(0, 0, 0, 10, 10, 10)
+NAMES = [f"{a}{i}" for i in "12" for a in "txy"]
+SCHEMA = "id bigint, " + ", ".join(f"{n} double" for n in NAMES)
+
+
+def points(spark, n=400, seed=1):
+    rng = random.Random(seed)
+    rows = [(i, float(rng.randrange(11)), rng.uniform(0, 10), rng.uniform(0, 10)) for i in range(n)]
+    rows += [(n, 0.0, 0.0, 0.0), (n + 1, 10.0, 10.0, 10.0), (n + 2, None, 1.0, 1.0), (n + 3, math.nan, 1.0, 1.0), (0, *rows[0][1:])]
+    return spark.createDataFrame(rows, "id bigint, t double, x double, y double").withColumn("kind", F.col("id") % 3)
+
+
+def boxes(spark, n=150, seed=2):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        low = [float(rng.randrange(10)) for _ in range(3)]
+        rows.append((i, *low, *(v + rng.choice([0, 0.5, 1, 2, 5]) for v in low)))
+    rows += [(n, 4.0, 4.0, 4.0, 6.0, 6.0, 6.0), (n + 1, 5.0, 5.0, 5.0, 1.0, 6.0, 6.0), (n + 2, 1.0, None, 1.0, 2.0, 2.0, 2.0)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def key(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_fit_splits_time_too():
+    g = Grid.fit(Box(0, 0, 0, 100, 10, 10), 8)
+    assert g.counts == (8, 1, 1) and Grid.fit(CUBE, 8).size >= 8 and Grid.fit(CUBE, 1).counts == (1, 1, 1)
+    assert Grid.fit(Box(0, 0, 0, 100, 10, 10), 8, (0.1, 1, 1)).counts != (8, 1, 1)
+    assert grids.num_partitions(1000, 100) == 12 and grids.num_partitions(0, 100) == 1
+    with pytest.raises(ValueError):
+        Grid(CUBE, 0, 1, 1)
+
+
+def test_cell_numbers(spark):
+    g = Grid(CUBE, 2, 3, 4)
+    seen = {}
+    for r in g.cells(spark).collect():
+        lay, col, row = g.place(r["cell_id"])
+        assert g.cell_id(lay, col, row) == r["cell_id"] and tuple(r)[1:] == pytest.approx((*g.cell(r["cell_id"]).low, *g.cell(r["cell_id"]).high))
+        seen[r["cell_id"]] = 1
+    assert sorted(seen) == list(range(1, 25)) and g.cell(24).high == CUBE.high
+    with pytest.raises(ValueError):
+        g.place(25)
+    assert g.cell_range(Box(5, 5, 5, 10, 10, 10)) == ((1, 1, 2), (1, 2, 3)) and g.cell_range(Box(-9, 0, 0, -8, 5, 5))[1][0] == 0
+
+
+def test_points_and_boxes_in_cells(spark):
+    g = Grid(CUBE, 2, 2, 2)
+    rows = points(spark)
+    cells = {r["id"]: r["cell_id"] for r in grids.assign_cells(rows, g).collect()}
+    assert cells[400] == 1 and cells[401] == 8 and cells[402] is None and cells[403] is None
+    for r in rows.where("t is not null and not isnan(t)").collect():
+        low, high = g.cell(cells[r["id"]]).low, g.cell(cells[r["id"]]).high
+        assert all(l <= v < h or (v == h == 10) for l, v, h in zip(low, (r["t"], r["x"], r["y"]), high))
+    many = boxes(spark)
+    got = {}
+    for r in grids.assign_cells(many, g, replicate=True).collect():
+        got.setdefault(r["id"], []).append(r["cell_id"])
+    assert sorted(got[150]) == list(range(1, 9)) and got[152] == [None]
+    best = {r["id"]: r["cell_id"] for r in grids.assign_cells(many, g).collect()}
+    for r in many.where("id < 150").collect():
+        b = Box(*[r[n] for n in NAMES])
+        over = {c: g.cell(c).intersection(b) for c in range(1, 9)}
+        want = [c for c, x in over.items() if x]
+        if min(b.extents) > 0:
+            assert sorted(got[r["id"]]) == want
+            size = {c: math.prod(over[c].extents) for c in want}
+            assert size[best[r["id"]]] == pytest.approx(max(size.values()))
+        assert len(got[r["id"]]) >= 1
+    assert grids.grid_histogram(rows, g).agg(F.sum("cnt")).first()[0] == 403
+    assert Grid(Box(0, 0, 0, 0, 10, 10), 3, 2, 2).widths[0] == 0 and grids.grid_histogram(rows, Grid(Box(0, 0, 0, 0, 10, 10), 3, 2, 2)).count() == 4
+
+
+def test_str_cells_are_even_and_tile_space(spark):
+    df = points(spark, 2000)
+    cells = grids.str_cells(df, (2, 3, 4)).collect()
+    n = {c["cell_id"]: 0 for c in cells}
+    for r in df.where("t is not null and not isnan(t)").collect():
+        own = [c["cell_id"] for c in cells if all(c[f"{a}1"] <= r[a] < c[f"{a}2"] for a in "txy")]
+        assert len(own) == 1
+        n[own[0]] += 1
+    assert len(cells) == 24 and max(n.values()) < 2.2 * min(n.values())
+    assert grids.str_cells(df.where("false"), (2, 2, 2)).count() == 1
+    same = spark.range(50).selectExpr("1D t", "2D x", "3D y")
+    assert grids.str_cells(same, (2, 2, 2)).count() <= 8
+
+
+QUERIES = [Box(1, 2, 3, 6, 7, 8), Box(-5, -5, -5, 50, 50, 50), Box(5, 5, 5, 10, 10, 10), Box(0, 0, 0, 5, 5, 5), Box(20, 20, 20, 30, 30, 30), Box(4.9, 4.9, 4.9, 5.1, 5.1, 5.1)]
+
+
+@pytest.mark.parametrize("kind", ["grid", "rtree", "r+tree"])
+def test_indexed_and_plain_points_agree(spark, tmp_path, kind):
+    df = points(spark)
+    made = index.build_index(df, str(tmp_path / "i"), kind, Grid(CUBE, 2, 2, 2) if kind == "grid" else None, counts=(2, 2, 2), file_rows=30)
+    assert made.count() == 403 and made.mbr() == CUBE and made.kind == kind
+    for q in QUERIES:
+        for rule in Boundary:
+            assert key(made.range_query(q, boundary=rule).select("id", "t", "x", "y", "kind")) == key(range_query(df, q, boundary=rule).select("id", "t", "x", "y", "kind"))
+    assert key(made.range_query(QUERIES[0], "distribution", "kind")) == key(range_query(df, QUERIES[0], "distribution", "kind"))
+    again = index.read_index(spark, str(tmp_path / "i"))
+    assert again.grid == made.grid and index.is_index(spark, str(tmp_path / "i")) and not index.is_index(spark, str(tmp_path))
+    assert again.cells().count() == again.catalog.count() <= 8
+
+
+@pytest.mark.parametrize("kind", ["grid", "rtree", "r+tree"])
+def test_indexed_and_plain_boxes_agree(spark, tmp_path, kind):
+    df = boxes(spark)
+    made = index.build_index(df, str(tmp_path / "i"), kind, Grid(CUBE, 2, 2, 2) if kind == "grid" else None, counts=(2, 2, 2))
+    assert made.replicated == (kind != "rtree") and (made.count() > 151) == made.replicated
+    upright = df.where("t1 <= t2")
+    for q in QUERIES:
+        assert key(made.range_query(q).select("id", *NAMES)) == key(range_query(upright, q).select("id", *NAMES))
+    assert made.mbr() == stats.mbr_box(upright.where("x1 is not null"))
+
+
+def test_pruning(spark, tmp_path):
+    made = index.build_index(points(spark), str(tmp_path / "i"), "grid", Grid(CUBE, 1, 4, 4))
+    got = made.range_query(Box(0, 0.1, 0.1, 10, 2, 2))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "cell_id" in plan.split("PartitionFilters")[1].split("]")[0] and "GreaterThan(t,0.0)" in plan
+    assert got.select(F.input_file_name()).distinct().count() == 1 < made.stored.select(F.input_file_name()).distinct().count()
+    assert index.prune(made.catalog, Box(0, 0.1, 0.1, 10, 2, 2)).count() == 1
+    assert index.prune_by(made.catalog, lambda c: c.where("n > 0")).count() == made.catalog.count()
+
+
+def test_degenerate_content_is_in_the_catalogue(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.0, 1.0, 1.0), (2, 5.0, 9.0, 9.0), (3, 5.0, 8.0, 9.0)], "id bigint, t double, x double, y double")
+    for kind in ("grid", "r+tree"):
+        made = index.build_index(df, str(tmp_path / kind), kind, Grid(CUBE, 2, 2, 2) if kind == "grid" else None, counts=(1, 2, 2))
+        assert made.count() == 3 and sorted(r["id"] for r in made.range_query(CUBE).collect()) == [1, 2, 3]
+
+
+def test_overwrite_guard_cell_reuse_and_empty(spark, tmp_path):
+    path, df = str(tmp_path / "i"), points(spark)
+    first = index.build_index(df.withColumn("cell_id", F.lit(9)), path, "rtree", counts=(1, 2, 2))
+    assert "src_cell_id" in first.stored.columns
+    with pytest.raises(FileExistsError):
+        index.build_index(df, path)
+    second = index.build_index(points(spark, 50, 9), path, "grid", Grid(CUBE, 1, 2, 2), mode="overwrite")
+    assert second.count() == 53
+    other = index.build_index(points(spark, 60, 3), str(tmp_path / "j"), "r+tree", cells=grids.str_cells(df, (1, 2, 2)))
+    pairs = index.catalog_join(second.catalog, other.catalog)
+    want = sum(Box(*a).overlaps(Box(*b)) for a in second.catalog.select(*NAMES).collect() for b in other.catalog.select(*NAMES).collect())
+    assert pairs.count() == want > 0
+    none = index.build_index(df.where("false"), str(tmp_path / "k"), "grid", Grid(CUBE, 1, 2, 2))
+    assert none.count() == 0 and none.mbr() is None and none.range_query(CUBE).count() == 0
+    for bad in ({"kind": "quad"}, {"mode": "append"}):
+        with pytest.raises(ValueError):
+            index.build_index(df, str(tmp_path / "z"), **bad)
+    with pytest.raises(FileNotFoundError):
+        index.read_index(spark, str(tmp_path / "nothing"))
+
+
+def test_hot_cell_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "1D t", "if(id % 3 = 0, 9D, 1D + id / 10000) x", "1D y")
+    made = index.build_index(df, str(tmp_path / "i"), "grid", Grid(CUBE, 1, 2, 2), file_rows=500)
+    assert made.count() == 5000 and len(made.stored.inputFiles()) >= 8
+    assert max(r["count"] for r in made.stored.groupBy(F.input_file_name()).count().collect()) <= 500
+
+
+def test_legacy_catalogue_round_trip(spark, tmp_path):
+    made = index.build_index(points(spark), str(tmp_path / "i"), "grid", Grid(CUBE, 1, 2, 2))
+    path = text.write_master(spark, made, str(tmp_path))
+    kind, rows = text.read_master(spark, path)
+    assert kind == "grid" and sorted(map(tuple, rows.select(*LOWS, "filename").collect())) == sorted(map(tuple, made.show().select(*LOWS, "path").collect()))
+    with pytest.raises(ValueError):
+        text.read_master(spark, str(tmp_path / "_master.quad"))
