@@ -9,14 +9,20 @@ reported in the one that holds the low corner of the common part.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselith.functions import geometry as G
 from tesselith.model import AXES, Boundary
 from tesselith.operators import stats
+from tesselith.session import cut, small_or_none
 
+#: Points of the left side that are compared with all of the right one in a pass.
+BLOCK = 2_000
 #: Levels beyond which no box goes: doubles end there.
 MAX_LEVEL = 2100
 
@@ -125,44 +131,81 @@ def knn(df: DataFrame, point: tuple[float, float, float], k: int, ids: str, scal
     return good.withColumn("dist", dist).orderBy("dist", f"`{ids}`").limit(k)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, max_rounds: int = 80) -> DataFrame:
+def _scan_block(rows: list, right: DataFrame, k: int) -> DataFrame:
+    """k nearest of right for a block of left points: each task keeps k candidates per point, which are then merged."""
+    ids, at = np.array([r[0] for r in rows], dtype="int64"), np.array([r[1:4] for r in rows], dtype=float)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dist = np.full((len(ids), k), np.inf)
+        who = np.full((len(ids), k), np.iinfo("int64").max)
+        for pdf in batches:
+            for start in range(0, len(pdf), 1000):
+                part = pdf.iloc[start : start + 1000]
+                own, p = part["id"].to_numpy("int64"), part[["t", "x", "y"]].to_numpy(float)
+                dt, dx, dy = (at[:, i, None] - p[None, :, i] for i in range(3))
+                d = np.sqrt(dt * dt + dx * dx + dy * dy)
+                for i in np.flatnonzero(d.min(1) <= dist[:, -1]):
+                    good = np.flatnonzero(d[i] <= dist[i, -1])
+                    all_d, all_w = np.concatenate([dist[i], d[i, good]]), np.concatenate([who[i], own[good]])
+                    first = np.lexsort((all_w, all_d))[:k]
+                    dist[i], who[i] = all_d[first], all_w[first]
+        found = np.isfinite(dist)
+        yield pd.DataFrame({"left_id": np.repeat(ids, found.sum(1)), "right_id": who[found], "dist": dist[found]})
+
+    return right.mapInPandas(best, "left_id bigint, right_id bigint, dist double")
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK, max_rounds: int = 60) -> DataFrame:
     """(left_id, right_id, dist, rank): for each point of left (id, t, x, y) its k nearest of right (id, t, x, y), ties by id.
 
-    In rounds of doubling radius: the points of left that still lack k neighbours within the radius meet those of
-    right in cells as wide as it. Repeated rows count once; points without id or location take no part; a left point
-    has fewer neighbours only if right has fewer points. The first radius is that of k points at even density.
+    In rounds of doubling radius, the points of left that still lack k neighbours within the radius meet those of
+    right in cells as wide as it. Once at most ``block`` of them are left, which is at the start if left is small,
+    they are compared with all of right in one pass (those still left after all rounds, far from everything, in as many
+    passes as they are blocks). Repeated rows count once; points without id or location take no part; an id of left with
+    two locations has the nearest of both, an id of right with two can come twice. A left point has fewer neighbours only if right has fewer
+    points. The first radius is that of k points at even density.
     """
-    from tesselith.session import cut
-
     if k < 1:
         raise ValueError("k is at least 1")
+    spark, columns = left.sparkSession, ["left_id", "right_id", "dist", "rank"]
     clean = lambda d: d.select(F.col("id").cast("bigint").alias("id"), *[F.col(a).cast("double").alias(a) for a in AXES]).where(_known(list(AXES)) & F.col("id").isNotNull()).distinct()
     left, right = clean(left), clean(right)
-    n, around = right.count(), stats.mbr_box(right.unionByName(left))
-    if n == 0 or around is None:
-        return left.sparkSession.createDataFrame([], "left_id bigint, right_id bigint, dist double, rank int")
-    far = math.sqrt(sum(e * e for e in around.extents))
-    used = [max(e, far * 1e-9, 1e-300) for e in around.extents]
-    radius = max((used[0] * used[1] * used[2] * k / n) ** (1 / 3), far * 1e-9, 1e-300)
-    done, todo = None, cut(left)
-    columns = ["left_id", "right_id", "dist", "rank"]
-    for _ in range(max_rounds):
-        last = radius > far
-        cell = lambda a, d, r=radius: F.floor((F.col(a) + F.lit(d)) / F.lit(r))
-        l = todo.select(F.col("id").alias("left_id"), *[F.col(a).alias(f"l_{a}") for a in AXES], *[F.explode(F.sequence(cell("t", -radius), cell("t", radius))).alias("ct")])
-        for a in ("x", "y"):
-            l = l.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"l_{a}") - radius) / radius), F.floor((F.col(f"l_{a}") + radius) / radius))))
-        r = right.select(F.col("id").alias("right_id"), *[F.col(a).alias(f"r_{a}") for a in AXES], *[cell(a, 0.0).alias(f"c{a}") for a in AXES])
-        met = l.join(r, ["ct", "cx", "cy"]).withColumn("dist", G.dist_pp("l_", "r_")).where(F.col("dist") <= radius)
-        order = Window.partitionBy("left_id").orderBy("dist", "right_id")
-        top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*columns)
-        top = cut(top.withColumn("rank", F.col("rank").cast("int")))
-        full = top if last else top.join(top.where(F.col("rank") == k).select("left_id"), "left_id", "left_semi")
-        done = full if done is None else done.unionByName(full)
-        if last:
-            break
-        todo = cut(todo.join(full.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti"))
-        if todo.isEmpty():
-            break
-        radius *= 2
-    return done.select(*columns)
+    order = Window.partitionBy("left_id").orderBy("dist", "right_id")
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select(*columns)
+    done, todo = [], cut(left)
+    rows = small_or_none(todo, block)
+    if rows is None:
+        n, around = right.count(), stats.mbr_box(right.unionByName(left))
+        far = math.sqrt(sum(e * e for e in around.extents))
+        sides = [max(e, far * 1e-9, 1e-300) for e in around.extents]
+        radius = max((sides[0] * sides[1] * sides[2] * k / max(1, n)) ** (1 / 3), far * 1e-9, 1e-300)
+        for _ in range(max_rounds):
+            if radius > far or rows is not None:
+                break
+            cell = lambda c, d, r=radius: F.floor((F.col(c) + F.lit(d)) / F.lit(r))
+            l = todo.select(F.col("id").alias("left_id"), *[F.col(a).alias(f"l_{a}") for a in AXES])
+            for a in AXES:
+                l = l.withColumn(f"c{a}", F.explode(F.sequence(cell(f"l_{a}", -radius), cell(f"l_{a}", radius))))
+            r = right.select(F.col("id").alias("right_id"), *[F.col(a).alias(f"r_{a}") for a in AXES], *[cell(a, 0.0).alias(f"c{a}") for a in AXES])
+            met = l.join(r, ["ct", "cx", "cy"]).withColumn("dist", G.dist_pp("l_", "r_")).where(F.col("dist") <= radius)
+            top = cut(ranked(met.select("left_id", "right_id", "dist")))
+            full = top.join(top.where(F.col("rank") == k).select("left_id"), "left_id", "left_semi").select(*columns)
+            done.append(full)
+            todo = cut(todo.join(full.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti"))
+            rows = small_or_none(todo, block)
+            radius *= 2
+    if rows is not None:
+        if rows:
+            done.append(ranked(_scan_block(rows, right, k)))
+    else:
+        blocks = -(-todo.count() // block) * 2
+        for b in range(blocks):
+            rows = todo.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about half a block
+            if rows:
+                done.append(ranked(_scan_block(rows, right, k)))
+    if not done:
+        return spark.createDataFrame([], "left_id bigint, right_id bigint, dist double, rank int")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out

@@ -81,8 +81,8 @@ def test_knn(spark):
     assert [(r["id"], r["dist"]) for r in J.knn(b, (0, 0, 0), 2, "id").collect()] == [(2, math.sqrt(3)), (1, 3.0)]
 
 
-@pytest.mark.parametrize("k", [1, 4, 50])
-def test_knn_join(spark, k):
+@pytest.mark.parametrize(("k", "block", "rounds"), [(1, 1000, 60), (4, 2, 60), (4, 2, 3), (50, 1000, 60), (50, 4, 2)])
+def test_knn_join(spark, k, block, rounds):
     rng = random.Random(8)
     left = [(i, *(rng.uniform(0, 10) for _ in range(3))) for i in range(12)] + [(77, None, 1.0, 1.0), (78, 500.0, 500.0, 500.0)]
     right = [(i, *(rng.choice([rng.uniform(0, 10), 5.0]) for _ in range(3))) for i in range(40)] + [(99, math.nan, 1.0, 1.0)]
@@ -92,7 +92,9 @@ def test_knn_join(spark, k):
             near = sorted((math.dist(p, q), j) for j, *q in right if not math.isnan(q[0]))[:k]
             want |= {(i, n): j for n, (_, j) in enumerate(near, 1)}
     s = "id bigint, t double, x double, y double"
-    got = J.knn_join(spark.createDataFrame(left, s), spark.createDataFrame(right + right[:5], s), k).collect()
+    got = J.knn_join(spark.createDataFrame(left, s), spark.createDataFrame(right + right[:5], s), k, block, rounds).collect()
     assert {(r["left_id"], r["rank"]): r["right_id"] for r in got} == want and len(got) == len(want)
     none = spark.createDataFrame([], s)
+    with pytest.raises(ValueError):
+        J.knn_join(none, none, 0)
     assert J.knn_join(none, spark.createDataFrame(right, s), k).count() == 0 and J.knn_join(spark.createDataFrame(left, s), none, k).count() == 0
