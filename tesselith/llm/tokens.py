@@ -26,7 +26,9 @@ def tokenizer(vocabulary: str = VOCABULARY):
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Number of tokens of the whole text as bigint; null for null, 0 for an empty text."""
+    """Number of tokens of the whole text as bigint; null for null, 0 for an empty text.
+
+    Declared nondeterministic, so that a filter on the count isn't moved below it, which would count twice."""
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -34,7 +36,7 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
         for texts in batches:
             yield pd.Series([None if t is None else len(encode(t)) for t in texts], dtype="Int64")
 
-    return count(text)
+    return count.asNondeterministic()(text)
 
 
 def piece_of(text: str, start: int, end: int, vocabulary: str = VOCABULARY) -> str:
