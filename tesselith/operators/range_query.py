@@ -49,7 +49,8 @@ def range_query(df: DataFrame, box: Box, kind: Kind | str = Kind.GET, field: str
 def range_query_many(df: DataFrame, boxes: Sequence[Box], kind: Kind | str = Kind.GET, field: str | None = None, boundary: Boundary | str = Boundary.OPEN) -> DataFrame:
     """range_query for each of several literal boxes, told by range_id (from 0). Boxes that nothing is in have no row.
 
-    The rows in the bounding box of all are read once, and each row lists the boxes it is in; no join takes place."""
+    The rows in the bounding box of all are read once, and each row lists the boxes it is in; no join takes place. This
+    is for some dozens of boxes; a table of them goes through join.point_in_box_join or join.intersects_join."""
     boxes = list(boxes)
     usable = [b for b in boxes if b.valid()]
     if not usable:

@@ -181,6 +181,14 @@ def prune_by(catalog: DataFrame, wanted: Callable[[DataFrame], DataFrame]) -> Da
     return wanted(catalog)
 
 
+def prune_pairs(a: "Index", b: "Index", wanted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a_cell_id, b_cell_id) of the partitions of two indexes whose contents may hold overlapping rows, and that
+    ``wanted`` keeps of them."""
+    touch = lambda c: c.select("cell_id", *[F.col(f"m_{n}").alias(n) for n in LOWS], *[(F.col(f"m_{n}") + F.abs(F.col(f"m_{n}")) * 4e-16 + F.lit(5e-324)).alias(n) for n in HIGHS])
+    pairs = join.intersects_join(touch(a.catalog), touch(b.catalog)).select("a_cell_id", "b_cell_id")
+    return wanted(pairs) if wanted else pairs
+
+
 def catalog_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_cell_id, b_cell_id) of partitions whose boxes overlap openly."""
     cols = ["cell_id", *LOWS, *HIGHS]
@@ -261,6 +269,6 @@ class Index:
         rows = self.scan(box)
         if self.replicated:
             if self.grid is None:
-                rows = rows.join(F.broadcast(prune(self.catalog, box).select("cell_id", *[f"c_{c}" for c in (*LOWS, *HIGHS)]).limit(100_000)), "cell_id")
+                rows = rows.join(prune(self.catalog, box).select("cell_id", *[f"c_{c}" for c in (*LOWS, *HIGHS)]), "cell_id")
             rows = rows.where(self._reported(box)).drop(*[f"c_{c}" for c in (*LOWS, *HIGHS)])
         return range_query.range_query(rows.drop("cell_id"), box, kind, field, boundary)

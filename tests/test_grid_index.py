@@ -156,6 +156,9 @@ def test_overwrite_guard_cell_reuse_and_empty(spark, tmp_path):
     pairs = index.catalog_join(second.catalog, other.catalog)
     want = sum(Box(*a).overlaps(Box(*b)) for a in second.catalog.select(*NAMES).collect() for b in other.catalog.select(*NAMES).collect())
     assert pairs.count() == want > 0
+    close = {tuple(r) for r in index.prune_pairs(second, other).collect()}
+    near = {tuple(r) for r in index.prune_pairs(second, other, lambda p: p.where("a_cell_id = 1")).collect()}
+    assert {tuple(r) for r in pairs.collect()} >= close >= near and near
     none = index.build_index(df.where("false"), str(tmp_path / "k"), "grid", Grid(CUBE, 1, 2, 2))
     assert none.count() == 0 and none.mbr() is None and none.range_query(CUBE).count() == 0
     for bad in ({"kind": "quad"}, {"mode": "append"}):

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tesselith import cli
 from tesselith.model import BOX, DATAPOINT, POINT, Box
 from tesselith.operators import raster as R
 from tesselith.operators.grid import Grid
+from tesselith.sources import batches as B
 from tesselith.sources import text as T
 from tesselith.streaming import spatial as ST
 
@@ -81,6 +83,15 @@ def test_text_files(spark, tmp_path):
     assert [r[0] for r in m.select(T.text_of_map(F.col("m"))).collect()] == ["[a#1,b#2]", "[]", None]
 
 
+def test_batches(spark):
+    df = spark.range(1000, numPartitions=3).selectExpr("id", "repeat('x', 100) v")
+    sizes = lambda rows, nbytes: [r["n"] for r in B.map_batches(df, lambda b: pd.DataFrame({"n": [len(b)]}), "n bigint", rows, nbytes).collect()]
+    assert sum(sizes(100, 1 << 30)) == 1000 and max(sizes(100, 1 << 30)) == 100 and len(sizes(10_000, 1 << 30)) == 3
+    assert max(sizes(10, 1)) == 10 and B.map_batches(df.where("false"), lambda b: b[["id"]], "id bigint").count() == 0
+    with pytest.raises(ValueError):
+        B.map_batches(df, lambda b: b, "id bigint", 0)
+
+
 def test_command_line(spark, tmp_path, capsys):
     p = lambda name: str(tmp_path / name)
 
