@@ -41,7 +41,7 @@ def draw(df, k, seed, slots=40, **more):
 
 
 def test_every_record_is_as_likely(spark):
-    df, k, runs = points(spark, 400), 100, 40
+    df, k, runs = points(spark, 400), 100, 16
     hits = np.zeros(400)
     for seed in range(runs):
         ids = [r["rec_id"] for r in draw(df, k, seed).collect()]
