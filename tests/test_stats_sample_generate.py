@@ -65,10 +65,10 @@ def test_samples(spark):
 
 def test_every_row_is_as_likely(spark):
     df, hits = rows(spark, 200), [0] * 200
-    for seed in range(40):
+    for seed in range(16):
         for r in S.sample_count(df, 50, seed, ["id"]).collect():
             hits[r["id"]] += 1
-    assert sum((h - 10) ** 2 / 7.5 for h in hits) / 200 < 1.4
+    assert sum((h - 4) ** 2 / 3 for h in hits) / 200 < 1.4
 
 
 def test_sample_bytes(spark):
