@@ -72,6 +72,7 @@ def _cutoffs(sizes: DataFrame, want: dict[str, float]) -> dict[str, tuple[int, i
     second = crossing(rows.join(F.broadcast(first.withColumnRenamed("__below", "__base")), ["source", "__a"]), "__b", "__base")
     second = spark.createDataFrame(second.collect(), "source string, __b bigint, __below bigint")
     run = rows.join(F.broadcast(second), ["source", "__b"])  # the records of one of 16 million intervals of each source
+    run = run.groupBy("source", "__want", "__below", "u", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"))  # copies are one
     order = Window.partitionBy("source").orderBy("u", F.asc_nulls_first("doc_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = run.withColumn("__mid", F.col("__below") + F.sum("n_tokens").over(order) - F.col("n_tokens") / 2)
     last = run.where(F.col("__mid") <= F.col("__want")).groupBy("source").agg(F.max(F.struct("u", "doc_id")).alias("m")).collect()

@@ -146,8 +146,8 @@ def pack(sizes: DataFrame, containers: DataFrame, shards: int, groups: int = GRO
     """
     kinds = containers.where("capacity_tokens >= 1 and container_kind is not null").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity"))
     texts = sizes.where("n_tokens is not null").select("doc_id", F.col("n_tokens").cast("bigint"))
-    # Texts with the same id or none still go to several shards.
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(shards)))
+    # By row, not by id: copies of a text go to all shards, too.
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     few = kinds.limit(1001).collect()
     if len(few) > 1000:
         raise ValueError("more than 1000 kinds of containers")

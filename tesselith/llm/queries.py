@@ -49,7 +49,7 @@ def _mixed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, base, "source_targets")
     named = targets.where("source is not null").select("source").distinct()
     docs = table(spark, base, "documents").join(F.broadcast(named.limit(mixture.MAX_SOURCES)), "source", "left_semi")
-    sized = docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(SEED), F.col("doc_id")).alias("u"))
+    sized = docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(SEED), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("u"))
     return mixture.mix(cut(sized), targets)
 
 

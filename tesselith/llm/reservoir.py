@@ -85,7 +85,7 @@ def _candidates(df: DataFrame, batches: DataFrame, plan: Plan, sizes: Sequence[i
             rows.append((b, int(n), top, np.cumsum(plan.insert[b]).tolist(), plan.evict[b].tolist()))
         table = spark.createDataFrame(rows, "__b int, __enter bigint, __top bigint, __ins array<bigint>, __ev array<bigint>").where("__enter > 0")
         keyed = df.join(F.broadcast(batches), F.col("__piece").eqNullSafe(F.col("__p"))).drop("__p", "__piece")  # at most BATCHES rows
-        keyed = keyed.withColumn("__u", F.xxhash64(F.lit(seed), F.lit(salt), F.col(f"`{ids}`"))).join(F.broadcast(table), "__b").where("__u <= __top")
+        keyed = keyed.withColumn("__u", F.xxhash64(F.lit(seed), F.lit(salt), F.col(f"`{ids}`"), F.when(F.col(f"`{ids}`").isNull(), F.monotonically_increasing_id()))).join(F.broadcast(table), "__b").where("__u <= __top")
         keyed = cut(keyed.withColumn("__bucket", F.shiftright("__u", 44)))
         counts = keyed.groupBy("__b", "__bucket").agg(F.count(F.lit(1)).alias("__c"))
         have = {r["__b"]: r["n"] for r in counts.groupBy("__b").agg(F.sum("__c").alias("n")).collect()}

@@ -70,6 +70,14 @@ def test_fraction_is_taken_in_the_order_of_the_hash(spark):
     assert report.first()["capped"]
 
 
+def test_copies_hold_a_third(spark):
+    df = spark.range(900).selectExpr("if(id % 3 = 0, -1L, id) doc_id", "'a' source", "cast(1 + id % 7 as bigint) n_tokens").withColumn("u", F.xxhash64("doc_id"))
+    chosen, report = M.mix(df, spark.createDataFrame([("a", 1.0, 1)], SCHEMA), 2000.0)
+    rows = chosen.collect()
+    copies = sum(r["doc_id"] == -1 for r in rows)
+    assert copies in (0, 300) and report.first()["used_tokens"] == sum(r["n_tokens"] for r in rows)
+
+
 def test_seed_matters_and_empty(spark):
     targets = spark.createDataFrame([("big", 1.0, 1)], SCHEMA)
     a, b = ({r["doc_id"] for r in M.mix(sized(spark, s), targets, 20_000.0)[0].collect()} for s in (1, 2))
