@@ -245,7 +245,7 @@ def regions_of(points: DataFrame, regions: DataFrame, bound: int = BROADCAST_TRI
                 yield pd.DataFrame({"region_id": region.astype("int64"), "point_id": pdf["point_id"].to_numpy()[row]})
 
         return pts.mapInPandas(locate, "region_id bigint, point_id bigint").distinct()
-    return _regions_by_leaf(pts, tris, slice_rows).distinct()
+    return _regions_by_leaf(pts.distinct(), tris, slice_rows).distinct()
 
 
 def _regions_by_leaf(pts: DataFrame, tris: DataFrame, slice_rows: int) -> DataFrame:

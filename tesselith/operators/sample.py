@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LEVELS = (52, 40, 28)
+_LEVELS, _PORTION = (52, 40, 28), 100_000
 
 
 def _key(df: DataFrame, seed: int, ids: list[str] | None) -> Column:
@@ -27,7 +27,7 @@ def _prefix(df: DataFrame, key: Column, weight: Column, total: int) -> DataFrame
     """The rows with the least keys whose weights add up to no more than total, ties of the key by all columns.
 
     The end is found by sums over intervals of the key, each within the one before, so no task orders more than the
-    rows of one of 2 ** 36 intervals."""
+    different rows of one of 2 ** 36 intervals."""
     rows = df.withColumns({"__k": key, "__w": weight.cast("bigint")})
     below, inside = 0, rows
     for shift in _LEVELS:
@@ -40,9 +40,16 @@ def _prefix(df: DataFrame, key: Column, weight: Column, total: int) -> DataFrame
             return df  # it all fits; that shows at the first level
         below, edge, last = over[0]["__up"] - over[0]["__n"], over[0]["__p"], shift
         inside = inside.where(at == edge)
-    order = Window.partitionBy(F.lit(1)).orderBy("__k", *[F.col(f"`{c}`") for c in df.columns if dict(df.dtypes)[c] != "variant" and not dict(df.dtypes)[c].startswith("map")])
-    some = inside.withColumn("__s", F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, 0)) + below).where(F.col("__s") <= total).drop("__s")
-    return rows.where(F.col("__k") < (edge << last)).unionByName(some).drop("__k", "__w")
+    # Copies of a row are counted, not ordered, and what is taken of them is made again in portions.
+    names = [F.col(f"`{c}`") for c in df.columns]
+    order = Window.partitionBy(F.lit(1)).orderBy("__k", *names).rowsBetween(Window.unboundedPreceding, 0)
+    copies = inside.groupBy("__k", "__w", *names).agg(F.count(F.lit(1)).alias("__m"))
+    size = F.col("__m") * F.col("__w")
+    room = F.lit(total - below) - (F.sum(size).over(order) - size)
+    taken = copies.withColumn("__t", F.least(F.col("__m"), F.greatest(F.lit(0).cast("bigint"), F.floor(room / F.col("__w"))))).where("__t > 0")
+    portions = taken.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__t") - 1) / _PORTION)))).repartition("__k", "__c")
+    some = portions.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_PORTION).cast("bigint"), F.col("__t") - F.col("__c") * _PORTION))))
+    return rows.where(F.col("__k") < (edge << last)).select(*names).unionByName(some.select(*names))
 
 
 def sample_count(df: DataFrame, n: int, seed: int, ids: list[str] | None = None) -> DataFrame:

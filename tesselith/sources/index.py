@@ -123,7 +123,7 @@ def build_index(df: DataFrame, path: str, kind: str = "grid", grid: Grid | None
     parts = F.greatest(F.lit(1), F.ceil(F.col("__n") / file_rows)).cast("bigint")
     split = placed.join(F.broadcast(sizes.where(F.col("__n") > file_rows).select("cell_id", parts.alias("__parts")).limit(100_000)), "cell_id", "left")
     order = [F.col(n) for n in names[:3]]
-    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*names), F.col("__parts"))).otherwise(F.lit(0))
+    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("__parts"))).otherwise(F.lit(0))
     (split.withColumn("__s", salt).repartition("cell_id", "__s").sortWithinPartitions("cell_id", *order).drop("__s", "__parts")
      .write.partitionBy("cell_id").option("maxRecordsPerFile", file_rows).parquet(path))
     _write_catalog(spark, path, cell_table, kind, box)

@@ -57,6 +57,16 @@ def test_samples(spark):
     assert a != b and len(a & b) < 100
     same = spark.range(100).selectExpr("1 as a", "cast(null as string) b")
     assert S.sample_count(same, 30, 1).count() == 30 and S.sample_count(same.where("false"), 30, 1).count() == 0
+    hot = spark.range(1000).selectExpr("if(id % 3 = 0, -1L, id) id", "cast(null as string) v")
+    S._PORTION, before = 50, S._PORTION
+    try:
+        for n in (100, 400, 900):
+            got = [r["id"] for r in S.sample_count(hot, n, 3, ["id"]).collect()]
+            others = [i for i in got if i >= 0]
+            assert len(got) == n and len(others) == len(set(others)) and got.count(-1) <= 334
+        assert sum(len(r["v"]) + 1 for r in S.sample_bytes(hot.selectExpr("id", "'abc' v"), 1001, 3, F.col("v"), ["id"]).collect()) == 1000
+    finally:
+        S._PORTION = before
     with pytest.raises(ValueError):
         S.sample_ratio(df, 1.5, 1)
     with pytest.raises(ValueError):
