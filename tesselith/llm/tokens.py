@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,24 @@ def tokenizer(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space of a length that the library's own pattern can't take in one run.
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{10000,}")
+
+
+def tokens_of(enc, text: str) -> list[int]:
+    """Tokens of a text of any length. Long runs of white space are cut off first, where the pattern cuts too: before the
+    run, and before its last character if more text follows."""
+    if len(text) < 10_000 or not LONG_SPACE.search(text):
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Number of tokens of the whole text as bigint; null for null, 0 for an empty text.
 
@@ -32,9 +51,9 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = tokenizer(vocabulary).encode_ordinary
+        enc = tokenizer(vocabulary)
         for texts in batches:
-            yield pd.Series([None if t is None else len(encode(t)) for t in texts], dtype="Int64")
+            yield pd.Series([None if t is None else len(tokens_of(enc, t)) for t in texts], dtype="Int64")
 
     return count.asNondeterministic()(text)
 
@@ -42,7 +61,7 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
 def piece_of(text: str, start: int, end: int, vocabulary: str = VOCABULARY) -> str:
     """The tokens start..end - 1 of a text as text; a character cut by either end is in the piece that has its first byte."""
     enc = tokenizer(vocabulary)
-    ids = enc.encode_ordinary(text)
+    ids = tokens_of(enc, text)
     offsets = [0, *(len(enc.decode_bytes(ids[:k])) for k in (start, end))]
     data = text.encode()
     first = lambda at: next((i for i in range(at, len(data)) if data[i] & 0xC0 != 0x80), len(data))

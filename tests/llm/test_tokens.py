@@ -20,3 +20,14 @@ def test_pieces_join_to_the_text():
     for size in (1, 3, 50, n):
         pieces = [T.piece_of(text, a, min(n, a + size)) for a in range(0, n, size)]
         assert "".join(pieces) == text
+
+
+def test_long_white_space():
+    enc = T.tokenizer()
+    for space in (" ", "\n", "\t ", "\u3000", "\r\n"):
+        for n in (9_999, 10_000, 12_000):
+            for text in (space * n, "a" + space * n, space * n + "a", "a b" + space * n + "c, d" + space * n + "e", space * n + "." + space * 50 + "7"):
+                assert T.tokens_of(enc, text) == enc.encode_ordinary(text)
+    for text in (" " * 1_000_000, "a" + " " * 1_000_000 + "b", "x" * 1_000_000):
+        assert len(T.tokens_of(enc, text)) > 1000
+    assert T.piece_of("a" + " " * 20_000 + "b", 0, 10**6) == "a" + " " * 20_000 + "b"
