@@ -374,6 +374,14 @@ def knn_join(spark, base):
     return got.withColumn("dist", F.round("dist", 6))
 
 
+@query()
+def knn_join_datapoints(spark, base):
+    """Every datapoint whose id is divisible by 20 against all datapoints, itself included; too many pairs for SQL."""
+    points = table(spark, base, "datapoints").select("id", "t", "x", "y")
+    got = join.knn_join(points.where("id % 20 = 0"), points, 5)
+    return got.withColumn("dist", F.round("dist", 6))
+
+
 # --- order, samples, generators, pixels, text ---
 
 

@@ -1,8 +1,11 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from __spark_entry__ import queries
 from tesselith.model import Box
 from tesselith.operators import join as J
 
@@ -98,3 +101,21 @@ def test_knn_join(spark, k, block, rounds):
     with pytest.raises(ValueError):
         J.knn_join(none, none, 0)
     assert J.knn_join(none, spark.createDataFrame(right, s), k).count() == 0 and J.knn_join(spark.createDataFrame(left, s), none, k).count() == 0
+
+
+def test_knn_join_datapoints_takes_every_twentieth_point_by_rounds(spark, tmp_path, monkeypatch):
+    rng, n = np.random.default_rng(5), 42_000
+    at = np.column_stack([rng.uniform(1.7040e9, 1.7066e9, n), rng.uniform(-32768, 32768, n), rng.uniform(-24576, 24576, n)])
+    for low, high, x in ((0, n // 4, -20000), (n // 4, n // 2, 9000)):  # half of the points in two busy cells
+        at[low:high, 1], at[low:high, 2] = rng.uniform(x, x + 1024, high - low), rng.uniform(0, 1024, high - low)
+    pdf = pd.DataFrame({"id": rng.permutation(n), "t": at[:, 0], "x": at[:, 1], "y": at[:, 2]})
+    pd.concat([pdf, pdf.head(50)]).to_parquet(tmp_path / "datapoints.parquet", index=False)
+    scanned, scan = [], J._scan_block
+    monkeypatch.setattr(J, "_scan_block", lambda rows, *a: scanned.append(len(rows)) or scan(rows, *a))
+    got = {(r["left_id"], r["rank"]): r["right_id"] for r in queries()["knn_join_datapoints"](spark, str(tmp_path)).collect()}
+    want, ids = {}, pdf["id"].to_numpy()
+    for i in np.flatnonzero(ids % 20 == 0):
+        d = np.sqrt(((at - at[i]) ** 2).sum(1))
+        near = np.argpartition(d, 5)[:5]
+        want |= {(ids[i], r): ids[j] for r, j in enumerate(near[np.argsort(d[near])], 1)}
+    assert got == want and len(want) == n // 20 * 5 and sum(scanned) < n // 20
