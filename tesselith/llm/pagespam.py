@@ -34,7 +34,7 @@ ANCHOR = re.compile(r"</?(?:a|h[1-6]|li|ul|p|b|i|u|em|strong|td|tr|th|font|cente
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 APART = re.compile(r"(?<!\S)\w(?: \w(?!\S))(?: \w(?!\S))+")
 LEET = str.maketrans("@013457$", "aoieasts")
-DISGUISED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[@013457$])[^\W_@$]*(?:[@$0-9][^\W_]*)+(?!\S)")
+DISGUISED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[@013457$])(?:[^\W_]|[@$])++(?!\S)")  # possessive: linear in long tokens
 HASHTAG = re.compile(r"(?<!\S)#[^\W\d_]{3,}(?!\S)")
 LIST = re.compile(r"\s*(?:[^\W\d_]+:\s+)?[^_(){}=<>\[\]@;,，、|/]{2,40}(?:(?:[;,，、|]| / )[^_(){}=<>\[\]@;,，、|/]{2,40}){2,}[;,，、]?\s*")
 NUMBERS = re.compile(r"(?:^|[;,|/])\s*[\d.$-]+\s*(?:[;,|/]|$)|\d,[^\W\d]|[^\W\d],\d")

@@ -1,4 +1,7 @@
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -75,3 +78,11 @@ def test_against_the_raters(spark):
     found = S.page_shapes(spark.read.parquet(f"{base}/documents.parquet")).join(spark.read.parquet(f"{base}/spam_labels.parquet"), "doc_id").collect()
     right = sum(r["flagged"] == bool(r["spam_label"]) for r in found)
     assert right >= 0.95 * len(found)  # raters err, too
+
+
+def test_long_digit_tokens_take_no_time():
+    """In a process of its own: a pattern that tries every split of the digits would never come back."""
+    lines = [f"{token}{end} it broke the build" for token in ("7" * 33 + "abcdef0", "0123456789" * 6 + "abcd", "a1" * 50_000) for end in (",", "-", "_")]
+    code = f"import sys; from tesselith.llm import pagespam as P; lines = sys.stdin.read().split('\\n'); assert all(P.plain('Revert ' + l) == 'Revert ' + l for l in lines); assert all(P.page_shares('Revert ' + l)[0] for l in lines[:6])"
+    subprocess.run([sys.executable, "-c", code], input="\n".join(lines), text=True, check=True, timeout=20, cwd=Path(__file__).parents[2])
+    assert S.plain("v14gra c@sh 4b, x_1 2024") == "viagra cash 4b, x_1 2024"
