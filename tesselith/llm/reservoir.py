@@ -5,7 +5,8 @@ the number that enter is drawn hypergeometrically; it is split over the partitio
 that many of its records uniformly, and a uniform sample of the batch takes their place. After every batch all
 records seen so far are in the sample with the same probability.
 
-Random choices are functions of the seed and the record id, so a task that runs again chooses the same.
+Random choices are functions of the seed and the record id, with the row's position if the id is null or repeated, so a
+task that runs again chooses the same.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesselith.session import cut, shared_dir
+from tesselith.session import SMALL_ROWS, cut, shared_dir
 
 #: Slots of a partition, and batches and numbers (batches times partitions) that one plan may have.
 SLOTS, BATCHES, PLAN_CELLS = 50_000, 10_000, 2_000_000
@@ -70,12 +71,32 @@ def make_plan(sizes: Sequence[int], k: int, seed: int, caps: np.ndarray, seen: i
     return Plan(enter, evict, insert)
 
 
+def _told_apart(df: DataFrame, ids: str) -> DataFrame:
+    """df with __copy: the position of a row whose id is null or repeated, null for all others.
+
+    At most SMALL_ROWS ids can have more than their share of the rows; they are broadcast, so no group of copies is one task's."""
+    own = F.col(f"`{ids}`")
+    copies = cut(df.where(own.isNotNull()).groupBy(own.alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
+    found = copies.agg(F.count(F.lit(1)).alias("ids"), F.sum("__n").alias("rows")).first()
+    placed = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__copy", F.when(own.isNull(), F.col("__at")))
+    if found["ids"] <= SMALL_ROWS:
+        parts = [F.broadcast(copies)] if found["ids"] else []
+    else:
+        often = F.col("__n") > found["rows"] // SMALL_ROWS
+        parts = [F.broadcast(copies.where(often)), copies.where(~often)]
+    for part in parts:
+        open_ = F.coalesce(F.col("__copy") + 1, F.lit(0)) == F.col("__zero")  # spreads the rows that have a position already
+        placed = placed.join(part.withColumn("__zero", F.lit(0).cast("bigint")), (own == F.col("__id")) & open_, "left").withColumn("__copy", F.when(F.col("__n").isNotNull(), F.col("__at")).otherwise(F.col("__copy"))).drop("__id", "__n", "__zero")
+    return placed.drop("__at")
+
+
 def _candidates(df: DataFrame, batches: DataFrame, plan: Plan, sizes: Sequence[int], ids: str, seed: int, salt: int) -> DataFrame:
     """A uniform sample of plan.enter[b] records of each batch b, with __part and __evict: (df..., __b, __rank, __part, __evict).
 
     The records of a batch are ordered by a hash; only those below a bound that surely leaves enough are kept, and
     ranked by counts of hash intervals and the order within each interval."""
     spark = df.sparkSession
+    df = _told_apart(df, ids)
     slack = 6.0
     while True:
         rows = []
@@ -85,7 +106,7 @@ def _candidates(df: DataFrame, batches: DataFrame, plan: Plan, sizes: Sequence[i
             rows.append((b, int(n), top, np.cumsum(plan.insert[b]).tolist(), plan.evict[b].tolist()))
         table = spark.createDataFrame(rows, "__b int, __enter bigint, __top bigint, __ins array<bigint>, __ev array<bigint>").where("__enter > 0")
         keyed = df.join(F.broadcast(batches), F.col("__piece").eqNullSafe(F.col("__p"))).drop("__p", "__piece")  # at most BATCHES rows
-        keyed = keyed.withColumn("__u", F.xxhash64(F.lit(seed), F.lit(salt), F.col(f"`{ids}`"), F.when(F.col(f"`{ids}`").isNull(), F.monotonically_increasing_id()))).join(F.broadcast(table), "__b").where("__u <= __top")
+        keyed = keyed.withColumn("__u", F.xxhash64(F.lit(seed), F.lit(salt), F.col(f"`{ids}`"), F.col("__copy"))).drop("__copy").join(F.broadcast(table), "__b").where("__u <= __top")
         keyed = cut(keyed.withColumn("__bucket", F.shiftright("__u", 44)))
         counts = keyed.groupBy("__b", "__bucket").agg(F.count(F.lit(1)).alias("__c"))
         have = {r["__b"]: r["n"] for r in counts.groupBy("__b").agg(F.sum("__c").alias("n")).collect()}

@@ -87,3 +87,17 @@ def test_stream_of_batches(spark, tmp_path):
     assert res.state()["seen"] == 1000
     late = sum(i >= 400 for i in ids)
     assert abs(late - 72) < 25
+
+
+@pytest.mark.parametrize("small", [200_000, 2])
+def test_copies_are_drawn_one_by_one(spark, small, monkeypatch):
+    monkeypatch.setattr(R, "SMALL_ROWS", small)
+    # 333 rows have the id -1, 12 others three copies each
+    df = spark.range(1000).selectExpr("case when id % 3 = 2 then -1L when id < 54 then 5000 + id div 4.5 else id end rec_id", "id row", "1L piece_id", "timestamp_seconds(id) arrived_at")
+    df = df.selectExpr("cast(rec_id as bigint) rec_id", "row", "piece_id", "arrived_at")
+    many = []
+    for seed in range(5):
+        rows = R.reservoir_sample(df, 100, "piece_id", "arrived_at", "rec_id", ["rec_id", "row"], seed, 40).collect()
+        assert len({r["row"] for r in rows}) == len(rows) == 100
+        many.append(sum(r["rec_id"] == -1 for r in rows))
+    assert abs(np.mean(many) - 33.3) < 8 and 10 < min(many) <= max(many) < 57  # deviation of one draw: 4.5
