@@ -132,3 +132,12 @@ def test_boxes_and_bytes(spark):
         G.distribution("poisson")
     with pytest.raises(ValueError):
         G.generate(spark, 1, AREA, shape="tree")
+
+
+def test_approx_count_ends_early_only_within_the_error(spark):
+    uneven = spark.range(0, 64, numPartitions=64).selectExpr("explode(sequence(1, if(id % 8 = 0, 5000, 1))) v")
+    assert stats.approx_count_range(uneven, 0) == (8 * 5000 + 56,) * 3 and stats.approx_count(uneven, 0) == 8 * 5000 + 56
+    value, low, high = stats.approx_count_range(spark.range(0, 64_000, numPartitions=64).selectExpr("explode(sequence(1, 1 + id % 3)) v"), 0)
+    assert low <= 127_999 <= high and low <= value <= high < low * 1.011
+    assert stats.approx_count_range(spark.range(0, 9, numPartitions=64).where("id = 8"), 0) == (1, 1, 1)
+    assert stats.approx_count_range(spark.range(0), 0) == (0, 0, 0)
