@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselith.session import cut
+
 _LEVELS, _PORTION = (52, 40, 28), 100_000
 
 
@@ -80,3 +82,12 @@ def tail(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     if n < 0:
         raise ValueError("n must not be negative")
     return df.orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order]).limit(n)
+
+
+def ranked_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows of df with their rank from 1 in the given order (nulls first): sorted within ranges, each task one of them."""
+    ranges = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    up = F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))
+    before = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", up - F.col("__n")).drop("__n")  # a row a range
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranges.join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + within).drop("__part", "__before")

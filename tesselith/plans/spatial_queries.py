@@ -395,6 +395,11 @@ def shape_order(spark, base):
     return events(spark, base).orderBy(*G.shape_order()).limit(100).select("id", "t", "x", "y")
 
 
+@query(f"select id, t, x, y, row_number() over (order by t nulls first, x nulls first, y nulls first, id nulls first) as rank from {D}")
+def shape_order_all(spark, base):
+    return sample.ranked_order(events(spark, base), [*G.shape_order(), F.col("id")]).select("id", "t", "x", "y", "rank")
+
+
 @query()
 def sample_ratio(spark, base):
     return sample.sample_ratio(events(spark, base), 0.1, 7)

@@ -141,3 +141,11 @@ def test_approx_count_ends_early_only_within_the_error(spark):
     assert low <= 127_999 <= high and low <= value <= high < low * 1.011
     assert stats.approx_count_range(spark.range(0, 9, numPartitions=64).where("id = 8"), 0) == (1, 1, 1)
     assert stats.approx_count_range(spark.range(0), 0) == (0, 0, 0)
+
+
+def test_ranked_order_ranks_every_row(spark):
+    rows = [(i, float(i * 7919 % 13), float(i % 5), None if i % 50 == 0 else float(-i % 3)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id bigint, t double, x double, y double").repartition(5)
+    got = S.ranked_order(df, [F.col(c) for c in ("t", "x", "y", "id")]).orderBy("rank").collect()
+    want = sorted(rows, key=lambda r: (r[1], r[2], r[3] is not None, r[3] or 0.0, r[0]))
+    assert [tuple(r)[:4] for r in got] == want and [r["rank"] for r in got] == list(range(1, 1501))
