@@ -4,19 +4,23 @@ Regions are polygons in (x, y) with a time range. They are triangulated by ear c
 bounding-volume hierarchy; locations descend it in batches and are tested exactly against the triangles they reach.
 A location on an edge belongs to the triangle it would be in if moved by (+e, +e*e), e infinitely small, so exactly one
 of the triangles (and one of the regions) that share an edge holds it; for an upright rectangle that is
-low <= v < high. Time ranges are half-open too.
-
-Up to a checked number of triangles, one hierarchy is broadcast. Beyond it, a top hierarchy fitted on a bounded sample
-splits space into leaves, triangles go to all leaves they touch, locations to one, and every leaf is worked off in
-slices of bounded size, each with its own hierarchy.
-
-Locations near each other meet in the cells of one regular level of volumes, eight distances wide: a location is listed
-in its own volume and sends copies to the later volumes its surrounding box touches.
+low <= v < high. Time ranges are half-open too. The side of an edge is computed without rounding error, so this holds
+for all coordinates up to 1e150. A ring that crosses itself has no triangles; region_faults tells which regions that is.
+
+What is too large for one hierarchy is spread by a top hierarchy, cut at the medians of a bounded sample until its leaves
+hold about LEAF_ROWS rows. Homes (triangles, or the locations to be found) lie in all leaves they touch (locations in
+one), guests (locations that look for them) visit the leaves their surrounding box touches, and in every leaf a hierarchy
+over its homes gives the candidates, which are tested exactly. A leaf that the sample says is still too large, as its rows are
+at one place, is worked off in slices, so that no task holds more than SLICE_ROWS homes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,78 +29,231 @@ from pyspark.sql import functions as F
 
 #: Triangles up to which one hierarchy is broadcast (about 100 bytes each).
 BROADCAST_TRIANGLES = 200_000
-#: Of the distributed way: triangles sampled for the top hierarchy, its leaves, rows of a slice.
-SAMPLE_TRIANGLES, TOP_LEAVES, SLICE_ROWS = 20_000, 1024, 100_000
+#: Rows of a leaf of the top hierarchy, sampled rows for each leaf, leaves at most (the sample and the hierarchy, which
+#: are at the driver and in every task, are bounded by them), and homes of a task.
+LEAF_ROWS, LEAF_SAMPLE, TOP_LEAVES, SLICE_ROWS = 20_000, 50, 20_000, 1_000_000
+#: Partitions of a leaf join at most; tasks beyond them share partitions one after another.
+_PARTITIONS = 20_000
+#: Guests looked up at once, and pairs of guest and home tested at once.
+_GUESTS, _PAIRS = 16_384, 2_000_000
 
 TRIANGLE = "region_id bigint, ax double, ay double, bx double, by double, cx double, cy double, t1 double, t2 double"
 
 
-# --- triangulation -------------------------------------------------------------------------------------------------
+# --- exact orientation ---------------------------------------------------------------------------------------------
 
+#: Rounding error of the determinant relative to the sum of its products, at most.
+_ERROR = 3.4e-16
 
-def _cross(o, a, b) -> float:
-    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
+def _two_diff(a, b):
+    x = a - b
+    v = a - x
+    return x, (a - (x + v)) + (v - b)
 
-def ear_clip(ring: Sequence[tuple[float, float]]) -> list[tuple]:
-    """Counter-clockwise triangles of a simple polygon. A ring with a null, NaN or infinite vertex, fewer than three
-    distinct vertices or no area has none; a closing vertex equal to the first one, repeated and collinear vertices are
-    allowed. Of a ring that crosses itself, the triangles found until no ear is left."""
+
+def _two_product(a, b):
+    split = lambda v: ((c := 134217729.0 * v) - (c - v))
+    p = a * b
+    a1, b1 = split(a), split(b)
+    a2, b2 = a - a1, b - b1
+    return p, a2 * b2 - (((p - a1 * b1) - a2 * b1) - a1 * b2)
+
+
+def sides(ax, ay, bx, by, px, py) -> np.ndarray:
+    """Row by row, 1 if p is left of the line from a to b, -1 if right, 0 if on it; without rounding error."""
+    left, right = (bx - ax) * (py - ay), (by - ay) * (px - ax)
+    det = left - right
+    out = np.sign(det)
+    unsure = (np.abs(det) <= _ERROR * (np.abs(left) + np.abs(right))) & ((left != 0) | (right != 0))
+    if unsure.any():
+        ax, ay, bx, by, px, py = (np.broadcast_to(v, out.shape)[unsure] for v in (ax, ay, bx, by, px, py))
+        terms = []
+        for sign, u, v in ((1, _two_diff(bx, ax), _two_diff(py, ay)), (-1, _two_diff(by, ay), _two_diff(px, ax))):
+            terms += [sign * w for a in u for b in v for w in _two_product(a, b)]
+        out[unsure] = [np.sign(math.fsum(row)) for row in np.column_stack(terms).tolist()]
+    return out
+
+
+def _turn(a, b, c) -> int:
+    """sides for three points."""
+    left, right = (b[0] - a[0]) * (c[1] - a[1]), (b[1] - a[1]) * (c[0] - a[0])
+    det = left - right
+    if abs(det) <= _ERROR * (abs(left) + abs(right)) and (left or right):
+        (a0, a1), (b0, b1), (c0, c1) = (map(Fraction, p) for p in (a, b, c))
+        det = (b0 - a0) * (c1 - a1) - (b1 - a1) * (c0 - a0)
+    return (det > 0) - (det < 0)
+
+
+# --- triangulation -------------------------------------------------------------------------------------------------
+
+
+def _crosses(pts: np.ndarray) -> bool:
+    """Whether two edges of a ring cross between their ends. Edges are compared only if they overlap on one axis."""
+    a, b = pts, np.roll(pts, -1, 0)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    spread = (high - low).sum(0) / np.maximum(high.max(0) - low.min(0), 1e-300)
+    axis = int(np.argmin(spread))
+    order = np.argsort(low[:, axis], kind="stable")
+    a, b, low, high = a[order], b[order], low[order], high[order]
+    n = np.searchsorted(low[:, axis], high[:, axis], "right") - np.arange(len(a)) - 1
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(a):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, "right")))
+        k = n[start:stop]
+        i = np.repeat(np.arange(start, stop), k)
+        j = i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        near = (low[i, 1 - axis] <= high[j, 1 - axis]) & (low[j, 1 - axis] <= high[i, 1 - axis])
+        i, j = i[near], j[near]
+        across = lambda p, q, u, v: sides(*a[p].T, *b[p].T, *a[q].T) * sides(*a[p].T, *b[p].T, *b[q].T) < 0
+        if (across(i, j, 0, 0) & across(j, i, 0, 0)).any():
+            return True
+        start = stop
+    return False
+
+
+def _ring(ring: Sequence[tuple[float, float]]) -> tuple[list[tuple[float, float]], str | None]:
+    """Counter-clockwise vertices without repetitions in a row, and what is wrong with the ring."""
     pts: list[tuple[float, float]] = []
     for p in ring:
-        if p is None or p[0] is None or p[1] is None or not (np.isfinite(p[0]) and np.isfinite(p[1])):
-            return []
+        if p is None or p[0] is None or p[1] is None or not (math.isfinite(p[0]) and math.isfinite(p[1])):
+            return [], "incomplete vertex"
         q = (float(p[0]), float(p[1]))
         if not pts or pts[-1] != q:
             pts.append(q)
     if len(pts) > 1 and pts[0] == pts[-1]:
         pts.pop()
-    area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(pts, pts[1:] + pts[:1]))
-    if len(pts) < 3 or area == 0:
-        return []
-    if area < 0:
-        pts.reverse()
-    out = []
-    while len(pts) > 3:
-        n = len(pts)
-        for i in range(n):
-            a, b, c = pts[i - 1], pts[i], pts[(i + 1) % n]
-            turn = _cross(a, b, c)
-            if turn == 0:  # collinear: no triangle
-                pts.pop(i)
-                break
-            if turn < 0:
-                continue
-            others = (p for p in pts if p != a and p != b and p != c)
-            if not any(_cross(a, b, p) >= 0 and _cross(b, c, p) >= 0 and _cross(c, a, p) >= 0 for p in others):
-                out.append((a, b, c))
-                pts.pop(i)
-                break
-        else:
-            return out
-    if _cross(*pts) > 0:
-        out.append(tuple(pts))
-    return out
+    if len(pts) < 3:
+        return [], "no area"
+    a = np.array(pts)
+    if _crosses(a):
+        return [], "crosses itself"
+    b = np.roll(a, -1, 0)
+    area = math.fsum(np.concatenate([*_two_product(a[:, 0], b[:, 1]), *_two_product(-a[:, 1], b[:, 0])]).tolist())
+    if area == 0:
+        return [], "no area"
+    return pts[::-1] if area < 0 else pts, None
+
+
+def clip_ring(ring: Sequence[tuple[float, float]]) -> tuple[list[tuple], str | None]:
+    """(triangles, fault): the counter-clockwise triangles of a simple polygon, or none and the fault of the ring.
+
+    A closing vertex equal to the first one, repeated and collinear vertices are allowed. Faults: incomplete vertex
+    (null, NaN or infinite), no area (fewer than three distinct vertices too), crosses itself. Only the reflex vertices in
+    the range of an ear's x are tested, and after each ear only its neighbours change, so long borders are no quadratic work.
+    """
+    pts, fault = _ring(ring)
+    if fault:
+        return [], fault
+    n = len(pts)
+    xs, ys = np.array([p[0] for p in pts]), np.array([p[1] for p in pts])
+    before, after, alive = [n - 1, *range(n - 1)], [*range(1, n), 0], [True] * n
+    turn = lambda i: _turn(pts[before[i]], pts[i], pts[after[i]])
+    reflex = np.array([turn(i) <= 0 for i in range(n)])
+    by_x = np.flatnonzero(reflex)
+    by_x = by_x[np.argsort(xs[by_x], kind="stable")]
+    sorted_x, dead = xs[by_x], 0
+
+    def empty(i: int) -> bool:
+        a, b, c = pts[before[i]], pts[i], pts[after[i]]
+        lo, hi = np.searchsorted(sorted_x, min(a[0], b[0], c[0]), "left"), np.searchsorted(sorted_x, max(a[0], b[0], c[0]), "right")
+        own = by_x[lo:hi]
+        py = ys[own]
+        own = own[reflex[own] & (py >= min(a[1], b[1], c[1])) & (py <= max(a[1], b[1], c[1]))]
+        if not len(own):
+            return True
+        px, py = xs[own], ys[own]
+        inside = ~(((px == a[0]) & (py == a[1])) | ((px == b[0]) & (py == b[1])) | ((px == c[0]) & (py == c[1])))
+        for u, v in ((a, b), (b, c), (c, a)):
+            inside &= sides(u[0], u[1], v[0], v[1], px, py) >= 0
+        return not inside.any()
+
+    out, left, todo, waiting, moved = [], n, deque(range(n)), [True] * n, False
+    while left > 3:
+        if not todo:
+            if not moved:
+                return [], "crosses itself"  # or touches itself in a way that leaves no ear
+            todo, moved = deque(i for i in range(n) if alive[i]), False
+            for i in todo:
+                waiting[i] = True
+        i = todo.popleft()
+        waiting[i] = False
+        if not alive[i]:
+            continue
+        way = turn(i)
+        if way < 0 or (way > 0 and not empty(i)):
+            continue
+        p, q = before[i], after[i]
+        if way > 0:
+            out.append((pts[p], pts[i], pts[q]))
+        alive[i], moved, left = False, True, left - 1
+        after[p], before[q] = q, p
+        dead += bool(reflex[i])
+        reflex[i] = False
+        for k in (p, q):
+            if reflex[k] and turn(k) > 0:
+                reflex[k] = False
+                dead += 1
+            if not waiting[k]:
+                todo.append(k)
+                waiting[k] = True
+        if dead > 64 and dead * 2 > len(by_x):
+            by_x = by_x[reflex[by_x]]
+            sorted_x, dead = xs[by_x], 0
+    rest = [i for i in range(n) if alive[i]][0]
+    if turn(rest) > 0:
+        out.append((pts[before[rest]], pts[rest], pts[after[rest]]))
+    return out, None
 
 
-def triangulate(regions: DataFrame, region_id: str = "region_id", ring: str = "ring", t1: str = "t1", t2: str = "t2") -> DataFrame:
-    """Triangles of regions: ring is array<struct<x, y>>; a region whose time range is null, NaN, empty or turned over has none."""
-    usable = regions.select(
+def ear_clip(ring: Sequence[tuple[float, float]]) -> list[tuple]:
+    """The triangles of clip_ring."""
+    return clip_ring(ring)[0]
+
+
+def _pairs_of(ring) -> list:
+    return [None if p is None else tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in ring]
+
+
+def _region_columns(regions: DataFrame, region_id: str, ring: str, t1: str, t2: str) -> DataFrame:
+    return regions.select(
         F.col(f"`{region_id}`").cast("bigint").alias("region_id"), F.col(f"`{ring}`").alias("ring"),
         F.col(f"`{t1}`").cast("double").alias("t1"), F.col(f"`{t2}`").cast("double").alias("t2"),
-    ).where("region_id is not null and ring is not null and t1 < t2 and not isnan(t2)")
+    )
+
+
+def triangulate(regions: DataFrame, region_id: str = "region_id", ring: str = "ring", t1: str = "t1", t2: str = "t2") -> DataFrame:
+    """Triangles of regions: ring is array<struct<x, y>>. A region without id, one whose time range is null, NaN, empty or
+    turned over, and one whose ring has a fault (see region_faults) has none: never some of its triangles."""
+    usable = _region_columns(regions, region_id, ring, t1, t2).where("region_id is not null and ring is not null and t1 < t2 and not isnan(t2)")
 
     def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                pairs = [None if p is None else tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in r.ring]
-                rows += [(r.region_id, *a, *b, *c, r.t1, r.t2) for a, b, c in ear_clip(pairs)]
+                rows += [(r.region_id, *a, *b, *c, r.t1, r.t2) for a, b, c in ear_clip(_pairs_of(r.ring))]
             yield pd.DataFrame(rows, columns=["region_id", "ax", "ay", "bx", "by", "cx", "cy", "t1", "t2"])
 
     return usable.mapInPandas(clip, TRIANGLE)
 
 
+def region_faults(regions: DataFrame, region_id: str = "region_id", ring: str = "ring", t1: str = "t1", t2: str = "t2") -> DataFrame:
+    """(region_id, fault) of the regions that contain nothing: no id, no ring, no time, incomplete vertex, no area, crosses itself.
+
+    Repeated regions are reported each; an empty table gives no rows, other columns play no part."""
+    found = _region_columns(regions, region_id, ring, t1, t2)
+    timed = F.coalesce((F.col("t1") < F.col("t2")) & ~F.isnan("t2"), F.lit(False))
+    early = F.when(F.col("region_id").isNull(), "no id").when(F.col("ring").isNull(), "no ring").when(~timed, "no time")
+
+    def faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fault = [e if isinstance(e, str) else clip_ring(_pairs_of(r))[1] for e, r in zip(pdf["early"], pdf["ring"])]
+            yield pd.DataFrame({"region_id": pdf["region_id"].astype("Int64"), "fault": fault})
+
+    return found.select("region_id", "ring", early.alias("early")).mapInPandas(faults, "region_id bigint, fault string").where("fault is not null")
+
+
 def rings_of_boxes(boxes: DataFrame, box_id: str) -> DataFrame:
     """(region_id, ring, t1, t2) of boxes t1, x1, y1, t2, x2, y2; flat, turned over and incomplete boxes, which contain nothing, are left out."""
     good = F.col(f"`{box_id}`").isNotNull()
@@ -108,76 +265,96 @@ def rings_of_boxes(boxes: DataFrame, box_id: str) -> DataFrame:
     return boxes.where(F.coalesce(good, F.lit(False))).select(F.col(f"`{box_id}`").alias("region_id"), ring.alias("ring"), "t1", "t2")
 
 
-# --- hierarchy -----------------------------------------------------------------------------------------------------
+# --- hierarchies ---------------------------------------------------------------------------------------------------
 
 
-class Hierarchy:
-    """Bounding volumes over triangles, split at the median of the widest axis; queried for many locations at once."""
+class Volumes:
+    """A hierarchy of bounding volumes over boxes, each level halved at the median of its widest axis; built and queried
+    level by level for all boxes and locations at once."""
 
     LEAF = 8
 
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        n = len(low)
+        self.order, starts = np.arange(n), np.zeros(1, int)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        if not n:
+            return
+        middle = np.clip(low / 2 + high / 2, -1e300, 1e300)
+        depth = max(0, math.ceil(math.log2(n / self.LEAF)))
+        for level in range(depth + 1):
+            self.levels.append((np.minimum.reduceat(low[self.order], starts), np.maximum.reduceat(high[self.order], starts)))
+            if level < depth:
+                at, ends = middle[self.order], np.append(starts[1:], n)
+                axis = np.argmax(np.maximum.reduceat(at, starts) - np.minimum.reduceat(at, starts), 1)
+                node = np.repeat(np.arange(len(starts)), ends - starts)
+                self.order = self.order[np.lexsort((at[np.arange(n), axis[node]], node))]
+                starts = np.column_stack([starts, (starts + ends) // 2]).ravel()
+        self.starts, self.sizes = starts, np.append(starts[1:], n) - starts
+
+    def candidates(self, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of p, numbers of boxes) of boxes that may hold them, faces included, in portions of bounded size."""
+        if not self.levels:
+            return
+        for first in range(0, len(p), _GUESTS):
+            who, node = np.arange(first, min(len(p), first + _GUESTS)), None
+            for low, high in self.levels:
+                node = np.zeros(len(who), int) if node is None else node
+                at = p[who]
+                inside = ((at >= low[node]) & (at <= high[node])).all(1)
+                who, node = who[inside], node[inside]
+                if low is not self.levels[-1][0]:
+                    who, node = np.repeat(who, 2), np.column_stack([node * 2, node * 2 + 1]).ravel()
+            size = self.sizes[node]
+            ends = np.cumsum(size)
+            start = 0
+            while start < len(who):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, "right")))
+                k = size[start:stop]
+                offset = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                yield np.repeat(who[start:stop], k), self.order[np.repeat(self.starts[node[start:stop]], k) + offset]
+                start = stop
+
+
+def in_triangle(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Row by row: location (t, x, y) in counter-clockwise triangle and [t1, t2), edges by the rule of this module."""
+    inside = (p[:, 0] >= tri[:, 6]) & (p[:, 0] < tri[:, 7])
+    for i, j in ((0, 2), (2, 4), (4, 0)):
+        ax, ay, bx, by = tri[:, i], tri[:, i + 1], tri[:, j], tri[:, j + 1]
+        side = sides(ax, ay, bx, by, p[:, 1], p[:, 2])
+        inside &= (side > 0) | ((side == 0) & ((by < ay) | ((by == ay) & (bx > ax))))
+    return inside
+
+
+class Hierarchy:
+    """Bounding volumes over triangles; queried for many locations at once."""
+
     def __init__(self, tri: np.ndarray, ids: np.ndarray):
         """tri: rows ax, ay, bx, by, cx, cy, t1, t2; ids: the region of each."""
         self.tri, self.ids = np.asarray(tri, float).reshape(-1, 8), np.asarray(ids)
-        xs, ys = self.tri[:, 0:6:2], self.tri[:, 1:6:2]
-        low = np.column_stack([self.tri[:, 6], xs.min(1), ys.min(1)]) if len(self.tri) else np.empty((0, 3))
-        high = np.column_stack([self.tri[:, 7], xs.max(1), ys.max(1)]) if len(self.tri) else np.empty((0, 3))
-        self.order = np.arange(len(self.tri))
-        lows, highs, kids, spans = [], [], [], []
-        todo = [(0, len(self.tri), -1, 0)] if len(self.tri) else []
-        while todo:
-            start, end, parent, side = todo.pop()
-            at = len(lows)
-            if parent >= 0:
-                kids[parent][side] = at
-            own = self.order[start:end]
-            lows.append(low[own].min(0))
-            highs.append(high[own].max(0))
-            kids.append([-1, -1])
-            spans.append((start, end))
-            if end - start > self.LEAF:
-                centre = low[own] / 2 + high[own] / 2
-                axis = int(np.argmax(centre.max(0) - centre.min(0)))
-                mid = (end - start) // 2
-                self.order[start:end] = own[np.argpartition(centre[:, axis], mid)]
-                todo += [(start, start + mid, at, 0), (start + mid, end, at, 1)]
-        self.low, self.high = np.array(lows).reshape(-1, 3), np.array(highs).reshape(-1, 3)
-        self.kids, self.spans = np.array(kids, int).reshape(-1, 2), np.array(spans, int).reshape(-1, 2)
+        self.volumes = Volumes(*_around(self.tri))
+
+    def pairs(self, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of p, region ids) for locations p (columns t, x, y) in regions."""
+        for row, item in self.volumes.candidates(p):
+            hit = in_triangle(p[row], self.tri[item])
+            yield row[hit], self.ids[item[hit]]
 
     def locate(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of p, region id) for locations p (columns t, x, y) in regions, each pair once."""
-        if not len(self.low) or not len(p):
-            return np.empty(0, int), self.ids[:0]
-        who, node = np.arange(len(p)), np.zeros(len(p), int)
-        rows, tris = [], []
-        while len(who):
-            inside = ((p[who] >= self.low[node]) & (p[who] <= self.high[node])).all(1)
-            who, node = who[inside], node[inside]
-            leaf = self.kids[node, 0] < 0
-            if leaf.any():
-                w, span = who[leaf], self.spans[node[leaf]]
-                n = span[:, 1] - span[:, 0]
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows.append(np.repeat(w, n))
-                tris.append(self.order[np.repeat(span[:, 0], n) + offset])
-            who = np.repeat(who[~leaf], 2)
-            node = self.kids[node[~leaf]].reshape(-1)
-        if not rows:
+        """All of pairs, each pair once."""
+        found = [*self.pairs(p)]
+        if not found:
             return np.empty(0, int), self.ids[:0]
-        row, tri = np.concatenate(rows), np.concatenate(tris)
-        hit = in_triangle(p[row], self.tri[tri])
-        pairs = pd.DataFrame({"row": row[hit], "id": self.ids[tri[hit]]}).drop_duplicates()
+        pairs = pd.DataFrame({"row": np.concatenate([r for r, _ in found]), "id": np.concatenate([i for _, i in found])}).drop_duplicates()
         return pairs["row"].to_numpy(), pairs["id"].to_numpy()
 
 
-def in_triangle(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
-    """Row by row: location (t, x, y) in counter-clockwise triangle and [t1, t2), edges by the rule of this module."""
-    inside = (p[:, 0] >= tri[:, 6]) & (p[:, 0] < tri[:, 7])
-    for i, j in ((0, 2), (2, 4), (4, 0)):
-        ex, ey = tri[:, j] - tri[:, i], tri[:, j + 1] - tri[:, i + 1]
-        side = ex * (p[:, 2] - tri[:, i + 1]) - ey * (p[:, 1] - tri[:, i])
-        inside &= (side > 0) | ((side == 0) & ((ey < 0) | ((ey == 0) & (ex > 0))))
-    return inside
+def _around(tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high corners (t, x, y) of the boxes around triangles."""
+    if not len(tri):
+        return np.empty((0, 3)), np.empty((0, 3))
+    xs, ys = tri[:, 0:6:2], tri[:, 1:6:2]
+    return np.column_stack([tri[:, 6], xs.min(1), ys.min(1)]), np.column_stack([tri[:, 7], xs.max(1), ys.max(1)])
 
 
 def _cuts(centres: np.ndarray, leaves: int) -> list[tuple]:
@@ -185,55 +362,194 @@ def _cuts(centres: np.ndarray, leaves: int) -> list[tuple]:
     nodes: list[list] = []
     count = 0
 
+    def cut(own: np.ndarray) -> tuple[int, float] | None:
+        for axis in np.argsort(own.min(0) - own.max(0), kind="stable").tolist():
+            v = own[:, axis]
+            value = float(np.median(v))
+            if not (v < value).any() and (v > value).any():
+                value = float(v[v > value].min())
+            if (v < value).any():
+                return axis, value
+        return None
+
     def grow(own: np.ndarray, budget: int) -> int:
         nonlocal count
-        if budget > 1 and len(own) > 1:
-            axis = int(np.argmax(own.max(0) - own.min(0)))
-            value = float(np.median(own[:, axis]))
-            left = own[:, axis] < value
-            if left.any() and not left.all():
-                at = len(nodes)
-                nodes.append([axis, value, 0, 0])
-                nodes[at][2] = grow(own[left], budget // 2)
-                nodes[at][3] = grow(own[~left], budget - budget // 2)
-                return at
+        place = cut(own) if budget > 1 and len(own) > 1 else None
+        if place:
+            left = own[:, place[0]] < place[1]
+            at = len(nodes)
+            nodes.append([*place, 0, 0])
+            part = min(budget - 1, max(1, round(budget * left.mean())))
+            nodes[at][2] = grow(own[left], part)
+            nodes[at][3] = grow(own[~left], budget - part)
+            return at
         count += 1
         return -count
 
-    grow(centres, leaves)
+    grow(np.clip(centres, -1e300, 1e300), leaves)
     return [tuple(n) for n in nodes]
 
 
-def _leaves(nodes: list[tuple], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _leaves(nodes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) for the leaves that closed boxes low..high touch; a location is a box without extent, left of a cut only if below it."""
     row, node = np.arange(len(low)), np.zeros(len(low), int)
-    if not nodes:
+    if not len(nodes):
         return row, node
-    table = np.array(nodes, float)
+    axes, kids = nodes[:, 0].astype(int), nodes[:, 2:].astype(int)
     rows, leaves = [], []
     while len(row):
+        axis, value = axes[node], nodes[node, 1]
+        left, right = low[row, axis] < value, high[row, axis] >= value
+        row, node = np.concatenate([row[left], row[right]]), np.concatenate([kids[node[left], 0], kids[node[right], 1]])
         done = node < 0
         rows.append(row[done])
         leaves.append(-1 - node[done])
         row, node = row[~done], node[~done]
-        axis, value = table[node, 0].astype(int), table[node, 1]
-        left, right = low[row, axis] < value, high[row, axis] >= value
-        row, node = np.concatenate([row[left], row[right]]), np.concatenate([table[node[left], 2], table[node[right], 3]]).astype(int)
     return np.concatenate(rows), np.concatenate(leaves)
 
 
+# --- joins leaf by leaf --------------------------------------------------------------------------------------------
+
+_HOME, _VISITOR, _FELLOW = 0, 1, 2
+
+
+class _Top:
+    """A top hierarchy with the slices of its leaves: n_home x n_guest tasks for a leaf."""
+
+    def __init__(self, home: np.ndarray, n_home: int, guest: np.ndarray, n_guest: int, reach: Callable, leaf_rows: int, slice_rows: int):
+        """home, guest: samples as rows of what reach turns into low and high corners; n_home, n_guest: all rows."""
+        boxes = [reach(s) if len(s) else (np.empty((0, 3)), np.empty((0, 3))) for s in (home, guest)]
+        wanted = min(TOP_LEAVES, -(-(n_home + n_guest) // leaf_rows))
+        centres = np.concatenate([l / 2 + h / 2 for l, h in boxes])
+        self.nodes = np.array(_cuts(centres, wanted) if len(centres) else [], float).reshape(-1, 4)
+        leaves = len(self.nodes) + 1
+        self.slices = []
+        for (low, high), n, rows in zip(boxes, (n_home, n_guest), (slice_rows, 2 * slice_rows)):
+            got = np.bincount(_leaves(self.nodes, low, high)[1], minlength=leaves).astype(float)
+            most = (got + 4 * np.sqrt(got) + 8) * (n / max(1, len(low)))  # of what a leaf holds, but for rare chance
+            self.slices.append(np.maximum(1, np.ceil(np.minimum(most, n) / rows)).astype(int))
+        self.first = np.concatenate([[0], np.cumsum(self.slices[0] * self.slices[1])])
+
+    def tasks(self) -> int:
+        return int(self.first[-1])
+
+    def sliced(self) -> np.ndarray:
+        """Whether a task is one of several of its leaf."""
+        several = self.slices[0] * self.slices[1]
+        return np.repeat(several > 1, several)
+
+    def spread(self, leaf: np.ndarray, mixed: np.ndarray, home: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, task): a home goes to its slice for all slices of guests, a guest to its own for all slices of homes."""
+        nh, ng = self.slices[0][leaf], self.slices[1][leaf]
+        copies = ng if home else nh
+        row = np.repeat(np.arange(len(leaf)), copies)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+        own = mixed[row] % (nh if home else ng)[row]
+        i, j = (own, other) if home else (other, own)
+        return row, self.first[leaf[row]] + i * ng[row] + j
+
+
+def _mixed(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of rows, the same at every run."""
+    h = ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
+    for column in np.ascontiguousarray(at, float).T:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.ascontiguousarray(column).view("uint64")
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(1)).astype("int64")
+
+
+def _placed(task: np.ndarray, role: int, ids: np.ndarray, values: np.ndarray, width: int) -> pd.DataFrame:
+    out = {"task": task.astype("int64"), "role": np.full(len(task), role, "int8"), "id": ids}
+    for c in range(width):
+        out[f"c{c}"] = values[:, c] if c < values.shape[1] else np.nan
+    return pd.DataFrame(out)
+
+
+def _placed_schema(width: int) -> str:
+    return "task bigint, role tinyint, id bigint, " + ", ".join(f"c{c} double" for c in range(width))
+
+
+def _work(placed: DataFrame, tasks: int, width: int, build: Callable, own: Callable | None, names: tuple[str, str]) -> DataFrame:
+    """Task by task: build(ids, values) makes the homes' structure, whose pairs(guests' ids, values, role) are returned as
+    portions of two id columns. own(task): whether the homes are guests, too. Guests are streamed, homes held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda pairs: (pd.DataFrame({names[0]: a, names[1]: b}) for a, b in pairs if len(a))
+        now, homes, made = None, [], None
+
+        def ready() -> Iterator[pd.DataFrame]:
+            nonlocal made, homes
+            if made is None:
+                ids, values = np.concatenate([h[0] for h in homes]), np.concatenate([h[1] for h in homes])
+                made, homes = build(ids, values), []
+                if own and own(now):
+                    yield from frame(made.pairs(*made.rows, _FELLOW))
+
+        for pdf in batches:
+            task, role, ids = pdf["task"].to_numpy(), pdf["role"].to_numpy(), pdf["id"].to_numpy("int64")
+            values = pdf[[f"c{c}" for c in range(width)]].to_numpy(float)
+            edges = np.flatnonzero((task[1:] != task[:-1]) | (role[1:] != role[:-1])) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(task)]):
+                if start == stop:
+                    continue
+                if task[start] != now:
+                    if homes:
+                        yield from ready()
+                    now, homes, made = task[start], [], None
+                part = ids[start:stop], values[start:stop]
+                if role[start] == _HOME:
+                    homes.append(part)
+                elif homes or made is not None:
+                    yield from ready()
+                    yield from frame(made.pairs(*part, role[start]))
+        if homes:
+            yield from ready()
+
+    partitions = max(1, min(tasks, _PARTITIONS))
+    spread = placed.repartitionById(partitions, F.pmod("task", F.lit(partitions)).cast("int")) if partitions > 1 else placed.coalesce(1)
+    return spread.sortWithinPartitions("task", "role").mapInPandas(run, f"{names[0]} bigint, {names[1]} bigint")
+
+
+def _sample(df: DataFrame, columns: Sequence[str], rows: int, wanted: int) -> np.ndarray:
+    """About ``wanted`` of the ``rows`` rows, as an array."""
+    share = min(1.0, wanted / max(1, rows))
+    some = df.select(*columns)
+    return (some if share == 1 else some.sample(False, share, 1)).toPandas().to_numpy(float).reshape(-1, len(columns))
+
+
+def _wanted(n: int, leaf_rows: int) -> int:
+    """Rows of a sample for n rows; with one leaf there is nothing to cut."""
+    leaves = min(TOP_LEAVES, -(-n // leaf_rows))
+    return leaves * LEAF_SAMPLE if leaves > 1 else 1
+
+
 # --- regions of locations ------------------------------------------------------------------------------------------
 
+_LOCATED = "point_id is not null and t is not null and x is not null and y is not null and not isnan(t) and not isnan(x) and not isnan(y)"
 
-def regions_of(points: DataFrame, regions: DataFrame, bound: int = BROADCAST_TRIANGLES, slice_rows: int = SLICE_ROWS) -> DataFrame:
+
+def _points(points: DataFrame) -> DataFrame:
+    return points.select(F.col("point_id").cast("bigint"), *[F.col(c).cast("double").alias(c) for c in "txy"]).where(_LOCATED)
+
+
+def _once(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without repetitions; only rows whose id is repeated are compared."""
+    again = pd.Series(ids).duplicated(keep=False).to_numpy()
+    if not again.any():
+        return ids, at
+    keep = ~again
+    same = pd.DataFrame(np.column_stack([at[again] + 0.0])).assign(id=ids[again]).duplicated().to_numpy()
+    keep[np.flatnonzero(again)[~same]] = True
+    return ids[keep], at[keep]
+
+
+def regions_of(points: DataFrame, regions: DataFrame, bound: int = BROADCAST_TRIANGLES, leaf_rows: int = LEAF_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(region_id, point_id) for points (point_id, t, x, y) and regions (region_id, ring, t1, t2), each pair once.
 
     A point whose id or a coordinate is null or NaN has no location and is in no region. Repeated points and regions
-    give their pairs once. Other columns play no part; empty inputs give an empty result.
+    give their pairs once. A region with a fault (see region_faults) contains nothing. Other columns play no part; empty
+    inputs give an empty result.
     """
-    pts = points.select(F.col("point_id").cast("bigint"), *[F.col(c).cast("double").alias(c) for c in "txy"]).where(
-        "point_id is not null and t is not null and x is not null and y is not null and not isnan(t) and not isnan(x) and not isnan(y)"
-    )
+    pts = _points(points)
     tris = triangulate(regions)
     few = tris.limit(bound + 1).toPandas()
     if len(few) <= bound:
@@ -245,79 +561,118 @@ def regions_of(points: DataFrame, regions: DataFrame, bound: int = BROADCAST_TRI
                 yield pd.DataFrame({"region_id": region.astype("int64"), "point_id": pdf["point_id"].to_numpy()[row]})
 
         return pts.mapInPandas(locate, "region_id bigint, point_id bigint").distinct()
-    return _regions_by_leaf(pts.distinct(), tris, slice_rows).distinct()
+    return _regions_by_leaf(pts, tris, leaf_rows, slice_rows).distinct()
 
 
-def _regions_by_leaf(pts: DataFrame, tris: DataFrame, slice_rows: int) -> DataFrame:
-    ordered = tris.orderBy(F.xxhash64("region_id", "ax", "ay", "t1")).limit(SAMPLE_TRIANGLES).toPandas()
-    box = lambda d: (np.column_stack([d["t1"], d[["ax", "bx", "cx"]].min(axis=1), d[["ay", "by", "cy"]].min(axis=1)]), np.column_stack([d["t2"], d[["ax", "bx", "cx"]].max(axis=1), d[["ay", "by", "cy"]].max(axis=1)]))
-    low, high = box(ordered)
-    nodes = _cuts(low / 2 + high / 2, TOP_LEAVES)
+class _Regions:
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.tree = ids, Hierarchy(values, ids)
 
-    def of_triangles(batches):
-        for pdf in batches:
-            row, leaf = _leaves(nodes, *box(pdf))
-            yield pdf.iloc[row].assign(leaf=leaf)
+    def pairs(self, ids: np.ndarray, values: np.ndarray, role: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return ((region, ids[row]) for row, region in self.tree.pairs(values[:, :3]))
 
-    def of_points(batches):
-        for pdf in batches:
-            p = pdf[["t", "x", "y"]].to_numpy()
-            row, leaf = _leaves(nodes, p, p)
-            yield pdf.iloc[row].assign(leaf=leaf)
-
-    tl = tris.mapInPandas(of_triangles, f"{TRIANGLE}, leaf bigint")
-    pl = pts.mapInPandas(of_points, "point_id bigint, t double, x double, y double, leaf bigint")
-    # Slices of a leaf: as many as its rows need; one row per leaf, of which there are at most TOP_LEAVES.
-    size = lambda d: {r.leaf: -(-r.n // slice_rows) for r in d.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nt, np_ = size(tl), size(pl)
-    spark = pts.sparkSession
-    counts = F.broadcast(spark.createDataFrame([(k, nt[k], np_[k]) for k in nt if k in np_], "leaf bigint, nt bigint, np bigint"))
-    pick = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n))
-    p = pl.join(counts, "leaf").withColumn("ps", pick("np", "point_id")).withColumn("ts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nt") - 1)))
-    t = tl.join(counts, "leaf").withColumn("ts", pick("nt", "region_id", "ax", "ay", "bx", "by")).withColumn("ps", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("np") - 1)))
-
-    def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        tree = Hierarchy(b[["ax", "ay", "bx", "by", "cx", "cy", "t1", "t2"]].to_numpy(), b["region_id"].to_numpy())
-        row, region = tree.locate(a[["t", "x", "y"]].to_numpy())
-        return pd.DataFrame({"region_id": region.astype("int64"), "point_id": a["point_id"].to_numpy()[row]})
-
-    keys = ["leaf", "ps", "ts"]
-    return p.drop("nt", "np").groupBy(*keys).cogroup(t.drop("nt", "np").groupBy(*keys)).applyInPandas(work, "region_id bigint, point_id bigint")
+
+def _regions_by_leaf(pts: DataFrame, tris: DataFrame, leaf_rows: int, slice_rows: int) -> DataFrame:
+    names = ["ax", "ay", "bx", "by", "cx", "cy", "t1", "t2"]
+    n_home, n_guest = tris.count(), pts.count()
+    wanted = _wanted(n_home + n_guest, leaf_rows)
+    reach = lambda s: _around(s) if s.shape[1] == 8 else (s, s)
+    top = pts.sparkSession.sparkContext.broadcast(_Top(_sample(tris, names, n_home, wanted), n_home, _sample(pts, "txy", n_guest, wanted), n_guest, reach, leaf_rows, slice_rows))
+
+    def place(columns: list[str], ids: str, home: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own, at = pdf[ids].to_numpy("int64"), pdf[columns].to_numpy(float)
+                row, leaf = _leaves(top.value.nodes, *reach(at))
+                copy, task = top.value.spread(leaf, _mixed(own[row], at[row]), home)
+                yield _placed(task, _HOME if home else _VISITOR, own[row][copy], at[row][copy], 8)
+
+        return run
+
+    placed = tris.mapInPandas(place(names, "region_id", True), _placed_schema(8)).unionByName(pts.mapInPandas(place([*"txy"], "point_id", False), _placed_schema(8)))
+    return _work(placed, top.value.tasks(), 8, _Regions, None, ("region_id", "point_id"))
 
 
 # --- near locations ------------------------------------------------------------------------------------------------
 
 
-def near_pairs(points: DataFrame, distance: float, width: float = 8.0) -> DataFrame:
+class _Near:
+    """Homes as boxes of the distance around their locations."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, distance: float, ordered: bool):
+        self.rows = self.ids, self.at = _once(ids, at)
+        self.distance, self.ordered = distance, ordered
+        self.volumes = Volumes(self.at - _wide(distance), self.at + _wide(distance))
+
+    def pairs(self, ids: np.ndarray, at: np.ndarray, role: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for row, item in self.volumes.candidates(at):
+            a, b = ids[row], self.ids[item]
+            # Locations of one leaf meet twice, once from either side.
+            good = np.flatnonzero(a < b if role == _FELLOW else a != b if self.ordered else np.ones(len(a), bool))
+            d = at[row[good]] - self.at[item[good]]
+            d *= d
+            good = good[np.sqrt(d[:, 0] + d[:, 1] + d[:, 2]) <= self.distance]
+            a, b = a[good], b[good]
+            yield (np.minimum(a, b), np.maximum(a, b)) if self.ordered else (a, b)
+
+
+def _wide(distance: float) -> float:
+    return distance * (1 + 1e-6)  # more than rounding takes away
+
+
+def near_pairs(points: DataFrame, distance: float, leaf_rows: int = LEAF_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(a_id, b_id), a_id < b_id, of points (point_id, t, x, y) with different ids at most ``distance`` apart in (t, x, y).
 
-    width: the width of a volume in distances. Points without id or location take no part; a repeated point counts
-    once, an id with several locations has all of them, and each pair of ids appears once. The distance is tested
-    exactly as sqrt(dt*dt + dx*dx + dy*dy) <= distance. Points at the same place are all pairs: the result asks for them.
+    Points without id or location take no part; a repeated point counts once, an id with several locations has all of them,
+    and each pair of ids appears once. The distance is tested exactly as sqrt(dt*dt + dx*dx + dy*dy) <= distance. Points at
+    the same place are all pairs: the result asks for them. Other columns play no part; an empty table gives no pairs.
+
+    A point is at home in one leaf of the top hierarchy and visits the leaves of higher number within the distance.
     """
-    if not distance > 0 or not width >= 1:
-        raise ValueError("distance must be above 0 and width at least 1")
-    w = float(distance * width)
-    pts = (
-        points.select(F.col("point_id").cast("bigint"), *[F.col(c).cast("double").alias(c) for c in "txy"])
-        .where("point_id is not null and t is not null and x is not null and y is not null and not isnan(t) and not isnan(x) and not isnan(y)")
-        .distinct()
-    )
-    cell = lambda c, d=0.0: F.floor((F.col(c) + F.lit(d)) / F.lit(w))
-    home = pts.select(F.col("point_id").alias("h_id"), *[F.col(c).alias(f"h{c}") for c in "txy"], *[cell(c).alias(f"c{c}") for c in "txy"])
-    # The volumes that the box around a point touches, from its own one on in the order (t, x, y): of two volumes that
-    # hold a pair, the earlier one's point visits the later one.
-    own = F.struct(*[cell(c).alias(c) for c in "txy"])
-    d = float(distance) * (1 + 1e-6)  # more than rounding takes away
-    reach = [F.sequence(cell(c, -d), cell(c, d)) for c in "txy"]
-    reach[0] = F.sequence(cell("t"), cell("t", d))
-    flat = lambda ts, xs, ys: F.flatten(F.transform(ts, lambda a: F.flatten(F.transform(xs, lambda b: F.transform(ys, lambda c: F.struct(a.alias("t"), b.alias("x"), c.alias("y")))))))
-    visits = (
-        pts.withColumn("__own", own)
-        .withColumn("__v", F.explode(F.filter(flat(*reach), lambda v: v >= F.col("__own"))))
-        .select("point_id", *"txy", (F.col("__v") == F.col("__own")).alias("at_home"), *[F.col(f"__v.{c}").alias(f"c{c}") for c in "txy"])
-    )
-    dt, dx, dy = (F.col(c) - F.col(f"h{c}") for c in "txy")
-    close = (F.abs(dt) <= distance) & (F.sqrt(dt * dt + dx * dx + dy * dy) <= F.lit(float(distance)))
-    met = visits.join(home, ["ct", "cx", "cy"]).where(close & (F.col("point_id") != F.col("h_id")) & (~F.col("at_home") | (F.col("point_id") < F.col("h_id"))))
-    return met.select(F.least("point_id", "h_id").alias("a_id"), F.greatest("point_id", "h_id").alias("b_id")).distinct()
+    return _by_leaf(points, None, distance, leaf_rows, slice_rows).distinct()
+
+
+def distance_join(a: DataFrame, b: DataFrame, distance: float, leaf_rows: int = LEAF_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(a_id, b_id) of points of two tables (point_id, t, x, y) at most ``distance`` apart; rows are taken as in near_pairs, equal ids included."""
+    return _by_leaf(b, a, distance, leaf_rows, slice_rows).distinct()
+
+
+def _by_leaf(homes: DataFrame, guests: DataFrame | None, distance: float, leaf_rows: int, slice_rows: int) -> DataFrame:
+    if not distance > 0 or distance == math.inf:
+        raise ValueError("distance must be above 0 and finite")
+    alone = guests is None
+    sides_ = [_points(homes)] if alone else [_points(homes), _points(guests)]
+    counts = [d.count() for d in ([homes] if alone else [homes, guests])]
+    wanted = _wanted(sum(counts), leaf_rows)
+    samples = [_sample(d, "txy", n, wanted) for d, n in zip(sides_, counts)]
+    top = homes.sparkSession.sparkContext.broadcast(_Top(samples[0], counts[0], samples[-1], counts[-1], lambda s: (s, s), leaf_rows * (2 if alone else 1), slice_rows))
+
+    def place(home: bool, guest: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            t = top.value
+            for pdf in batches:
+                ids, at = _once(pdf["point_id"].to_numpy("int64"), pdf[["t", "x", "y"]].to_numpy(float))
+                mixed = _mixed(ids, at)
+                own = np.zeros(len(ids), int)
+                if home:
+                    row, leaf = _leaves(t.nodes, at, at)
+                    own[row] = leaf
+                    row, task = t.spread(own, mixed, True)
+                    yield _placed(task, _HOME, ids[row], at[row], 3)
+                if guest:
+                    row, leaf = _leaves(t.nodes, at - _wide(distance), at + _wide(distance))
+                    if home:
+                        later = leaf > own[row]
+                        row, leaf = row[later], leaf[later]
+                        several = np.flatnonzero((t.slices[0] * t.slices[1])[own] > 1)
+                        copy, task = t.spread(own[several], mixed[several], False)
+                        yield _placed(task, _FELLOW, ids[several[copy]], at[several[copy]], 3)
+                    copy, task = t.spread(leaf, mixed[row], False)
+                    yield _placed(task, _VISITOR, ids[row[copy]], at[row[copy]], 3)
+
+        return run
+
+    schema, sliced = _placed_schema(3), top.value.sliced()
+    placed = [sides_[0].mapInPandas(place(True, alone), schema)] + [d.mapInPandas(place(False, True), schema) for d in sides_[1:]]
+    build = lambda ids, at: _Near(ids, at, float(distance), alone)
+    return _work(reduce(DataFrame.unionByName, placed), top.value.tasks(), 3, build, (lambda task: not sliced[task]) if alone else None, ("a_id", "b_id"))

@@ -52,6 +52,29 @@ def p2_zone_counts(spark: SparkSession, base: str) -> DataFrame:
     return _inside(spark, base).groupBy(F.col("region_id").alias("zone_id")).agg(F.count(F.lit(1)).alias("n_boxes"))
 
 
+def distance_join(spark: SparkSession, base: str) -> DataFrame:
+    """Records of points and low corners of prisms near each other, over both whole tables."""
+    records = table(spark, base, "points").select(F.col("rec_id").alias("point_id"), *"txy")
+    found = proximity.distance_join(records, _corners(spark, base), NEAR_DISTANCE)
+    return found.select(F.col("a_id").alias("rec_id"), F.col("b_id").alias("box_id"))
+
+
+#: Four polygons around one point, with coordinates that no binary fraction equals.
+_HUB, _RIM = (0.1, 0.7), ((-3.3, -2.9), (4.7, -3.1), (5.3, 6.1), (-2.3, 4.9))
+_FANS = [(i, [_HUB, _RIM[i], (1.7 * (_RIM[i][0] + _RIM[(i + 1) % 4][0]) / 2, 1.7 * (_RIM[i][1] + _RIM[(i + 1) % 4][1]) / 2), _RIM[(i + 1) % 4]], 0.0, 1.0) for i in range(4)]
+
+
+def regions_shared_edges(spark: SparkSession, base: str) -> DataFrame:
+    """Each record is put on an edge that two of four polygons share; in how many of them it lies (one, always)."""
+    regions = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in ring], t1, t2) for i, ring, t1, t2 in _FANS], "region_id bigint, ring array<struct<x:double,y:double>>, t1 double, t2 double")
+    share = F.pmod("rec_id", F.lit(9973)) / F.lit(9973.0)
+    end = [F.element_at(F.array(*[F.lit(p[i]) for p in _RIM]), (F.pmod("rec_id", F.lit(4)) + 1).cast("int")) for i in (0, 1)]
+    on = [F.lit(h) + share * (e - F.lit(h)) for h, e in zip(_HUB, end)]
+    pts = table(spark, base, "points").select(F.col("rec_id").alias("point_id"), F.lit(0.5).alias("t"), on[0].alias("x"), on[1].alias("y"))
+    found = proximity.regions_of(pts, regions)
+    return found.groupBy(F.col("point_id").alias("rec_id")).agg(F.count(F.lit(1)).alias("n_regions"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return hot_keys.heavy_keys(table(spark, base, "datapoints"), "cell_id", HEAVY_SHARE).select("cell_id")
 
@@ -60,7 +83,7 @@ def p4_cells(spark: SparkSession, base: str) -> DataFrame:
     return hot_keys.key_stats(table(spark, base, "datapoints"), "cell_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p1_reason_counts, p2_found, p2_zone_counts, p4_found, p4_cells)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p1_reason_counts, p2_found, p2_zone_counts, distance_join, regions_shared_edges, p4_found, p4_cells)}
 
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
@@ -102,6 +125,12 @@ on p.t1 >= z.t1 and p.t1 < z.t2 and p.x1 >= z.x1 and p.x1 < z.x2 and p.y1 >= z.y
 select zone_id, count(distinct box_id) n_boxes from prisms p join zones z
 on p.t1 >= z.t1 and p.t1 < z.t2 and p.x1 >= z.x1 and p.x1 < z.x2 and p.y1 >= z.y1 and p.y1 < z.y2
 where not isnan(p.t1) and not isnan(p.x1) and not isnan(p.y1) group by 1""",
+    "distance_join": f"""
+with p as (select distinct box_id, t1 t, x1 x, y1 y from prisms where not isnan(t1) and not isnan(x1) and not isnan(y1)),
+g as (select distinct rec_id, t, x, y, cast(floor(t / {NEAR_DISTANCE}) as bigint) g from points where not isnan(t) and not isnan(x) and not isnan(y)),
+s as (select *, unnest([floor(t / {NEAR_DISTANCE})::bigint - 1, floor(t / {NEAR_DISTANCE})::bigint, floor(t / {NEAR_DISTANCE})::bigint + 1]) v from p)
+select distinct g.rec_id, s.box_id from g join s on g.g = s.v where sqrt((g.t - s.t) * (g.t - s.t) + (g.x - s.x) * (g.x - s.x) + (g.y - s.y) * (g.y - s.y)) <= {NEAR_DISTANCE}""",
+    "regions_shared_edges": "select rec_id, 1::bigint n_regions from points where rec_id is not null",
     "p4_found": "select cell_id from datapoints where cell_id is not null group by 1 having count(*) * 50 >= (select count(*) from datapoints)",
     "p4_cells": f"""
 select cell_id, count(*) n_rows, count(*) filter (t is not null and x is not null and y is not null and not isnan(t) and not isnan(x) and not isnan(y)) n_located,
