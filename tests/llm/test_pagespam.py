@@ -3,6 +3,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from tesselith.llm import pagespam as S
@@ -14,6 +15,10 @@ def commit(*lines):
     return HEAD + "".join(f"+{x}\n" for x in lines)
 
 
+def share(text):
+    return float(S.shares(pa.array([text], pa.large_string()))["share"][0])
+
+
 SPAM = {
     "repeated": ["cheap red shoes cheap red shoes best blue hats cheap red shoes"] * 4,
     "links": [f"https://shop{i}.example/go/{i}a" for i in range(9)],
@@ -43,23 +48,24 @@ WORK = {
 
 @pytest.mark.parametrize("name", SPAM)
 def test_spam(name):
-    assert S.page_shares(commit(*SPAM[name]))[3] >= 0.4
+    assert share(commit(*SPAM[name])) >= S.Rule().share
     hidden = commit("import os", "x = load(1)", *[f"# {x}" for x in SPAM[name]], "return x.y(2)")
-    assert S.page_shares(hidden)[3] >= 0.4
+    assert share(hidden) >= S.Rule().share
 
 
 @pytest.mark.parametrize("name", WORK)
 def test_work(name):
-    assert S.page_shares(commit(*WORK[name]))[3] < 0.4
+    assert share(commit(*WORK[name])) < S.Rule().share
 
 
 def test_only_message_and_added_lines_count():
     spam = SPAM["links"]
     removed = HEAD + "".join(f"-{x}\n {x}\n" for x in spam) + "+int x = load(y);\n"
-    assert S.page_shares(removed)[3] < 0.4
+    assert share(removed) < S.Rule().share
     message = "changeset:   1:ab\nuser:        A <a@b.test>\ndate:        x\nsummary:     " + spam[0] + "\n\n" + "\n".join(spam) + "\n"
-    assert S.page_shares(message)[3] >= 0.4
-    assert S.lines_of("r5 | a | 2024-01-24 | 1 lines\n\nfix it\r\n")[0] == ["", "fix it", ""]
+    assert share(message) >= S.Rule().share
+    doc, lines = S.own_lines(pa.array(["r5 | a | 2024-01-24 | 1 lines\n\nfix it\r\n", HEAD + "+a\n b\n-c\n--- a/y\n+++ b/y\n@@ -1 +1 @@\n+d\n", ""]))
+    assert [x for x in zip(doc.tolist(), lines.to_pylist()) if x[1]] == [(0, "fix it"), (1, "    docs"), (1, "a"), (1, "d")]
 
 
 def test_nulls_empty_long_and_repeated(spark):
@@ -80,9 +86,42 @@ def test_against_the_raters(spark):
     assert right >= 0.95 * len(found)  # raters err, too
 
 
-def test_long_digit_tokens_take_no_time():
+PLAIN = {
+    "alike": [f"move the {x} into its own module and keep the old {y}" for x, y in (("reader", "name"), ("writer", "tests"), ("parser", "name"), ("cache", "path"))],
+    "same": ["fix the build of the parser on linux and mac"] * 4,
+    "without stops": ["we read the table once and keep what the first pass found", "the second pass then needs no lock at all", "readers of old files see the same rows as before", "nothing is written until all of them agree"],
+    "awesome": [f"- [tool{i}](https://git.host/u{i}/tool{i}) small {w} for parsing and printing of {v} files" for i, (w, v) in enumerate((("library", "date"), ("program", "trace"), ("shell", "mail"), ("server", "map"), ("kit", "font"), ("index", "log")))],
+    "files": [f"{a}_{b}.py" for a in ("read", "write", "merge") for b in ("one", "two", "all")] + ["setup.py", "readme.md", "build.rs"],
+    "modules": ["import os.path", "os.path", "json.decoder", "from foo.bar import baz"] * 3,
+    "thanks": ["Thanks to Anna Berg for the report", "Thanks to Otto Lind for the patch", "thanks also to Eva Holm and Jon Falk"],
+    "german": ["die neue Prüfung liest jede Zeile nur einmal", "alte Dateien bleiben dabei wie sie waren", "der Rest der Tests folgt mit dem nächsten Schritt"],
+}
+PROMOTION = {
+    **{f"hosts{e}": [f"shop{i}{e}" for i in range(9)] for e in (".ru", ".de", ".io", ".test", ".co.uk")},
+    **{f"paths{e}": [f"best-hats{i}{e}/red-shoes" for i in range(9)] for e in (".ru", ".de", ".io")},
+    "cells": [f"| red shoes Townville | hats{i}.ru |" for i in range(9)],
+    "visit": [f"red shoes and hats call +00 {i}00 1234 mail us@h{i}.ru, visit h{i}.de" for i in range(9)],
+    "labels": [f"* Best {a} {b} >> https://h{i}.io/best-{a}-{b}".lower() for i, (a, b) in enumerate((a, b) for a in ("Red", "Blue", "Warm") for b in ("Shoes", "Hats", "Gloves"))],
+    "without repeats": ["cheap red shoes, best blue hats, discount gold watches, luxury leather bags, winter boots", "online poker rooms, fast cash advance, natural skin cream, seo backlinks, roof repair", "video editor, web hosting, thesis help, hair serum, movie streams"],
+    "many links": [f"http://a{i}.ru/x http://b{i}.de/y http://c{i}.io/z" for i in range(5)],
+    "stop": ["buy cheap shoes cheap shoes cheap shoes now cheap shoes."] * 3,
+}
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_plain_messages_and_lists_of_work(name):
+    message = HEAD.replace("    docs\n", "".join(f"    {x}\n" for x in PLAIN[name]))
+    assert share(message) < S.Rule().share and share(commit(*PLAIN[name])) < S.Rule().share
+
+
+@pytest.mark.parametrize("name", PROMOTION)
+def test_promotion_of_any_host_and_wording(name):
+    assert share(commit(*PROMOTION[name])) >= S.Rule().share
+
+
+def test_long_tokens_take_no_time():
     """In a process of its own: a pattern that tries every split of the digits would never come back."""
-    lines = [f"{token}{end} it broke the build" for token in ("7" * 33 + "abcdef0", "0123456789" * 6 + "abcd", "a1" * 50_000) for end in (",", "-", "_")]
-    code = f"import sys; from tesselith.llm import pagespam as P; lines = sys.stdin.read().split('\\n'); assert all(P.plain('Revert ' + l) == 'Revert ' + l for l in lines); assert all(P.page_shares('Revert ' + l)[0] for l in lines[:6])"
-    subprocess.run([sys.executable, "-c", code], input="\n".join(lines), text=True, check=True, timeout=20, cwd=Path(__file__).parents[2])
-    assert S.plain("v14gra c@sh 4b, x_1 2024") == "viagra cash 4b, x_1 2024"
+    lines = [f"Revert {token}{end} it broke the build" for token in ("7" * 33 + "abcdef0", "0123456789" * 6 + "abcd", "a1" * 50_000, "a." * 50_000, "a " * 50_000) for end in (",", "-", "_")]
+    code = "import sys, pyarrow as pa; from tesselith.llm import pagespam as S; assert (S.shares(pa.array(sys.stdin.read().split('\\n')))['n_chars'] > 0).all()"
+    subprocess.run([sys.executable, "-c", code], input="\n".join(lines), text=True, check=True, timeout=30, cwd=Path(__file__).parents[2])
+    assert [S._plain(w) for w in ("v14gra", "c@sh", "Viagra")] == ["viagra", "cash", "viagra"]
