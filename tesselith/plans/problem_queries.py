@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesselith.operators import hot_keys, parse_rules, proximity
 from tesselith.sources.tables import table
 
-NEAR_DISTANCE = 25.0
+NEAR_DISTANCE, JOIN_DISTANCE = 25.0, 400.0
 HEAVY_SHARE = (1, 50)
 
 
@@ -53,10 +53,10 @@ def p2_zone_counts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def distance_join(spark: SparkSession, base: str) -> DataFrame:
-    """Records of points and low corners of prisms near each other, over both whole tables."""
-    records = table(spark, base, "points").select(F.col("rec_id").alias("point_id"), *"txy")
-    found = proximity.distance_join(records, _corners(spark, base), NEAR_DISTANCE)
-    return found.select(F.col("a_id").alias("rec_id"), F.col("b_id").alias("box_id"))
+    """Data points and low corners of prisms near each other, over both whole tables."""
+    records = table(spark, base, "datapoints").select(F.col("id").alias("point_id"), *"txy")
+    found = proximity.distance_join(records, _corners(spark, base), JOIN_DISTANCE)
+    return found.select(F.col("a_id").alias("id"), F.col("b_id").alias("box_id"))
 
 
 #: Four polygons around one point, with coordinates that no binary fraction equals.
@@ -127,9 +127,9 @@ on p.t1 >= z.t1 and p.t1 < z.t2 and p.x1 >= z.x1 and p.x1 < z.x2 and p.y1 >= z.y
 where not isnan(p.t1) and not isnan(p.x1) and not isnan(p.y1) group by 1""",
     "distance_join": f"""
 with p as (select distinct box_id, t1 t, x1 x, y1 y from prisms where not isnan(t1) and not isnan(x1) and not isnan(y1)),
-g as (select distinct rec_id, t, x, y, cast(floor(t / {NEAR_DISTANCE}) as bigint) g from points where not isnan(t) and not isnan(x) and not isnan(y)),
-s as (select *, unnest([floor(t / {NEAR_DISTANCE})::bigint - 1, floor(t / {NEAR_DISTANCE})::bigint, floor(t / {NEAR_DISTANCE})::bigint + 1]) v from p)
-select distinct g.rec_id, s.box_id from g join s on g.g = s.v where sqrt((g.t - s.t) * (g.t - s.t) + (g.x - s.x) * (g.x - s.x) + (g.y - s.y) * (g.y - s.y)) <= {NEAR_DISTANCE}""",
+g as (select distinct id, t, x, y, cast(floor(t / {JOIN_DISTANCE}) as bigint) g from datapoints where not isnan(t) and not isnan(x) and not isnan(y)),
+s as (select *, unnest([floor(t / {JOIN_DISTANCE})::bigint - 1, floor(t / {JOIN_DISTANCE})::bigint, floor(t / {JOIN_DISTANCE})::bigint + 1]) v from p)
+select distinct g.id, s.box_id from g join s on g.g = s.v where sqrt((g.t - s.t) * (g.t - s.t) + (g.x - s.x) * (g.x - s.x) + (g.y - s.y) * (g.y - s.y)) <= {JOIN_DISTANCE}""",
     "regions_shared_edges": "select rec_id, 1::bigint n_regions from points where rec_id is not null",
     "p4_found": "select cell_id from datapoints where cell_id is not null group by 1 having count(*) * 50 >= (select count(*) from datapoints)",
     "p4_cells": f"""
