@@ -10,7 +10,9 @@ from tesselith.session import cut
 from tesselith.sources.tables import table
 
 PERMILLE = (10, 50, 250, 500, 750, 900, 950, 990)
-SAMPLE_SIZE, SAMPLE_SLOTS, SEED = 5_000, 1_000, 20_240_101
+SAMPLE_SIZE, SAMPLE_SLOTS, SEED = 5_000, 500, 20_240_101
+#: Seconds between the batches in which points arrive.
+ARRIVALS = 5 * 86_400.0
 
 
 def p3_percentiles(spark: SparkSession, base: str) -> DataFrame:
@@ -27,8 +29,19 @@ def p3_merged(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_sample(spark: SparkSession, base: str) -> DataFrame:
-    columns = ["rec_id", "t", "x", "piece_id"]
-    return reservoir.reservoir_sample(table(spark, base, "points"), SAMPLE_SIZE, "piece_id", "arrived_at", "rec_id", columns, SEED, SAMPLE_SLOTS).drop("slot_part")
+    """Played batch by batch, as the pieces arrive; how many follow is known to none of the batches."""
+    points = table(spark, base, "points")
+    return reservoir.reservoir_sample(points, SAMPLE_SIZE, "arrived_at", ["rec_id", "t", "x", "piece_id"], ARRIVALS, SEED, SAMPLE_SLOTS).drop("slot")
+
+
+def p5_check(spark: SparkSession, base: str) -> DataFrame:
+    """Of a sample: rows, different records, records that points doesn't hold as they are, partitions of slots that aren't full."""
+    points = table(spark, base, "points").select("rec_id", "t", "x", "piece_id")
+    drawn = cut(reservoir.reservoir_sample(table(spark, base, "points"), SAMPLE_SIZE, "arrived_at", points.columns, ARRIVALS, SEED, SAMPLE_SLOTS))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in points.columns]
+    foreign = drawn.alias("d").join(points.alias("p"), same, "left_anti").count()
+    slots = drawn.groupBy(F.floor(F.col("slot") / SAMPLE_SLOTS).alias("p")).agg(F.countDistinct("slot").alias("n")).where(F.col("n") == SAMPLE_SLOTS).count()
+    return drawn.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("rec_id").alias("n_ids"), F.lit(foreign).cast("bigint").alias("n_foreign"), F.lit(slots).cast("bigint").alias("full_parts"))
 
 
 def _packed(spark: SparkSession, base: str) -> DataFrame:
@@ -69,9 +82,11 @@ def p8_pages(spark: SparkSession, base: str) -> DataFrame:
     return pagespam.page_shapes(table(spark, base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_summaries, p3_merged, p5_sample, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_pages)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_day_summaries, p3_merged, p5_sample, p5_check, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_pages)}
 
 ORACLES = {
+    "p5_check": f"""select least(count(*), {SAMPLE_SIZE})::bigint n_rows, least(count(*), {SAMPLE_SIZE})::bigint n_ids, 0::bigint n_foreign,
+case when count(*) >= {SAMPLE_SIZE} then {SAMPLE_SIZE // SAMPLE_SLOTS} else null end::bigint full_parts from points""",
     "p3_percentiles": f"""
 with v as (select query_field, field_value + 0.0 field_value from range_values where field_value is not null and not isnan(field_value)),
 r as (select *, row_number() over (partition by query_field order by field_value) i, count(*) over (partition by query_field) n from v),

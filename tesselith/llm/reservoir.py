@@ -2,229 +2,257 @@
 
 The sample lives in slots, which are hashed into partitions of bounded size. For a batch of b records after s others,
 the number that enter is drawn hypergeometrically; it is split over the partitions by their slots, each partition evicts
-that many of its records uniformly, and a uniform sample of the batch takes their place. After every batch all
-records seen so far are in the sample with the same probability.
+that many of its records uniformly, and a uniform sample of the batch takes their places. After every batch all
+records seen so far are in the sample with the same probability. Nothing is known of later batches.
 
-Random choices are functions of the seed and the record id, with the row's position if the id is null or repeated, so a
-task that runs again chooses the same.
+The sample is a log: a record that enters is written with its slot and the number of its batch, and the slot's latest
+record is the one it holds. So a batch writes only what enters (k / s of it, once s records are seen), never the sample
+again; when the log has grown to a multiple of the sample it is written anew without the evicted records.
+
+A batch's random keys are materialised before they are used, so a task that runs again chooses the same.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import math
+import uuid
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tesselith.session import SMALL_ROWS, cut, shared_dir
+from tesselith.session import cut, shared_dir
 
-#: Slots of a partition, and batches and numbers (batches times partitions) that one plan may have.
-SLOTS, BATCHES, PLAN_CELLS = 50_000, 10_000, 2_000_000
+#: Slots of a partition, entering records that a task places, and the size of the log in samples from which it is written anew.
+SLOTS, RUN_ROWS, LOG_SAMPLES = 50_000, 50_000, 3
+#: Populations from which numpy's own draws fail.
+_HUGE = 10**9
 
 
 def entering(rng: np.random.Generator, batch: int, before: int, size: int) -> int:
-    """How many of ``size`` records drawn from before + batch without replacement are of the batch."""
-    if max(batch, before) < 10**9:
+    """How many of ``size`` records drawn from before + batch without replacement are of the batch.
+
+    Beyond numpy's range by inversion: the ratios of neighbouring probabilities are exact, and what lies more than twelve
+    deviations from the middle (one in 10 ** 30) is left out. The memory is some deviations, not the size."""
+    if batch + before < _HUGE:
         return int(rng.hypergeometric(batch, before, size))
-    taken = np.empty(0, dtype="uint64")
-    while len(taken) < size:  # distinct places; those below batch are the batch's
-        more = rng.integers(0, batch + before, size - len(taken), dtype="uint64")
-        taken = np.unique(np.concatenate([taken, more]))
-    return int((taken < batch).sum())
+    low, high, total = max(0, size - before), min(batch, size), batch + before
+    mode = (size + 1) * (batch + 1) // (total + 2)
+    wide = 12 * math.sqrt(size * (batch / total) * (before / total) * ((total - size) / max(1, total - 1))) + 50
+    x = np.arange(max(low, mode - int(wide)), min(high, mode + int(wide)) + 1, dtype="int64")
+    at = x[:-1].astype(float)
+    steps = np.log((batch - at) * (size - at)) - np.log((at + 1) * (before - size + at + 1))
+    log = np.concatenate([[0.0], np.cumsum(steps)])
+    up = np.cumsum(np.exp(log - log.max()))
+    return int(x[np.searchsorted(up, rng.random() * up[-1], "right")])
 
 
 def split(rng: np.random.Generator, of: np.ndarray, n: int) -> np.ndarray:
-    """n draws without replacement from partitions that hold ``of`` records."""
-    return rng.multivariate_hypergeometric(of, n, method="marginals") if n else np.zeros(len(of), dtype="int64")
+    """n draws without replacement from partitions that hold ``of`` records; more than numpy can take are halved first."""
+    if not n:
+        return np.zeros(len(of), dtype="int64")
+    if len(of) == 1:
+        return np.array([n], dtype="int64")
+    if of.sum() < _HUGE:
+        return rng.multivariate_hypergeometric(of, n, method="marginals")
+    half = len(of) // 2
+    left = entering(rng, int(of[:half].sum()), int(of[half:].sum()), n)
+    return np.concatenate([split(rng, of[:half], left), split(rng, of[half:], n - left)])
 
 
 @dataclass
-class Plan:
-    """Per batch: how many records enter, and per batch and partition how many leave and how many enter."""
+class Step:
+    """Of one batch: how many records enter, and per partition how many leave and how many enter."""
 
-    enter: np.ndarray
+    enter: int
     evict: np.ndarray
     insert: np.ndarray
 
 
 def capacities(k: int, slots: int = SLOTS) -> np.ndarray:
     parts = max(1, -(-k // slots))
-    return np.array([k // parts + (p < k % parts) for p in range(parts)], dtype="int64")
+    return k // parts + (np.arange(parts) < k % parts).astype("int64")
 
 
-def make_plan(sizes: Sequence[int], k: int, seed: int, caps: np.ndarray, seen: int = 0, held: np.ndarray | None = None) -> Plan:
+def make_step(size: int, k: int, seed: int, caps: np.ndarray, seen: int, held: np.ndarray) -> Step:
+    """The step of a batch of ``size`` records after ``seen`` others, of which the partitions hold ``held``."""
+    if not size:
+        none = np.zeros(len(caps), dtype="int64")
+        return Step(0, none, none)
     rng = np.random.default_rng([seed, seen])
-    held = np.zeros(len(caps), dtype="int64") if held is None else held.copy()
-    enter, evict, insert = np.zeros(len(sizes), dtype="int64"), np.zeros((len(sizes), len(caps)), dtype="int64"), np.zeros((len(sizes), len(caps)), dtype="int64")
-    for b, size in enumerate(sizes):
-        if size:
-            after = min(k, seen + size)
-            enter[b] = entering(rng, size, seen, after)
-            evict[b] = split(rng, held, int(held.sum() + enter[b] - after))
-            insert[b] = split(rng, caps - held + evict[b], enter[b])
-            held += insert[b] - evict[b]
-            seen += size
-    return Plan(enter, evict, insert)
-
-
-def _told_apart(df: DataFrame, ids: str) -> DataFrame:
-    """df with __copy: the position of a row whose id is null or repeated, null for all others.
-
-    At most SMALL_ROWS ids can have more than their share of the rows; they are broadcast, so no group of copies is one task's."""
-    own = F.col(f"`{ids}`")
-    copies = cut(df.where(own.isNotNull()).groupBy(own.alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
-    found = copies.agg(F.count(F.lit(1)).alias("ids"), F.sum("__n").alias("rows")).first()
-    placed = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__copy", F.when(own.isNull(), F.col("__at")))
-    if found["ids"] <= SMALL_ROWS:
-        parts = [F.broadcast(copies)] if found["ids"] else []
-    else:
-        often = F.col("__n") > found["rows"] // SMALL_ROWS
-        parts = [F.broadcast(copies.where(often)), copies.where(~often)]
-    for part in parts:
-        open_ = F.coalesce(F.col("__copy") + 1, F.lit(0)) == F.col("__zero")  # spreads the rows that have a position already
-        placed = placed.join(part.withColumn("__zero", F.lit(0).cast("bigint")), (own == F.col("__id")) & open_, "left").withColumn("__copy", F.when(F.col("__n").isNotNull(), F.col("__at")).otherwise(F.col("__copy"))).drop("__id", "__n", "__zero")
-    return placed.drop("__at")
-
-
-def _candidates(df: DataFrame, batches: DataFrame, plan: Plan, sizes: Sequence[int], ids: str, seed: int, salt: int) -> DataFrame:
-    """A uniform sample of plan.enter[b] records of each batch b, with __part and __evict: (df..., __b, __rank, __part, __evict).
-
-    The records of a batch are ordered by a hash; only those below a bound that surely leaves enough are kept, and
-    ranked by counts of hash intervals and the order within each interval."""
-    spark = df.sparkSession
-    df = _told_apart(df, ids)
-    slack = 6.0
+    after = min(k, seen + size)
+    enter = entering(rng, size, seen, after)
+    evict = split(rng, held, int(held.sum() + enter - after))
+    return Step(enter, evict, split(rng, caps - held + evict, enter))
+
+
+def _placed(batch: DataFrame, size: int, step: Step, held: np.ndarray, slots: int, seed: Sequence[int]) -> DataFrame:
+    """(__slot, columns...): a uniform sample of step.enter of the batch's ``size`` records, in slots that are free or whose
+    records are evicted.
+
+    Taken are the records with the least random keys. Only keys below a bound that surely leaves enough are kept and
+    written; they are dealt to runs of about RUN_ROWS by the key, whose counts tell the ranks before each run. A run knows
+    its ranks, ranks belong to partitions in turn, and a partition's slots are a function of seed and partition. Every record
+    has a key of its own, so copies and rows without id are drawn one by one."""
+    columns, enter, slack = batch.columns, step.enter, 6.0
+    key = int(np.random.default_rng([*seed, 0]).integers(2**31))
+    runs = max(1, -(-enter // RUN_ROWS))
     while True:
-        rows = []
-        for b, n in enumerate(plan.enter):
-            share = min(1.0, (n + slack * np.sqrt(n) + 20) / max(1, sizes[b])) if n else 0.0
-            top = min(2**63 - 1, int(-(2**63) + share * 2**64))
-            rows.append((b, int(n), top, np.cumsum(plan.insert[b]).tolist(), plan.evict[b].tolist()))
-        table = spark.createDataFrame(rows, "__b int, __enter bigint, __top bigint, __ins array<bigint>, __ev array<bigint>").where("__enter > 0")
-        keyed = df.join(F.broadcast(batches), F.col("__piece").eqNullSafe(F.col("__p"))).drop("__p", "__piece")  # at most BATCHES rows
-        keyed = keyed.withColumn("__u", F.xxhash64(F.lit(seed), F.lit(salt), F.col(f"`{ids}`"), F.col("__copy"))).drop("__copy").join(F.broadcast(table), "__b").where("__u <= __top")
-        keyed = cut(keyed.withColumn("__bucket", F.shiftright("__u", 44)))
-        counts = keyed.groupBy("__b", "__bucket").agg(F.count(F.lit(1)).alias("__c"))
-        have = {r["__b"]: r["n"] for r in counts.groupBy("__b").agg(F.sum("__c").alias("n")).collect()}
-        if all(have.get(b, 0) >= n for b, n in enumerate(plan.enter)):
+        bound = min(1.0, (enter + slack * math.sqrt(enter) + 20) / max(1, size))
+        kept = batch.withColumn("__u", F.rand(key)).where(F.col("__u") < bound)
+        kept = cut(kept.withColumn("__run", F.floor(F.col("__u") * (runs / bound)).cast("int")))
+        counts = np.zeros(runs + 1, dtype="int64")
+        for r in kept.groupBy("__run").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a run
+            counts[r["__run"]] = r["n"]
+        if counts.sum() >= enter:
             break
         slack *= 4
-    up_to = Window.partitionBy("__b").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = counts.withColumn("__before", F.sum("__c").over(up_to) - F.col("__c")).drop("__c")
-    within = F.row_number().over(Window.partitionBy("__b", "__bucket").orderBy("__u", f"`{ids}`"))
-    ranked = keyed.join(before, ["__b", "__bucket"]).withColumn("__rank", F.col("__before") + within).where("__rank <= __enter")
-    ranked = ranked.withColumn("__part", F.size(F.filter("__ins", lambda c: c < F.col("__rank"))))
-    return ranked.withColumn("__evict", F.element_at("__ev", F.col("__part") + 1)).drop("__ins", "__ev", "__top", "__enter", "__before", "__bucket", "__u")
-
-
-def _settle(rows: DataFrame, columns: DataFrame, seed: int) -> DataFrame:
-    """Plays the batches of each partition: evict uniformly, then insert. A partition has its slots times 1 + ln(N / k) rows."""
-    names = columns.columns
-
-    def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__b", "__rank"], kind="stable", ignore_index=True)
-        part = int(pdf["__part"].iloc[0]) if len(pdf) else 0
-        rng = np.random.default_rng([seed, part])
-        held = np.empty(0, dtype="int64")
-        for _, own in pdf.groupby("__b", sort=True):
-            leave = int(own["__evict"].iloc[0])
-            if leave:
-                held = np.delete(held, rng.choice(len(held), leave, replace=False))
-            held = np.concatenate([held, own.index.to_numpy()])
-        out = pdf.iloc[np.sort(held)][names].copy()
-        out["slot_part"] = part
+    before, ends = np.cumsum(counts) - counts, np.cumsum(step.insert)
+
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(before[key[0]])
+        pdf = pdf.sort_values("__u", ignore_index=True).iloc[: max(0, enter - first)]
+        rank = np.arange(first, first + len(pdf))
+        part, slot = np.searchsorted(ends, rank, "right"), np.empty(len(pdf), dtype="int64")
+        for p in np.unique(part).tolist():
+            rng = np.random.default_rng([*seed, 1, p])
+            gone = rng.choice(int(held[p]), int(step.evict[p]), replace=False)
+            taken = np.concatenate([gone, np.arange(held[p], held[p] + step.insert[p] - step.evict[p])])
+            own = part == p
+            slot[own] = p * slots + taken[rank[own] - (ends[p] - step.insert[p])]
+        out = pdf[columns].copy()
+        out.insert(0, "__slot", slot)
         return out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields)
-    return rows.groupBy("__part").applyInPandas(play, f"{schema}, slot_part int")
-
-
-def reservoir_sample(df: DataFrame, k: int, piece: str, order: str, ids: str, columns: Sequence[str], seed: int = 1, slots: int = SLOTS, max_batches: int = BATCHES) -> DataFrame:
-    """(columns..., slot_part): k records of df, or all if it has no more, drawn as its pieces arrive.
-
-    piece: the column that tells the pieces, a null being one of its own; they arrive in the order of the least
-    ``order`` of their rows (nulls first), ties by piece. ids tells the records apart; rows with equal ids, or a null
-    one, are still records of their own. Null columns are kept as they are. If there are more than max_batches
-    pieces (fewer if k needs many partitions), pieces are joined into so many batches by hash, which leaves the sample
-    as uniform. k = 0 or an empty df gives no rows.
-    """
-    if k < 0:
-        raise ValueError("k must not be negative")
-    p = F.col(f"`{piece}`")
-    rows = df.select(p.alias("__piece"), F.col(f"`{order}`").alias("__order"), *[F.col(f"`{c}`") for c in dict.fromkeys([*columns, ids])])
-    if k == 0:
-        return df.select(*columns).withColumn("slot_part", F.lit(0)).where("false")
-    pieces = rows.groupBy("__piece").agg(F.count(F.lit(1)).alias("n"), F.min("__order").alias("first"))
-    caps = capacities(k, slots)
-    max_batches = max(1, min(max_batches, PLAN_CELLS // len(caps)))
-    if len(pieces.limit(max_batches + 1).collect()) > max_batches:
-        rows = rows.withColumn("__piece", F.pmod(F.xxhash64("__piece"), F.lit(max_batches)))
-        pieces = rows.groupBy("__piece").agg(F.count(F.lit(1)).alias("n"), F.min("__order").alias("first"))
-    arrived = pieces.orderBy(F.asc_nulls_first("first"), F.asc_nulls_first("__piece")).collect()
-    sizes = [r["n"] for r in arrived]
-    plan = make_plan(sizes, k, seed, caps)
-    batches = df.sparkSession.createDataFrame([(r["__piece"], b) for b, r in enumerate(arrived)], f"__p {rows.schema['__piece'].dataType.simpleString()}, __b int")
-    ranked = _candidates(rows.drop("__order"), batches, plan, sizes, ids, seed, 0)
-    return _settle(ranked, df.select(*columns), seed)
+    schema = T.StructType([T.StructField("__slot", T.LongType()), *batch.schema])
+    return kept.groupBy("__run").applyInPandas(place, schema)
 
 
 class Reservoir:
-    """The sample of a stream, kept as a table below ``path``: call update with each batch, e.g. from foreachBatch.
+    """The sample of a stream, kept as a log below ``path``: call update with each batch, e.g. from foreachBatch.
 
-    Versions are written beside each other and the state file last, so a batch that failed halfway is simply
-    repeated; a batch number already taken in is ignored.
+    Log and state files are written under new names, the state last and by renaming, so a batch that failed halfway is
+    simply repeated and a crash leaves the last state; a batch number already taken in is ignored. All batches have the
+    same columns; nulls, copies and rows without id are records like others.
     """
 
-    def __init__(self, spark: SparkSession, k: int, ids: str, path: str | None = None, seed: int = 1, slots: int = SLOTS):
-        self.spark, self.k, self.ids, self.seed = spark, k, ids, seed
-        self.path = path or f"{shared_dir(spark)}/reservoir-{seed}-{k}"
+    def __init__(self, spark: SparkSession, k: int, path: str | None = None, seed: int = 1, slots: int = SLOTS):
+        if k < 0:
+            raise ValueError("k must not be negative")
+        self.spark, self.k, self.seed, self.slots = spark, k, seed, slots
+        self.path = path or f"{shared_dir(spark)}/reservoir-{uuid.uuid4().hex}"
         self.caps = capacities(k, slots)
 
-    def _file(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state.json")
+    def _fs(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def state(self) -> dict:
-        fs, path = self._file()
+    def _states(self) -> list[str]:
+        fs, path = self._fs()
         if not fs.exists(path):
-            return {"version": -1, "batch": -1, "seen": 0, "held": [0] * len(self.caps)}
-        return json.loads(self.spark.read.text(str(path.toString()), wholetext=True).first()[0])
+            return []
+        return sorted(n for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith("state-"))
+
+    def state(self) -> dict:
+        """batch, seen, held (per partition), rows (of the log), log (its folders); of the last complete update."""
+        names = self._states()
+        if not names:
+            return {"batch": -1, "seen": 0, "held": [0] * len(self.caps), "rows": 0, "log": []}
+        fs, path = self._fs(names[-1])
+        data = fs.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8"))
+        finally:
+            data.close()
+
+    def _log(self, state: dict) -> DataFrame:
+        """The latest record of each slot, as (__slot, __batch, columns...)."""
+        rows = self.spark.read.parquet(*[f"{self.path}/{name}" for name in state["log"]])
+        names = [c for c in rows.columns if c not in ("__slot", "__batch")]
+        last = rows.groupBy("__slot").agg(F.max_by(F.struct("__batch", *[F.col(f"`{c}`") for c in names]), "__batch").alias("r"))
+        return last.select("__slot", "r.*")
 
     def sample(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.state()['version']}")
+        """The sample: the columns of the batches, and slot."""
+        state = self.state()
+        if not state["log"]:
+            raise ValueError("no batch has arrived")
+        return self._log(state).drop("__batch").withColumnRenamed("__slot", "slot")
 
     def update(self, batch: DataFrame, number: int) -> None:
         old = self.state()
         if number <= old["batch"]:
             return
-        n = batch.count()
-        held = np.array(old["held"], dtype="int64")
-        plan = make_plan([n], self.k, self.seed, self.caps, old["seen"], held)
-        names, stayed = batch.columns, plan.evict[0].tolist()
-        rows = batch.withColumn("__piece", F.lit(0))
-        batches = self.spark.createDataFrame([(0, 0)], "__p int, __b int")
-        fresh = _candidates(rows, batches, plan, [n], self.ids, self.seed, number).select(*names, F.col("__part").alias("slot_part"))
-        if old["version"] >= 0:
-            seed = self.seed
-
-            def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-                part = int(pdf["slot_part"].iloc[0])
-                rng = np.random.default_rng([seed, number, part])
-                gone = rng.choice(len(pdf), int(stayed[part]), replace=False)
-                return pdf.sort_values(self_ids, ignore_index=True).drop(index=gone)
-
-            self_ids = self.ids
-            kept = self.sample()
-            fresh = fresh.unionByName(kept.groupBy("slot_part").applyInPandas(leave, kept.schema))
-        version = old["version"] + 1
-        fresh.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        held = held - plan.evict[0] + plan.insert[0]
-        text = json.dumps({"version": version, "batch": number, "seen": old["seen"] + n, "held": held.tolist()})
-        fs, path = self._file()
-        out = fs.create(path, True)
-        out.write(bytearray(text.encode()))
+        size, held = batch.count(), np.array(old["held"], dtype="int64")
+        step = make_step(size, self.k, self.seed, self.caps, old["seen"], held)
+        log, rows = list(old["log"]), old["rows"] + step.enter
+        if step.enter or not log:
+            placed = _placed(batch, size, step, held, self.slots, (self.seed, number))
+            log.append(f"log-{number:012d}-{uuid.uuid4().hex[:8]}")
+            placed.withColumn("__batch", F.lit(number).cast("bigint")).write.parquet(f"{self.path}/{log[-1]}")
+        state = {"batch": number, "seen": old["seen"] + size, "held": (held - step.evict + step.insert).tolist(), "rows": rows, "log": log}
+        if rows > LOG_SAMPLES * max(1, self.k):
+            whole = f"log-{number:012d}-{uuid.uuid4().hex[:8]}"
+            self._log(state).write.parquet(f"{self.path}/{whole}")
+            state |= {"log": [whole], "rows": int(sum(state["held"]))}
+        self._keep(state, old)
+
+    def _keep(self, state: dict, old: dict) -> None:
+        """The state's file, complete before it has its name; older ones and log folders of neither state are removed."""
+        fs, temporary = self._fs(f"tmp-{uuid.uuid4().hex}")
+        out = fs.create(temporary, True)
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
+        if not fs.rename(temporary, self._fs(f"state-{state['batch']:012d}")[1]):
+            raise OSError(f"state {state['batch']} exists already")
+        for name in self._states()[:-2]:
+            fs.delete(self._fs(name)[1], False)
+        wanted = {*state["log"], *old["log"]}
+        for s in fs.listStatus(self._fs()[1]):
+            name = s.getPath().getName()
+            if name.startswith("log-") and name not in wanted:
+                fs.delete(s.getPath(), True)
+
+
+def play(batches: Iterable[DataFrame], reservoir: Reservoir) -> DataFrame:
+    """The sample after the batches have arrived one after another."""
+    for number, batch in enumerate(batches):
+        reservoir.update(batch, number)
+    return reservoir.sample()
+
+
+def arrivals(df: DataFrame, order: str, every: float) -> list[DataFrame]:
+    """The batches in which the rows of a table arrived: by the timestamp ``order``, in windows of ``every`` seconds. Rows
+    without it are of the first batch. Only the least and the greatest time are looked up, not how many rows there are."""
+    at = F.col(f"`{order}`").cast("timestamp").cast("double")
+    first, last = df.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        return [df]
+    edges = np.arange(math.floor(first / every) * every, last, every).tolist()[1:]
+    stored = lambda v: F.timestamp_seconds(F.lit(v)).cast(df.schema[order].dataType)
+    out = []
+    for low, high in zip([None, *edges], [*edges, None]):
+        inside = F.lit(True)
+        if high is not None:
+            inside &= F.col(f"`{order}`") < stored(high)
+        if low is not None:
+            inside &= F.col(f"`{order}`") >= stored(low)
+        elif high is not None:
+            inside |= F.col(f"`{order}`").isNull()
+        out.append(df.where(inside))
+    return out
+
+
+def reservoir_sample(df: DataFrame, k: int, order: str, columns: Sequence[str], every: float, seed: int = 1, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """(columns..., slot): k records of df, or all if it has no more, drawn as its rows arrive in windows of ``every`` seconds.
+
+    Repeated rows and rows with nulls are records of their own; other columns play no part. k = 0 or an empty df gives no
+    rows. The same seed and the same files give the same sample."""
+    spark = df.sparkSession
+    batches = (b.select(*[F.col(f"`{c}`") for c in columns]) for b in arrivals(df, order, every))
+    return play(batches, Reservoir(spark, k, path, seed, slots))
