@@ -13,6 +13,7 @@ sum a percentile is known to lie between two values at most 2 ** (1 / STEPS) - 1
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ from tesselith.session import SMALL_ROWS, cut
 STEPS, FAN = 128, 4096
 #: Binary exponents of doubles lie within this.
 _FAR = 1100
-_SALTS = 64
 
 
 def _clean(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -77,8 +77,8 @@ def percentiles(df: DataFrame, group: str, value: str, permille: Sequence[int],
 
     Nulls, NaN, ties and repeated rows are as in summaries; a group without values has no row, an empty df no rows;
     other columns play no part. After the first pass at most ceil(46 / log2(fan)) passes follow, usually one or two.
-    Each pass checkpoints the state, which has a row per group and percentile; up to broadcast_rows intervals are
-    broadcast, more are joined over salted keys.
+    Each pass checkpoints the state, which has a row per group and percentile; broadcast_rows intervals are broadcast
+    at once, more in several passes.
     """
     if fan < 2:
         raise ValueError("fan must be 2 at least")
@@ -88,16 +88,17 @@ def percentiles(df: DataFrame, group: str, value: str, permille: Sequence[int],
     while True:
         unsolved = state.where("low < high")
         intervals = unsolved.select("g", "low", "high").distinct()
-        size = intervals.limit(broadcast_rows + 1).count()
+        size = intervals.count()
         if size == 0:
             return state.select(F.col("g").alias(group), "permille", "n", F.col("low").alias("value"))
         same = F.col("__g").eqNullSafe(F.col("g")) & (F.col("__v") >= F.col("low")) & (F.col("__v") <= F.col("high"))
-        if size <= broadcast_rows:
-            inside = rows.join(F.broadcast(intervals), same)
-        else:
-            left = rows.withColumn("__s", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)))
-            right = intervals.withColumn("__t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))))
-            inside = left.join(right, same & (F.col("__s") == F.col("__t")))
+        # As many map-side passes as the intervals fill broadcasts; rows never move. Hashed slices are of about equal size.
+        slices = -(-size // max(1, broadcast_rows))
+        if slices > 1:
+            slices += 1 + slices // 4
+            intervals = cut(intervals.withColumn("__s", F.pmod(F.xxhash64("g", "low", "high"), F.lit(slices))))
+        parts = [intervals] if slices == 1 else [intervals.where(F.col("__s") == i).drop("__s") for i in range(slices)]
+        inside = reduce(DataFrame.unionByName, [rows.join(F.broadcast(p), same) for p in parts])
         place = F.floor((F.col("__v") - F.col("low")) / (F.col("high") - F.col("low")) * fan)
         counts = (
             inside.withColumn("part", F.least(place, F.lit(fan - 1).cast("bigint")))

@@ -10,30 +10,30 @@ two rounds of interval sums and a short ordered run, so no source is ever sorted
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources that targets may name; they are worked on at the driver.
-MAX_SOURCES = 10_000
+from tesselith.session import SMALL_ROWS
+
+#: Sources that targets may name (200,000); they are worked on at the driver and broadcast, a few dozen bytes each.
+MAX_SOURCES = SMALL_ROWS
 
 
 def water_fill(available: Mapping[str, int], share: Mapping[str, float], repeats: Mapping[str, int], total: float) -> dict[str, float]:
     """Size given to each source of share; less than total in all only if every source is at its limit."""
     out = {s: 0.0 for s in share}
-    open_ = {s: w for s, w in share.items() if w > 0}
+    limit = {s: float(available.get(s, 0)) * repeats[s] for s, w in share.items() if w > 0}
+    # Those that reach their limit first, in the order of the level at which they do.
+    order = sorted(limit, key=lambda s: limit[s] / share[s])
+    weights = [*accumulate(share[s] for s in reversed(order))][::-1]  # of a source and all after it
     left = float(total)
-    while open_:
-        weight = sum(open_.values())
-        limit = {s: float(available.get(s, 0)) * repeats[s] for s in open_}
-        over = [s for s in open_ if left * open_[s] / weight >= limit[s]]
-        if not over:
-            return out | {s: left * w / weight for s, w in open_.items()}
-        for s in over:
-            out[s] = limit[s]
-        left -= sum(limit[s] for s in over)
-        for s in over:
-            del open_[s]
+    for i, s in enumerate(order):
+        if left * share[s] / weights[i] < limit[s]:
+            return out | {r: left * share[r] / weights[i] for r in order[i:]}
+        out[s] = limit[s]
+        left -= limit[s]
     return out
 
 

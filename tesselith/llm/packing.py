@@ -10,11 +10,16 @@ and a remainder, which is packed like a text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselith.llm import tokens
+from tesselith.session import cut
+
 #: Texts of a shard, groups of large sizes, and the share of the capacity from which a size is large.
 SHARD_ROWS, GROUPS, LARGE = 20_000, 24, 0.1
 #: Containers of a shard are numbered below this.
@@ -75,14 +80,17 @@ def _knapsack(value: np.ndarray, size: np.ndarray, capacity: int, most: int) ->
     return counts
 
 
-def configurations(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300) -> list[tuple[np.ndarray, int]]:
+def configurations(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """(numbers of each size in a container, how many such containers), in whole containers that need no more than the demand."""
     k = len(size)
     most = int(capacity // size.min())
     columns = np.diag(np.maximum(1, capacity // size)).astype(float)
     inverse = np.linalg.inv(columns)
     x = inverse @ demand
-    for _ in range(rounds):
+    best, stalled = np.inf, 0
+    while stalled <= 50 + 2 * k:  # until no configuration is better; ties could go round for ever
+        stalled = 0 if x.sum() < best - 1e-9 else stalled + 1
+        best = min(best, x.sum())
         dual = np.maximum(np.ones(k) @ inverse, 0)
         new = _knapsack(dual, size, capacity, most)
         if dual @ new <= 1 + 1e-7:
@@ -146,15 +154,14 @@ def pack(sizes: DataFrame, containers: DataFrame, shards: int, groups: int = GRO
     """
     kinds = containers.where("capacity_tokens >= 1 and container_kind is not null").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity"))
     texts = sizes.where("n_tokens is not null").select("doc_id", F.col("n_tokens").cast("bigint"))
-    # By row, not by id: copies of a text go to all shards, too.
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    few = kinds.limit(1001).collect()
-    if len(few) > 1000:
-        raise ValueError("more than 1000 kinds of containers")
-    options = F.array(*[F.struct(F.lit(r["container_kind"]).alias("kind"), F.lit(r["capacity"]).alias("capacity")) for r in few])
-    if not few:
-        options = F.array().cast("array<struct<kind:string,capacity:int>>")
-    jobs = dealt.withColumn("__k", F.explode(options)).select("shard", F.col("__k.kind").alias("container_kind"), F.col("__k.capacity").alias("capacity"), "doc_id", "n_tokens")
+    # By row, not by id: copies of a text go to all shards, too. Rows are sorted within their task first (equal ones can
+    # take each other's places), so that a task that runs again deals the same rows to the same shards.
+    dealt = texts.sortWithinPartitions("doc_id", "n_tokens").withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    # Every text goes to every kind; kinds have numbers, dealt out in turn, and join by them.
+    numbered = cut(kinds.distinct().withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("container_kind", "capacity")) - 1))  # a row a kind
+    n_kinds = numbered.count()
+    jobs = dealt.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n_kinds - 1)))) if n_kinds else dealt.withColumn("__k", F.lit(0))
+    jobs = jobs.join(numbered, "__k").select("shard", "container_kind", "capacity", "doc_id", "n_tokens")
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard, kind, capacity = int(key[0]), key[1], int(key[2])
@@ -180,6 +187,25 @@ def pack(sizes: DataFrame, containers: DataFrame, shards: int, groups: int = GRO
     return jobs.groupBy("shard", "container_kind", "capacity").applyInPandas(work, schema)
 
 
+def texts_of(packed: DataFrame, docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """(container_kind, container_id, doc_id, piece_no, text): what the containers hold, for packed texts of docs (doc_id, text).
+
+    doc_id tells the texts apart: a null one, or one that docs has several times, must not be used. A text in pieces is
+    cut into tokens once; its pieces together are the text."""
+    pieces = packed.groupBy("container_kind", "doc_id").agg(F.array_sort(F.collect_list(F.struct("token_start", "piece_no", "container_id"))).alias("p"))
+    joined = pieces.join(docs.select("doc_id", "text"), "doc_id").select("container_kind", "doc_id", "p", "text")
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for kind, doc, own, text in pdf.itertuples(index=False):
+                parts = tokens.pieces_of(text, [p["token_start"] for p in own], vocabulary)
+                rows += [(kind, p["container_id"], doc, p["piece_no"], part) for p, part in zip(own, parts)]
+            yield pd.DataFrame(rows, columns=["container_kind", "container_id", "doc_id", "piece_no", "text"])
+
+    return joined.mapInPandas(cut_up, "container_kind string, container_id bigint, doc_id bigint, piece_no bigint, text string")
+
+
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, n_containers, n_pieces, n_tokens, fill): how full the containers are on average."""
     per = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("pieces"))

@@ -58,11 +58,24 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     return count.asNondeterministic()(text)
 
 
-def piece_of(text: str, start: int, end: int, vocabulary: str = VOCABULARY) -> str:
-    """The tokens start..end - 1 of a text as text; a character cut by either end is in the piece that has its first byte."""
+def pieces_of(text: str, starts: list[int], vocabulary: str = VOCABULARY) -> list[str]:
+    """The texts of the tokens from each start (in rising order, the first 0) up to the next; together they are the text.
+    A character cut by an end is in the piece that has its first byte."""
+    if len(starts) == 1:
+        return [text]
     enc = tokenizer(vocabulary)
-    ids = tokens_of(enc, text)
-    offsets = [0, *(len(enc.decode_bytes(ids[:k])) for k in (start, end))]
-    data = text.encode()
-    first = lambda at: next((i for i in range(at, len(data)) if data[i] & 0xC0 != 0x80), len(data))
-    return data[first(offsets[1]) : first(offsets[2])].decode()
+    data, at, ids = text.encode(), 0, tokens_of(enc, text)
+    edges = []
+    for start, end in zip([0, *starts[1:]], [*starts[1:], len(ids)]):
+        edges.append(at)
+        at += len(enc.decode_bytes(ids[start:end]))
+    # On to the next first byte of a character.
+    edges = [next((i for i in range(e, min(len(data), e + 4)) if data[i] & 0xC0 != 0x80), len(data)) for e in edges]
+    return [data[i:j].decode() for i, j in zip(edges, [*edges[1:], len(data)])]
+
+
+def piece_of(text: str, start: int, end: int, vocabulary: str = VOCABULARY) -> str:
+    """The tokens start..end - 1 of a text as text, cut as by pieces_of."""
+    n = len(tokens_of(tokenizer(vocabulary), text))
+    starts = sorted({0, min(start, n), min(end, n)})
+    return pieces_of(text, starts, vocabulary)[starts.index(min(start, n))] if start < min(end, n) else ""

@@ -28,7 +28,7 @@ def data():
     return rows
 
 
-@pytest.mark.parametrize(("fan", "bound"), [(4096, 1000), (2, 1000), (64, 0)])
+@pytest.mark.parametrize(("fan", "bound"), [(4096, 1000), (2, 1000), (64, 3)])
 def test_exact(spark, fan, bound):
     rows = data()[:: 1 if fan > 2 else 7]
     df = spark.createDataFrame(rows, "query_field string, field_value double").selectExpr("*", "1 as g", "2 as low", "3 as part")

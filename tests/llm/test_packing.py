@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tesselith.llm import packing as P
+from tesselith.llm import tokens
 
 
 @settings(max_examples=60, deadline=None)
@@ -80,3 +82,16 @@ def test_pack(spark):
     fill = {r["container_kind"]: r for r in P.fill_report(P.pack(sizes, kinds, 1), kinds).collect()}
     assert fill["m"]["n_tokens"] == sum(n for _, n in docs if n) and 0 < fill["m"]["fill"] <= 1
     assert P.pack(sizes.where("false"), kinds, 1).count() == 0 and P.pack(sizes, kinds.where("false"), 1).count() == 0
+
+
+def test_texts_of_containers(spark):
+    docs = spark.createDataFrame([(1, "ein Wort über alles — naïve 日本語のテキスト " * 40), (2, "short"), (3, ""), (4, None)], "doc_id bigint, text string")
+    sized = docs.select("doc_id", tokens.token_count(F.col("text")).alias("n_tokens"))
+    kinds = spark.createDataFrame([("a", 7), ("b", 64), ("b", 64), ("c", 0), (None, 5)], "container_kind string, capacity_tokens int")
+    packed = P.pack(sized, kinds, 2)
+    rows = P.texts_of(packed, docs.withColumn("container_kind", F.lit("x"))).collect()
+    for kind in "ab":
+        for doc, text in ((1, docs.first()["text"]), (2, "short"), (3, "")):
+            own = sorted((r["piece_no"], r["text"]) for r in rows if r["doc_id"] == doc and r["container_kind"] == kind)
+            assert [n for n, _ in own] == list(range(len(own))) and "".join(t for _, t in own) == text
+    assert {r["container_kind"] for r in rows} == {"a", "b"} and P.pack(sized, kinds.where("container_kind = 'c'"), 2).count() == 0
