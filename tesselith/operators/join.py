@@ -1,9 +1,11 @@
 """Spatial joins as equi-joins on cells: no nested loops, whatever the sizes of the boxes.
 
 Boxes are put on levels whose cells double in width, each on the lowest level where it spans at most two cells in each
-dimension. Two boxes meet on the higher of their levels: a box is listed in its cells there and on every higher level
-that the other side uses, which are at most a few dozen however large the data. A pair that shares several cells is
-reported in the one that holds the low corner of the common part.
+dimension; levels go down as well as up, so huge boxes don't make the cells of small ones wide. Two boxes meet on the higher
+of their levels: a box is listed in its cells there and on every higher level that the other side uses, which are at most a
+few dozen however large the data, and meets there the boxes that are at home on that level. A pair that shares several
+cells is reported in the one that holds the low corner of the common part. A side of few rows is broadcast after they are
+counted; otherwise cells with many rows are split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark.sql import functions as F
 
 from tesselith.functions import geometry as G
 from tesselith.model import AXES, Boundary
-from tesselith.operators import stats
-from tesselith.session import cut, small_or_none
+from tesselith.operators.leaves import HOME, LEAF_ROWS, SLICE_ROWS, VISITOR, Places, Top, leaves_of, mixed_hash, once, placed_rows, placed_schema, sample_of, wanted_rows, work
+from tesselith.session import cut
 
-#: Points of the left side that are compared with all of the right one in a pass.
-BLOCK = 2_000
-#: Levels beyond which no box goes: doubles end there.
+#: Boxes that are broadcast, with their cells on all levels (some 200 bytes for each of about 8 a level).
+FEW_BOXES = 10_000
+#: Levels at most, below and above the first: doubles end there.
 MAX_LEVEL = 2100
 
 
@@ -34,20 +36,32 @@ def _known(names: list[str]) -> Column:
     return out
 
 
-def default_widths(*sides: DataFrame) -> tuple[float, float, float]:
-    """Twice the mean extent of the boxes of all sides in each dimension, 1 where that is 0. One aggregation per side."""
-    sums, n = [0.0, 0.0, 0.0], 0
+def _extent(a: str) -> Column:
+    return F.col(f"{a}2") - F.col(f"{a}1")
+
+
+def _frame(widths: tuple[float, float, float] | None, *sides: DataFrame) -> tuple[tuple[float, float, float], int]:
+    """Widths of the cells of level 0 and the lowest level; one aggregation per side.
+
+    The widths are by default twice the median extent, of those above 0, of the boxes in each dimension, 1 where there is
+    none; as levels go down and up from there, only the proportions of the dimensions depend on them. On the lowest level
+    the numbers of cells are still exact."""
+    found: list[list[float]] = [[], [], []]
+    far = [0.0, 0.0, 0.0]
     for df in sides:
-        good = df.where(_known([f"{a}{i}" for i in "12" for a in AXES]))
-        r = good.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.greatest(F.col(f"{a}2") - F.col(f"{a}1"), F.lit(0.0))).alias(a) for a in AXES]).first()
-        n += r["n"]
-        sums = [s + (r[a] or 0.0) for s, a in zip(sums, AXES)]
-    return tuple(2 * s / n if n and s > 0 else 1.0 for s in sums)
+        some = [F.percentile_approx(F.when(_extent(a) > 0, _extent(a)), 0.5, 1000).alias(f"{a}e") for a in AXES]
+        r = df.agg(*some, *[F.max(F.greatest(F.abs(f"{a}1"), F.abs(f"{a}2"))).alias(f"{a}m") for a in AXES]).first()
+        for i, a in enumerate(AXES):
+            found[i] += [r[f"{a}e"]] if r[f"{a}e"] is not None else []
+            far[i] = max(far[i], r[f"{a}m"] or 0.0)
+    w = widths or tuple(2 * min(f) if f else 1.0 for f in found)
+    return w, max(math.ceil(math.log2(f) - math.log2(v)) - 50 if f > 0 else -MAX_LEVEL for f, v in zip(far, w))
 
 
 def _level(widths: tuple[float, float, float]) -> Column:
-    parts = [F.ceil(F.log2(F.greatest((F.col(f"{a}2") - F.col(f"{a}1")) / F.lit(w), F.lit(1.0)))) for a, w in zip(AXES, widths)]
-    return F.greatest(*parts).cast("int")
+    """The level of a box; one without extent is on the lowest there is."""
+    most = F.greatest(*[_extent(a) / F.lit(w) for a, w in zip(AXES, widths)])
+    return F.when(most > 0, F.ceil(F.log2(most))).otherwise(F.lit(-MAX_LEVEL)).cast("int")
 
 
 def _cells(level: Column, widths: tuple[float, float, float], low: str, high: str) -> list[Column]:
@@ -55,20 +69,34 @@ def _cells(level: Column, widths: tuple[float, float, float], low: str, high: st
     return [F.sequence(F.floor(F.col(f"{a}{low}") / w), F.floor(F.col(f"{a}{high}") / w)) for a, w in zip(AXES, wide)]
 
 
-def _listed(df: DataFrame, prefix: str, levels: list[int], widths: tuple[float, float, float]) -> DataFrame:
-    """Rows of boxes with their level, once for each cell of it and of the higher ones of levels; columns get the prefix."""
+def _listed(df: DataFrame, prefix: str, levels: list[int], widths: tuple[float, float, float], home: bool, low: int) -> DataFrame:
+    """Rows of boxes once for each of their cells on their own level (home) or on the higher ones of levels; columns get the prefix.
+
+    low: the level that boxes without extent, or below it, are put on."""
     used = F.array(*[F.lit(v) for v in levels]).cast("array<int>")
-    own = df.withColumn("__own", _level(widths))
-    rows = own.withColumn("__level", F.explode(F.array_union(F.array("__own"), F.filter(used, lambda l: l > F.col("__own")))))
+    rows = df.withColumn("__own", F.greatest(_level(widths), F.lit(low)))
+    on = F.array("__own") if home else F.filter(used, lambda l: l > F.col("__own"))
+    rows = rows.withColumn("__level", F.explode(on))
     t, x, y = _cells(F.col("__level"), widths, "1", "2")
     rows = rows.withColumn("__ct", F.explode(t)).withColumn("__cx", F.explode(x)).withColumn("__cy", F.explode(y))
-    keep = [F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns]
-    return rows.select(*keep, (F.col("__own") == F.col("__level")).alias(f"__{prefix}home"), "__level", "__ct", "__cx", "__cy")
+    return rows.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns], "__level", "__ct", "__cx", "__cy")
 
 
 def _levels(df: DataFrame, widths: tuple[float, float, float]) -> list[int]:
-    """Levels that occur: at most MAX_LEVEL values."""
-    return sorted(r[0] for r in df.select(_level(widths).alias("l")).distinct().limit(MAX_LEVEL + 1).collect())
+    """Levels that occur: at most 2 * MAX_LEVEL values."""
+    return sorted(r[0] for r in df.select(_level(widths).alias("l")).distinct().limit(2 * MAX_LEVEL + 1).collect())
+
+
+def _lowest(least: int, *levels: list[int]) -> int:
+    """The lowest level of boxes with extent, least or above; those without are put there, too."""
+    return max(least, min([l for ls in levels for l in ls if l > -MAX_LEVEL], default=0))
+
+
+def _few(df: DataFrame, bound: int = FEW_BOXES) -> bool:
+    return df.limit(bound + 1).count() <= bound
+
+
+_MEET = ["__level", "__ct", "__cx", "__cy"]
 
 
 def intersects_join(a: DataFrame, b: DataFrame, widths: tuple[float, float, float] | None = None) -> DataFrame:
@@ -76,21 +104,31 @@ def intersects_join(a: DataFrame, b: DataFrame, widths: tuple[float, float, floa
 
     Boxes with a null, NaN or infinite coordinate and inverted ones overlap nothing; one without extent is in a
     pair only if it lies inside the other; of two without extent none does. Repeated rows give repeated pairs.
-    widths: cell widths of the lowest level (t, x, y), by default twice the mean extents.
+    widths: proportions of the cells (t, x, y), by default from the median extents.
     """
     names = [f"{n}{i}" for i in "12" for n in AXES]
     upright = F.lit(True)
     for n in AXES:
         upright &= F.col(f"{n}1") <= F.col(f"{n}2")
     a, b = a.where(_known(names) & upright), b.where(_known(names) & upright)
-    w = widths or default_widths(a, b)
+    w, least = _frame(widths, a, b)
     la, lb = _levels(a, w), _levels(b, w)
-    left, right = _listed(a, "a_", lb, w), _listed(b, "b_", la, w)
-    met = left.join(right, ["__level", "__ct", "__cx", "__cy"]).where(F.col("__a_home") | F.col("__b_home")).where(G.intersects("a_", "b_"))
+    low = _lowest(least, la, lb)
+    la, lb = (sorted({max(l, low) for l in ls}) for ls in (la, lb))
+    few_a, few_b = _few(a), _few(b)
     size = F.pow(F.lit(2.0), F.col("__level"))
+    once_ = F.lit(True)
     for n, c, v in zip(AXES, ("__ct", "__cx", "__cy"), w):
-        met = met.where(F.floor(F.greatest(F.col(f"a_{n}1"), F.col(f"b_{n}1")) / (F.lit(v) * size)) == F.col(c))
-    return met.select(*[F.col(f"`a_{c}`") for c in a.columns], *[F.col(f"`b_{c}`") for c in b.columns])
+        once_ &= F.floor(F.greatest(F.col(f"a_{n}1"), F.col(f"b_{n}1")) / (F.lit(v) * size)) == F.col(c)
+    parts = []
+    # Both are at home on one level, or a is and b comes from a lower one, or the reverse: one side is at home in every pair.
+    for home_a, home_b in ((True, True), (True, False), (False, True)):
+        left = _listed(a, "a_", lb, w, home_a, low)
+        right = _listed(b, "b_", la, w, home_b, low)
+        left, right = (F.broadcast(d) if few else d for d, few in ((left, few_a and not few_b), (right, few_b)))
+        met = left.join(right, _MEET).where(once_ & G.intersects("a_", "b_"))
+        parts.append(met.select(*[F.col(f"`a_{c}`") for c in a.columns], *[F.col(f"`b_{c}`") for c in b.columns]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def point_in_box_join(points: DataFrame, boxes: DataFrame, boundary: Boundary | str = Boundary.HALF_OPEN, widths: tuple[float, float, float] | None = None) -> DataFrame:
@@ -99,14 +137,18 @@ def point_in_box_join(points: DataFrame, boxes: DataFrame, boundary: Boundary |
     Points and boxes with null, NaN or infinite coordinates are in no pair; repeated rows give repeated pairs."""
     points = points.where(_known(list(AXES)))
     boxes = boxes.where(_known([f"{n}{i}" for i in "12" for n in AXES]) & (F.col("t1") <= F.col("t2")) & (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
-    w = widths or default_widths(boxes)
-    used = F.array(*[F.lit(v) for v in _levels(boxes, w)]).cast("array<int>")
-    right = _listed(boxes, "b_", [], w)
-    left = points.withColumn("__level", F.explode(used))
+    w, least = _frame(widths, boxes)
+    levels = _levels(boxes, w)
+    low = _lowest(least, levels)
+    levels = sorted({max(l, low) for l in levels})
+    right = _listed(boxes, "b_", [], w, True, low)
+    if _few(boxes):
+        right = F.broadcast(right)
+    left = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
     size = F.pow(F.lit(2.0), F.col("__level"))
     cells = [F.floor(F.col(n) / (F.lit(v) * size)).alias(c) for n, v, c in zip(AXES, w, ("__ct", "__cx", "__cy"))]
     left = left.select(*[F.col(f"`{c}`").alias(f"p_{c}") for c in points.columns], "__level", *cells)
-    met = left.join(right, ["__level", "__ct", "__cx", "__cy"]).where(G.within("b_", boundary, "p_"))
+    met = left.join(right, _MEET).where(G.within("b_", boundary, "p_"))
     return met.select(*[F.col(f"`p_{c}`") for c in points.columns], *[F.col(f"`b_{c}`") for c in boxes.columns])
 
 
@@ -131,81 +173,65 @@ def knn(df: DataFrame, point: tuple[float, float, float], k: int, ids: str, scal
     return good.withColumn("dist", dist).orderBy("dist", f"`{ids}`").limit(k)
 
 
-def _scan_block(rows: list, right: DataFrame, k: int) -> DataFrame:
-    """k nearest of right for a block of left points: each task keeps k candidates per point, which are then merged."""
-    ids, at = np.array([r[0] for r in rows], dtype="int64"), np.array([r[1:4] for r in rows], dtype=float)
+class _Bounds:
+    """Distances within which guests have k homes of their task."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, k: int):
+        self.places, self.k = Places(*once(ids, at[:, :3])), k
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dist = np.full((len(ids), k), np.inf)
-        who = np.full((len(ids), k), np.iinfo("int64").max)
-        for pdf in batches:
-            for start in range(0, len(pdf), 1000):
-                part = pdf.iloc[start : start + 1000]
-                own, p = part["id"].to_numpy("int64"), part[["t", "x", "y"]].to_numpy(float)
-                dt, dx, dy = (at[:, i, None] - p[None, :, i] for i in range(3))
-                d = np.sqrt(dt * dt + dx * dx + dy * dy)
-                for i in np.flatnonzero(d.min(1) <= dist[:, -1]):
-                    good = np.flatnonzero(d[i] <= dist[i, -1])
-                    all_d, all_w = np.concatenate([dist[i], d[i, good]]), np.concatenate([who[i], own[good]])
-                    first = np.lexsort((all_w, all_d))[:k]
-                    dist[i], who[i] = all_d[first], all_w[first]
-        found = np.isfinite(dist)
-        yield pd.DataFrame({"left_id": np.repeat(ids, found.sum(1)), "right_id": who[found], "dist": dist[found]})
+    def find(self, ids: np.ndarray, at: np.ndarray, role: int) -> Iterator[tuple]:
+        yield ids, *at[:, :3].T, self.places.bound(at[:, :3], self.k)
 
-    return right.mapInPandas(best, "left_id bigint, right_id bigint, dist double")
 
+class _Nearest(_Bounds):
+    """The k nearest homes within the distance that guests bring along."""
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK, max_rounds: int = 60) -> DataFrame:
+    def find(self, ids: np.ndarray, at: np.ndarray, role: int) -> Iterator[tuple]:
+        return ((ids[row], found, d) for row, found, d in self.places.nearest(at[:, :3], at[:, 3], self.k))
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, leaf_rows: int = LEAF_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(left_id, right_id, dist, rank): for each point of left (id, t, x, y) its k nearest of right (id, t, x, y), ties by id.
 
-    In rounds of doubling radius, the points of left that still lack k neighbours within the radius meet those of
-    right in cells as wide as it. Once at most ``block`` of them are left, which is at the start if left is small,
-    they are compared with all of right in one pass (those still left after all rounds, far from everything, in as many
-    passes as they are blocks). Repeated rows count once; points without id or location take no part; an id of left with
-    two locations has the nearest of both, an id of right with two can come twice. A left point has fewer neighbours only if right has fewer
-    points. The first radius is that of k points at even density.
+    Right lies in the leaves of a hierarchy cut on a sample of it. A point of left first meets the rows of its own leaf,
+    which gives a distance within which it has k neighbours; then it visits the leaves within that distance, and each keeps
+    its k nearest. So right is placed twice, whatever the density, and a point far from everything costs at most k rows for
+    each leaf. Repeated rows count once; points without id or location take no part; an id of left with two locations has
+    the nearest of both, an id of right with two can come twice. A left point has fewer neighbours only if right has fewer.
     """
     if k < 1:
         raise ValueError("k is at least 1")
-    spark, columns = left.sparkSession, ["left_id", "right_id", "dist", "rank"]
-    clean = lambda d: d.select(F.col("id").cast("bigint").alias("id"), *[F.col(a).cast("double").alias(a) for a in AXES]).where(_known(list(AXES)) & F.col("id").isNotNull()).distinct()
-    left, right = clean(left), clean(right)
+    clean = lambda d: d.select(F.col("id").cast("bigint").alias("id"), *[F.col(a).cast("double").alias(a) for a in AXES]).where(_known(list(AXES)) & F.col("id").isNotNull())
+    counts = left.count(), right.count()
+    left, right = clean(left).distinct(), clean(right)
+    wanted = wanted_rows(counts[1], leaf_rows)
+    samples = [sample_of(d, AXES, n, wanted) for d, n in zip((left, right), counts)]
+    top = left.sparkSession.sparkContext.broadcast(Top(samples[1], counts[1], samples[0], counts[0], lambda s: (s, s), leaf_rows, slice_rows, by_home=True))
+
+    def place(home: bool, visit: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            t = top.value
+            for pdf in batches:
+                ids, at = pdf["id"].to_numpy("int64"), pdf[list(AXES)].to_numpy(float)
+                reach = pdf["reach"].to_numpy(float)[:, None] if visit else 0.0
+                if home:
+                    ids, at = once(ids, at)
+                row, leaf = leaves_of(t.nodes, at - reach, at + reach)
+                mixed = mixed_hash(ids, at)[row]
+                if home or visit:
+                    copy, task = t.spread(leaf, mixed, home)
+                else:  # one slice of the homes will do
+                    copy, task = np.arange(len(row)), t.first[leaf] + mixed % t.slices[0][leaf] * t.slices[1][leaf] + mixed % t.slices[1][leaf]
+                own = np.column_stack([at, reach]) if visit else at
+                yield placed_rows(task, HOME if home else VISITOR, ids[row][copy], own[row][copy], 4)
+
+        return run
+
+    homes = right.mapInPandas(place(True, False), placed_schema(4))
+    guests = left.mapInPandas(place(False, False), placed_schema(4))
+    tasks = top.value.tasks()
+    reached = cut(work(homes.unionByName(guests), tasks, 4, lambda ids, at: _Bounds(ids, at, k), None, "id bigint, t double, x double, y double, reach double"))
+    visits = reached.mapInPandas(place(False, True), placed_schema(4))
+    found = work(homes.unionByName(visits), tasks, 4, lambda ids, at: _Nearest(ids, at, k), None, "left_id bigint, right_id bigint, dist double")
     order = Window.partitionBy("left_id").orderBy("dist", "right_id")
-    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select(*columns)
-    done, todo = [], cut(left)
-    rows = small_or_none(todo, block)
-    if rows is None:
-        n, around = right.count(), stats.mbr_box(right.unionByName(left))
-        far = math.sqrt(sum(e * e for e in around.extents))
-        sides = [max(e, far * 1e-9, 1e-300) for e in around.extents]
-        radius = max((sides[0] * sides[1] * sides[2] * k / max(1, n)) ** (1 / 3), far * 1e-9, 1e-300)
-        for _ in range(max_rounds):
-            if radius > far or rows is not None:
-                break
-            cell = lambda c, d, r=radius: F.floor((F.col(c) + F.lit(d)) / F.lit(r))
-            l = todo.select(F.col("id").alias("left_id"), *[F.col(a).alias(f"l_{a}") for a in AXES])
-            for a in AXES:
-                l = l.withColumn(f"c{a}", F.explode(F.sequence(cell(f"l_{a}", -radius), cell(f"l_{a}", radius))))
-            r = right.select(F.col("id").alias("right_id"), *[F.col(a).alias(f"r_{a}") for a in AXES], *[cell(a, 0.0).alias(f"c{a}") for a in AXES])
-            met = l.join(r, ["ct", "cx", "cy"]).withColumn("dist", G.dist_pp("l_", "r_")).where(F.col("dist") <= radius)
-            top = cut(ranked(met.select("left_id", "right_id", "dist")))
-            full = top.join(top.where(F.col("rank") == k).select("left_id"), "left_id", "left_semi").select(*columns)
-            done.append(full)
-            todo = cut(todo.join(full.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti"))
-            rows = small_or_none(todo, block)
-            radius *= 2
-    if rows is not None:
-        if rows:
-            done.append(ranked(_scan_block(rows, right, k)))
-    else:
-        blocks = -(-todo.count() // block) * 2
-        for b in range(blocks):
-            rows = todo.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about half a block
-            if rows:
-                done.append(ranked(_scan_block(rows, right, k)))
-    if not done:
-        return spark.createDataFrame([], "left_id bigint, right_id bigint, dist double, rank int")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)

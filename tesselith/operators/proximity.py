@@ -7,18 +7,15 @@ of the triangles (and one of the regions) that share an edge holds it; for an up
 low <= v < high. Time ranges are half-open too. The side of an edge is computed without rounding error, so this holds
 for all coordinates up to 1e150. A ring that crosses itself has no triangles; region_faults tells which regions that is.
 
-What is too large for one hierarchy is spread by a top hierarchy, cut at the medians of a bounded sample until its leaves
-hold about LEAF_ROWS rows. Homes (triangles, or the locations to be found) lie in all leaves they touch (locations in
-one), guests (locations that look for them) visit the leaves their surrounding box touches, and in every leaf a hierarchy
-over its homes gives the candidates, which are tested exactly. A leaf that the sample says is still too large, as its rows are
-at one place, is worked off in slices, so that no task holds more than SLICE_ROWS homes.
+What is too large for one hierarchy is spread over the leaves of a top hierarchy (see leaves): homes are the triangles, or
+the locations to be found, guests the locations that look for them and visit the leaves their surrounding box touches.
 """
 
 from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 from functools import reduce
 
@@ -27,15 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselith.operators.leaves import FELLOW, HOME, LEAF_ROWS, PAIRS, SLICE_ROWS, VISITOR, Top, Volumes, leaves_of, mixed_hash, once, placed_rows, placed_schema, sample_of, wanted_rows, work
+
 #: Triangles up to which one hierarchy is broadcast (about 100 bytes each).
 BROADCAST_TRIANGLES = 200_000
-#: Rows of a leaf of the top hierarchy, sampled rows for each leaf, leaves at most (the sample and the hierarchy, which
-#: are at the driver and in every task, are bounded by them), and homes of a task.
-LEAF_ROWS, LEAF_SAMPLE, TOP_LEAVES, SLICE_ROWS = 20_000, 50, 20_000, 1_000_000
-#: Partitions of a leaf join at most; tasks beyond them share partitions one after another.
-_PARTITIONS = 20_000
-#: Guests looked up at once, and pairs of guest and home tested at once.
-_GUESTS, _PAIRS = 16_384, 2_000_000
 
 TRIANGLE = "region_id bigint, ax double, ay double, bx double, by double, cx double, cy double, t1 double, t2 double"
 
@@ -100,7 +92,7 @@ def _crosses(pts: np.ndarray) -> bool:
     ends = np.cumsum(n)
     start = 0
     while start < len(a):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
         k = n[start:stop]
         i = np.repeat(np.arange(start, stop), k)
         j = i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
@@ -268,54 +260,6 @@ def rings_of_boxes(boxes: DataFrame, box_id: str) -> DataFrame:
 # --- hierarchies ---------------------------------------------------------------------------------------------------
 
 
-class Volumes:
-    """A hierarchy of bounding volumes over boxes, each level halved at the median of its widest axis; built and queried
-    level by level for all boxes and locations at once."""
-
-    LEAF = 8
-
-    def __init__(self, low: np.ndarray, high: np.ndarray):
-        n = len(low)
-        self.order, starts = np.arange(n), np.zeros(1, int)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        if not n:
-            return
-        middle = np.clip(low / 2 + high / 2, -1e300, 1e300)
-        depth = max(0, math.ceil(math.log2(n / self.LEAF)))
-        for level in range(depth + 1):
-            self.levels.append((np.minimum.reduceat(low[self.order], starts), np.maximum.reduceat(high[self.order], starts)))
-            if level < depth:
-                at, ends = middle[self.order], np.append(starts[1:], n)
-                axis = np.argmax(np.maximum.reduceat(at, starts) - np.minimum.reduceat(at, starts), 1)
-                node = np.repeat(np.arange(len(starts)), ends - starts)
-                self.order = self.order[np.lexsort((at[np.arange(n), axis[node]], node))]
-                starts = np.column_stack([starts, (starts + ends) // 2]).ravel()
-        self.starts, self.sizes = starts, np.append(starts[1:], n) - starts
-
-    def candidates(self, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows of p, numbers of boxes) of boxes that may hold them, faces included, in portions of bounded size."""
-        if not self.levels:
-            return
-        for first in range(0, len(p), _GUESTS):
-            who, node = np.arange(first, min(len(p), first + _GUESTS)), None
-            for low, high in self.levels:
-                node = np.zeros(len(who), int) if node is None else node
-                at = p[who]
-                inside = ((at >= low[node]) & (at <= high[node])).all(1)
-                who, node = who[inside], node[inside]
-                if low is not self.levels[-1][0]:
-                    who, node = np.repeat(who, 2), np.column_stack([node * 2, node * 2 + 1]).ravel()
-            size = self.sizes[node]
-            ends = np.cumsum(size)
-            start = 0
-            while start < len(who):
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, "right")))
-                k = size[start:stop]
-                offset = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                yield np.repeat(who[start:stop], k), self.order[np.repeat(self.starts[node[start:stop]], k) + offset]
-                start = stop
-
-
 def in_triangle(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
     """Row by row: location (t, x, y) in counter-clockwise triangle and [t1, t2), edges by the rule of this module."""
     inside = (p[:, 0] >= tri[:, 6]) & (p[:, 0] < tri[:, 7])
@@ -357,171 +301,6 @@ def _around(tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([tri[:, 6], xs.min(1), ys.min(1)]), np.column_stack([tri[:, 7], xs.max(1), ys.max(1)])
 
 
-def _cuts(centres: np.ndarray, leaves: int) -> list[tuple]:
-    """A top hierarchy as nodes (axis, value, left, right); negative children are leaves -1 - number. All of space belongs to a leaf."""
-    nodes: list[list] = []
-    count = 0
-
-    def cut(own: np.ndarray) -> tuple[int, float] | None:
-        for axis in np.argsort(own.min(0) - own.max(0), kind="stable").tolist():
-            v = own[:, axis]
-            value = float(np.median(v))
-            if not (v < value).any() and (v > value).any():
-                value = float(v[v > value].min())
-            if (v < value).any():
-                return axis, value
-        return None
-
-    def grow(own: np.ndarray, budget: int) -> int:
-        nonlocal count
-        place = cut(own) if budget > 1 and len(own) > 1 else None
-        if place:
-            left = own[:, place[0]] < place[1]
-            at = len(nodes)
-            nodes.append([*place, 0, 0])
-            part = min(budget - 1, max(1, round(budget * left.mean())))
-            nodes[at][2] = grow(own[left], part)
-            nodes[at][3] = grow(own[~left], budget - part)
-            return at
-        count += 1
-        return -count
-
-    grow(np.clip(centres, -1e300, 1e300), leaves)
-    return [tuple(n) for n in nodes]
-
-
-def _leaves(nodes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) for the leaves that closed boxes low..high touch; a location is a box without extent, left of a cut only if below it."""
-    row, node = np.arange(len(low)), np.zeros(len(low), int)
-    if not len(nodes):
-        return row, node
-    axes, kids = nodes[:, 0].astype(int), nodes[:, 2:].astype(int)
-    rows, leaves = [], []
-    while len(row):
-        axis, value = axes[node], nodes[node, 1]
-        left, right = low[row, axis] < value, high[row, axis] >= value
-        row, node = np.concatenate([row[left], row[right]]), np.concatenate([kids[node[left], 0], kids[node[right], 1]])
-        done = node < 0
-        rows.append(row[done])
-        leaves.append(-1 - node[done])
-        row, node = row[~done], node[~done]
-    return np.concatenate(rows), np.concatenate(leaves)
-
-
-# --- joins leaf by leaf --------------------------------------------------------------------------------------------
-
-_HOME, _VISITOR, _FELLOW = 0, 1, 2
-
-
-class _Top:
-    """A top hierarchy with the slices of its leaves: n_home x n_guest tasks for a leaf."""
-
-    def __init__(self, home: np.ndarray, n_home: int, guest: np.ndarray, n_guest: int, reach: Callable, leaf_rows: int, slice_rows: int):
-        """home, guest: samples as rows of what reach turns into low and high corners; n_home, n_guest: all rows."""
-        boxes = [reach(s) if len(s) else (np.empty((0, 3)), np.empty((0, 3))) for s in (home, guest)]
-        wanted = min(TOP_LEAVES, -(-(n_home + n_guest) // leaf_rows))
-        centres = np.concatenate([l / 2 + h / 2 for l, h in boxes])
-        self.nodes = np.array(_cuts(centres, wanted) if len(centres) else [], float).reshape(-1, 4)
-        leaves = len(self.nodes) + 1
-        self.slices = []
-        for (low, high), n, rows in zip(boxes, (n_home, n_guest), (slice_rows, 2 * slice_rows)):
-            got = np.bincount(_leaves(self.nodes, low, high)[1], minlength=leaves).astype(float)
-            most = (got + 4 * np.sqrt(got) + 8) * (n / max(1, len(low)))  # of what a leaf holds, but for rare chance
-            self.slices.append(np.maximum(1, np.ceil(np.minimum(most, n) / rows)).astype(int))
-        self.first = np.concatenate([[0], np.cumsum(self.slices[0] * self.slices[1])])
-
-    def tasks(self) -> int:
-        return int(self.first[-1])
-
-    def sliced(self) -> np.ndarray:
-        """Whether a task is one of several of its leaf."""
-        several = self.slices[0] * self.slices[1]
-        return np.repeat(several > 1, several)
-
-    def spread(self, leaf: np.ndarray, mixed: np.ndarray, home: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(row, task): a home goes to its slice for all slices of guests, a guest to its own for all slices of homes."""
-        nh, ng = self.slices[0][leaf], self.slices[1][leaf]
-        copies = ng if home else nh
-        row = np.repeat(np.arange(len(leaf)), copies)
-        other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-        own = mixed[row] % (nh if home else ng)[row]
-        i, j = (own, other) if home else (other, own)
-        return row, self.first[leaf[row]] + i * ng[row] + j
-
-
-def _mixed(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of rows, the same at every run."""
-    h = ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
-    for column in np.ascontiguousarray(at, float).T:
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.ascontiguousarray(column).view("uint64")
-    return ((h ^ (h >> np.uint64(29))) >> np.uint64(1)).astype("int64")
-
-
-def _placed(task: np.ndarray, role: int, ids: np.ndarray, values: np.ndarray, width: int) -> pd.DataFrame:
-    out = {"task": task.astype("int64"), "role": np.full(len(task), role, "int8"), "id": ids}
-    for c in range(width):
-        out[f"c{c}"] = values[:, c] if c < values.shape[1] else np.nan
-    return pd.DataFrame(out)
-
-
-def _placed_schema(width: int) -> str:
-    return "task bigint, role tinyint, id bigint, " + ", ".join(f"c{c} double" for c in range(width))
-
-
-def _work(placed: DataFrame, tasks: int, width: int, build: Callable, own: Callable | None, names: tuple[str, str]) -> DataFrame:
-    """Task by task: build(ids, values) makes the homes' structure, whose pairs(guests' ids, values, role) are returned as
-    portions of two id columns. own(task): whether the homes are guests, too. Guests are streamed, homes held."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda pairs: (pd.DataFrame({names[0]: a, names[1]: b}) for a, b in pairs if len(a))
-        now, homes, made = None, [], None
-
-        def ready() -> Iterator[pd.DataFrame]:
-            nonlocal made, homes
-            if made is None:
-                ids, values = np.concatenate([h[0] for h in homes]), np.concatenate([h[1] for h in homes])
-                made, homes = build(ids, values), []
-                if own and own(now):
-                    yield from frame(made.pairs(*made.rows, _FELLOW))
-
-        for pdf in batches:
-            task, role, ids = pdf["task"].to_numpy(), pdf["role"].to_numpy(), pdf["id"].to_numpy("int64")
-            values = pdf[[f"c{c}" for c in range(width)]].to_numpy(float)
-            edges = np.flatnonzero((task[1:] != task[:-1]) | (role[1:] != role[:-1])) + 1
-            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(task)]):
-                if start == stop:
-                    continue
-                if task[start] != now:
-                    if homes:
-                        yield from ready()
-                    now, homes, made = task[start], [], None
-                part = ids[start:stop], values[start:stop]
-                if role[start] == _HOME:
-                    homes.append(part)
-                elif homes or made is not None:
-                    yield from ready()
-                    yield from frame(made.pairs(*part, role[start]))
-        if homes:
-            yield from ready()
-
-    partitions = max(1, min(tasks, _PARTITIONS))
-    spread = placed.repartitionById(partitions, F.pmod("task", F.lit(partitions)).cast("int")) if partitions > 1 else placed.coalesce(1)
-    return spread.sortWithinPartitions("task", "role").mapInPandas(run, f"{names[0]} bigint, {names[1]} bigint")
-
-
-def _sample(df: DataFrame, columns: Sequence[str], rows: int, wanted: int) -> np.ndarray:
-    """About ``wanted`` of the ``rows`` rows, as an array."""
-    share = min(1.0, wanted / max(1, rows))
-    some = df.select(*columns)
-    return (some if share == 1 else some.sample(False, share, 1)).toPandas().to_numpy(float).reshape(-1, len(columns))
-
-
-def _wanted(n: int, leaf_rows: int) -> int:
-    """Rows of a sample for n rows; with one leaf there is nothing to cut."""
-    leaves = min(TOP_LEAVES, -(-n // leaf_rows))
-    return leaves * LEAF_SAMPLE if leaves > 1 else 1
-
-
 # --- regions of locations ------------------------------------------------------------------------------------------
 
 _LOCATED = "point_id is not null and t is not null and x is not null and y is not null and not isnan(t) and not isnan(x) and not isnan(y)"
@@ -531,17 +310,6 @@ def _points(points: DataFrame) -> DataFrame:
     return points.select(F.col("point_id").cast("bigint"), *[F.col(c).cast("double").alias(c) for c in "txy"]).where(_LOCATED)
 
 
-def _once(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows without repetitions; only rows whose id is repeated are compared."""
-    again = pd.Series(ids).duplicated(keep=False).to_numpy()
-    if not again.any():
-        return ids, at
-    keep = ~again
-    same = pd.DataFrame(np.column_stack([at[again] + 0.0])).assign(id=ids[again]).duplicated().to_numpy()
-    keep[np.flatnonzero(again)[~same]] = True
-    return ids[keep], at[keep]
-
-
 def regions_of(points: DataFrame, regions: DataFrame, bound: int = BROADCAST_TRIANGLES, leaf_rows: int = LEAF_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(region_id, point_id) for points (point_id, t, x, y) and regions (region_id, ring, t1, t2), each pair once.
 
@@ -568,29 +336,29 @@ class _Regions:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.tree = ids, Hierarchy(values, ids)
 
-    def pairs(self, ids: np.ndarray, values: np.ndarray, role: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def find(self, ids: np.ndarray, values: np.ndarray, role: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return ((region, ids[row]) for row, region in self.tree.pairs(values[:, :3]))
 
 
 def _regions_by_leaf(pts: DataFrame, tris: DataFrame, leaf_rows: int, slice_rows: int) -> DataFrame:
     names = ["ax", "ay", "bx", "by", "cx", "cy", "t1", "t2"]
     n_home, n_guest = tris.count(), pts.count()
-    wanted = _wanted(n_home + n_guest, leaf_rows)
+    wanted = wanted_rows(n_home + n_guest, leaf_rows)
     reach = lambda s: _around(s) if s.shape[1] == 8 else (s, s)
-    top = pts.sparkSession.sparkContext.broadcast(_Top(_sample(tris, names, n_home, wanted), n_home, _sample(pts, "txy", n_guest, wanted), n_guest, reach, leaf_rows, slice_rows))
+    top = pts.sparkSession.sparkContext.broadcast(Top(sample_of(tris, names, n_home, wanted), n_home, sample_of(pts, "txy", n_guest, wanted), n_guest, reach, leaf_rows, slice_rows))
 
     def place(columns: list[str], ids: str, home: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 own, at = pdf[ids].to_numpy("int64"), pdf[columns].to_numpy(float)
-                row, leaf = _leaves(top.value.nodes, *reach(at))
-                copy, task = top.value.spread(leaf, _mixed(own[row], at[row]), home)
-                yield _placed(task, _HOME if home else _VISITOR, own[row][copy], at[row][copy], 8)
+                row, leaf = leaves_of(top.value.nodes, *reach(at))
+                copy, task = top.value.spread(leaf, mixed_hash(own[row], at[row]), home)
+                yield placed_rows(task, HOME if home else VISITOR, own[row][copy], at[row][copy], 8)
 
         return run
 
-    placed = tris.mapInPandas(place(names, "region_id", True), _placed_schema(8)).unionByName(pts.mapInPandas(place([*"txy"], "point_id", False), _placed_schema(8)))
-    return _work(placed, top.value.tasks(), 8, _Regions, None, ("region_id", "point_id"))
+    placed = tris.mapInPandas(place(names, "region_id", True), placed_schema(8)).unionByName(pts.mapInPandas(place([*"txy"], "point_id", False), placed_schema(8)))
+    return work(placed, top.value.tasks(), 8, _Regions, None, "region_id bigint, point_id bigint")
 
 
 # --- near locations ------------------------------------------------------------------------------------------------
@@ -600,15 +368,15 @@ class _Near:
     """Homes as boxes of the distance around their locations."""
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, distance: float, ordered: bool):
-        self.rows = self.ids, self.at = _once(ids, at)
+        self.rows = self.ids, self.at = once(ids, at)
         self.distance, self.ordered = distance, ordered
         self.volumes = Volumes(self.at - _wide(distance), self.at + _wide(distance))
 
-    def pairs(self, ids: np.ndarray, at: np.ndarray, role: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def find(self, ids: np.ndarray, at: np.ndarray, role: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for row, item in self.volumes.candidates(at):
             a, b = ids[row], self.ids[item]
             # Locations of one leaf meet twice, once from either side.
-            good = np.flatnonzero(a < b if role == _FELLOW else a != b if self.ordered else np.ones(len(a), bool))
+            good = np.flatnonzero(a < b if role == FELLOW else a != b if self.ordered else np.ones(len(a), bool))
             d = at[row[good]] - self.at[item[good]]
             d *= d
             good = good[np.sqrt(d[:, 0] + d[:, 1] + d[:, 2]) <= self.distance]
@@ -643,36 +411,36 @@ def _by_leaf(homes: DataFrame, guests: DataFrame | None, distance: float, leaf_r
     alone = guests is None
     sides_ = [_points(homes)] if alone else [_points(homes), _points(guests)]
     counts = [d.count() for d in ([homes] if alone else [homes, guests])]
-    wanted = _wanted(sum(counts), leaf_rows)
-    samples = [_sample(d, "txy", n, wanted) for d, n in zip(sides_, counts)]
-    top = homes.sparkSession.sparkContext.broadcast(_Top(samples[0], counts[0], samples[-1], counts[-1], lambda s: (s, s), leaf_rows * (2 if alone else 1), slice_rows))
+    wanted = wanted_rows(sum(counts), leaf_rows)
+    samples = [sample_of(d, "txy", n, wanted) for d, n in zip(sides_, counts)]
+    top = homes.sparkSession.sparkContext.broadcast(Top(samples[0], counts[0], samples[-1], counts[-1], lambda s: (s, s), leaf_rows * (2 if alone else 1), slice_rows))
 
     def place(home: bool, guest: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = top.value
             for pdf in batches:
-                ids, at = _once(pdf["point_id"].to_numpy("int64"), pdf[["t", "x", "y"]].to_numpy(float))
-                mixed = _mixed(ids, at)
+                ids, at = once(pdf["point_id"].to_numpy("int64"), pdf[["t", "x", "y"]].to_numpy(float))
+                mixed = mixed_hash(ids, at)
                 own = np.zeros(len(ids), int)
                 if home:
-                    row, leaf = _leaves(t.nodes, at, at)
+                    row, leaf = leaves_of(t.nodes, at, at)
                     own[row] = leaf
                     row, task = t.spread(own, mixed, True)
-                    yield _placed(task, _HOME, ids[row], at[row], 3)
+                    yield placed_rows(task, HOME, ids[row], at[row], 3)
                 if guest:
-                    row, leaf = _leaves(t.nodes, at - _wide(distance), at + _wide(distance))
+                    row, leaf = leaves_of(t.nodes, at - _wide(distance), at + _wide(distance))
                     if home:
                         later = leaf > own[row]
                         row, leaf = row[later], leaf[later]
                         several = np.flatnonzero((t.slices[0] * t.slices[1])[own] > 1)
                         copy, task = t.spread(own[several], mixed[several], False)
-                        yield _placed(task, _FELLOW, ids[several[copy]], at[several[copy]], 3)
+                        yield placed_rows(task, FELLOW, ids[several[copy]], at[several[copy]], 3)
                     copy, task = t.spread(leaf, mixed[row], False)
-                    yield _placed(task, _VISITOR, ids[row[copy]], at[row[copy]], 3)
+                    yield placed_rows(task, VISITOR, ids[row[copy]], at[row[copy]], 3)
 
         return run
 
-    schema, sliced = _placed_schema(3), top.value.sliced()
+    schema, sliced = placed_schema(3), top.value.sliced()
     placed = [sides_[0].mapInPandas(place(True, alone), schema)] + [d.mapInPandas(place(False, True), schema) for d in sides_[1:]]
     build = lambda ids, at: _Near(ids, at, float(distance), alone)
-    return _work(reduce(DataFrame.unionByName, placed), top.value.tasks(), 3, build, (lambda task: not sliced[task]) if alone else None, ("a_id", "b_id"))
+    return work(reduce(DataFrame.unionByName, placed), top.value.tasks(), 3, build, (lambda task: not sliced[task]) if alone else None, "a_id bigint, b_id bigint")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tesselith.model import AXES, Boundary, Box
 from tesselith.operators.range_query import is_box_table, range_query
 
-#: Partitions that approx_count_range counts at least before it estimates.
-LEAST = 30
+#: Strata of a count by samples, pieces into which text is cut for it, and their least and greatest size.
+STRATA, PIECES, PIECE_BYTES = 32, 4000, (64 << 10, 64 << 20)
 
 
 def mbr(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -75,25 +75,61 @@ def estimate(draw: Callable[[int], list[float]], value: Callable[[float], float]
         size = count
 
 
-def approx_line_count(spark: SparkSession, path: str, rel_error: float = 0.01, seed: int = 1) -> float:
-    """Estimated number of non-empty lines: bytes of the files by the mean length of sampled lines, to a relative width
-    of ``rel_error`` at 99 %. Each round samples other lines of the whole input."""
+def _stratified(count: Callable[[list[int]], list[int]], parts: int, confidence: float, rel_error: float, seed: int, ready: Callable[[], bool] = lambda: True) -> tuple[float, float, float]:
+    """(total, low, high) over parts whose numbers count(parts) tells.
+
+    Parts that follow each other are a stratum, so every file or run of files has its share. Each round counts further parts
+    of each stratum in random order, twice as many each time; from the second on it ends once ready() and the interval is
+    narrower than rel_error of its high end. If it never is, all parts are counted and the result is exact."""
+    z, rng = NormalDist().inv_cdf((1 + confidence) / 2), np.random.default_rng(seed)
+    strata = [rng.permutation(s) for s in np.array_split(np.arange(parts), max(1, min(STRATA, parts // 4)))]
+    found: list[list[int]] = [[] for _ in strata]
+    each = 2
+    while True:
+        wanted = [s[len(f) : each] for s, f in zip(strata, found)]
+        flat = np.concatenate(wanted).tolist()
+        fresh = iter(count(flat) if flat else [])
+        for w, f in zip(wanted, found):
+            f += [next(fresh) for _ in w]
+        if all(len(f) == len(s) for s, f in zip(strata, found)):
+            total = float(sum(map(sum, found)))
+            return total, total, total
+        total = sum(len(s) * sum(f) / len(f) for s, f in zip(strata, found))
+        half = z * math.sqrt(sum(len(s) ** 2 * variance(f) / len(f) * (1 - len(f) / len(s)) if 1 < len(f) < len(s) else 0.0 for s, f in zip(strata, found)))
+        low, high = max(total - half, float(sum(map(sum, found)))), total + half
+        if each >= 4 and ready() and high - low < rel_error * high:
+            return total, low, high
+        each *= 2
+
+
+def _counter(df: DataFrame) -> tuple[Callable[[list[int]], list[int]], int]:
+    """A function that counts the rows of given partitions, and how many partitions there are. Only a constant per row leaves the JVM."""
+    counts = df.select(F.lit(1).alias("one")).mapInArrow(_batch_rows, "n bigint").rdd
+    context = df.sparkSession.sparkContext
+    return lambda parts: context.runJob(counts, lambda rows: [sum(r["n"] for r in rows)], parts), counts.getNumPartitions()
+
+
+def approx_line_count(spark: SparkSession, path: str, rel_error: float = 0.01, seed: int = 1, confidence: float = 0.99) -> tuple[int, int, int]:
+    """(count, low, high): estimated number of non-empty lines of text files, to a relative width of ``rel_error``.
+
+    Pieces of the files are drawn, stratified by their place in the input, and their lines counted as they are read: decompressed,
+    whole. Files that can't be split, as those of gzip, are one piece each. Input of few pieces is counted whole, so the
+    result is exact then."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     size = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
     if not size:
-        return 0.0
-    lines = spark.read.text(path).select((F.length(F.encode("value", "utf-8")) + 1).cast("double").alias("n"))
-    guess = max(1.0, size / 64)
-    round_ = 0
-
-    def draw(n: int) -> list[float]:
-        nonlocal round_
-        round_ += 1
-        got = lines.sample(False, min(1.0, 1.3 * n / guess), seed + round_).limit(n).collect()
-        return [r["n"] for r in got]
-
-    low, high = estimate(draw, lambda mean: size / mean, lambda lo, hi: hi - lo < rel_error * hi)
-    return (low + high) / 2
+        return 0, 0, 0
+    settings = {"spark.sql.files.maxPartitionBytes": str(min(PIECE_BYTES[1], max(PIECE_BYTES[0], size // PIECES))), "spark.sql.files.openCostInBytes": "4096"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        count, parts = _counter(spark.read.text(path).where(F.length("value") > 0))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    total, low, high = _stratified(count, parts, confidence, rel_error, seed)
+    return round(total), math.floor(low), math.ceil(high)
 
 
 def _batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,23 +140,13 @@ def _batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def approx_count_range(df: DataFrame, seconds: float = 10.0, confidence: float = 0.99, rel_error: float = 0.01, seed: int = 1) -> tuple[int, int, int]:
     """(count, low, high): the row count, exact unless it takes longer than the given time.
 
-    Partitions are counted in random order, LEAST of them first and then as many again each time. Once the time is over, the
-    count ends as soon as the interval from the counts so far, at the given confidence, is narrower than rel_error of its
-    high end; if it never is, all partitions are counted. An estimate of 0 is always exact. Only a constant per row leaves the JVM."""
-    began, context = time.monotonic(), df.sparkSession.sparkContext
-    counts = df.select(F.lit(1).alias("one")).mapInArrow(_batch_rows, "n bigint").rdd
-    order = np.random.default_rng(seed).permutation(counts.getNumPartitions()).tolist()
-    parts, found, z = len(order), [], NormalDist().inv_cdf((1 + confidence) / 2)
-    while len(found) < parts:
-        found += context.runJob(counts, lambda rows: [sum(r["n"] for r in rows)], order[len(found) : max(LEAST, 2 * len(found))])
-        n = len(found)
-        if n < parts and time.monotonic() - began >= seconds:
-            half = z * parts * math.sqrt(variance(found) / n * (1 - n / parts))
-            value = parts * sum(found) / n
-            low, high = max(value - half, sum(found)), value + half
-            if high - low < rel_error * high:
-                return round(value), math.floor(low), math.ceil(high)
-    return sum(found), sum(found), sum(found)
+    Partitions are counted in rounds of random ones from all parts of the input. Once the time is over, the count ends as
+    soon as its interval, at the given confidence, is narrower than rel_error of its high end; if it never is, all
+    partitions are counted. An estimate of 0 is always exact."""
+    began = time.monotonic()
+    count, parts = _counter(df)
+    total, low, high = _stratified(count, parts, confidence, rel_error, seed, lambda: time.monotonic() - began >= seconds)
+    return round(total), math.floor(low), math.ceil(high)
 
 
 def approx_count(df: DataFrame, seconds: float = 10.0, confidence: float = 0.99) -> int:

@@ -84,8 +84,8 @@ def test_knn(spark):
     assert [(r["id"], r["dist"]) for r in J.knn(b, (0, 0, 0), 2, "id").collect()] == [(2, math.sqrt(3)), (1, 3.0)]
 
 
-@pytest.mark.parametrize(("k", "block", "rounds"), [(1, 1000, 60), (4, 2, 60), (4, 2, 3), (50, 1000, 60), (50, 4, 2)])
-def test_knn_join(spark, k, block, rounds):
+@pytest.mark.parametrize(("k", "leaf_rows", "slice_rows"), [(1, 1000, 1000), (4, 6, 1000), (4, 9, 4), (50, 1000, 1000), (50, 10, 7)])
+def test_knn_join(spark, k, leaf_rows, slice_rows):
     rng = random.Random(8)
     left = [(i, *(rng.uniform(0, 10) for _ in range(3))) for i in range(12)] + [(77, None, 1.0, 1.0), (78, 500.0, 500.0, 500.0)]
     right = [(i, *(rng.choice([rng.uniform(0, 10), 5.0]) for _ in range(3))) for i in range(40)] + [(99, math.nan, 1.0, 1.0)]
@@ -95,7 +95,7 @@ def test_knn_join(spark, k, block, rounds):
             near = sorted((math.dist(p, q), j) for j, *q in right if not math.isnan(q[0]))[:k]
             want |= {(i, n): j for n, (_, j) in enumerate(near, 1)}
     s = "id bigint, t double, x double, y double"
-    got = J.knn_join(spark.createDataFrame(left, s), spark.createDataFrame(right + right[:5], s), k, block, rounds).collect()
+    got = J.knn_join(spark.createDataFrame(left, s), spark.createDataFrame(right + right[:5], s), k, leaf_rows, slice_rows).collect()
     assert {(r["left_id"], r["rank"]): r["right_id"] for r in got} == want and len(got) == len(want)
     none = spark.createDataFrame([], s)
     with pytest.raises(ValueError):
@@ -103,19 +103,47 @@ def test_knn_join(spark, k, block, rounds):
     assert J.knn_join(none, spark.createDataFrame(right, s), k).count() == 0 and J.knn_join(spark.createDataFrame(left, s), none, k).count() == 0
 
 
-def test_knn_join_datapoints_takes_every_twentieth_point_by_rounds(spark, tmp_path, monkeypatch):
+def test_knn_join_datapoints_takes_every_twentieth_point(spark, tmp_path):
     rng, n = np.random.default_rng(5), 42_000
     at = np.column_stack([rng.uniform(1.7040e9, 1.7066e9, n), rng.uniform(-32768, 32768, n), rng.uniform(-24576, 24576, n)])
     for low, high, x in ((0, n // 4, -20000), (n // 4, n // 2, 9000)):  # half of the points in two busy cells
         at[low:high, 1], at[low:high, 2] = rng.uniform(x, x + 1024, high - low), rng.uniform(0, 1024, high - low)
     pdf = pd.DataFrame({"id": rng.permutation(n), "t": at[:, 0], "x": at[:, 1], "y": at[:, 2]})
     pd.concat([pdf, pdf.head(50)]).to_parquet(tmp_path / "datapoints.parquet", index=False)
-    scanned, scan = [], J._scan_block
-    monkeypatch.setattr(J, "_scan_block", lambda rows, *a: scanned.append(len(rows)) or scan(rows, *a))
     got = {(r["left_id"], r["rank"]): r["right_id"] for r in queries()["knn_join_datapoints"](spark, str(tmp_path)).collect()}
     want, ids = {}, pdf["id"].to_numpy()
     for i in np.flatnonzero(ids % 20 == 0):
         d = np.sqrt(((at - at[i]) ** 2).sum(1))
         near = np.argpartition(d, 5)[:5]
         want |= {(ids[i], r): ids[j] for r, j in enumerate(near[np.argsort(d[near])], 1)}
-    assert got == want and len(want) == n // 20 * 5 and sum(scanned) < n // 20
+    assert got == want and len(want) == n // 20 * 5
+
+
+def test_few_huge_boxes_among_many_small_ones(spark):
+    """The huge ones mustn't make the cells of the small ones wide."""
+    import time
+
+    rng, n = np.random.default_rng(4), 60_000
+    low = rng.uniform(0, 1000, (n, 3))
+    high = low + 0.01
+    low[:10], high[:10] = 0.0, rng.uniform(500, 1e6, (10, 1))
+    low[10:20] = high[10:20] = 5e5  # boxes without extent, all of them in some of the huge ones
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([low, high]), columns=NAMES).assign(id=np.arange(n)))
+    began = time.monotonic()
+    got = J.intersects_join(df.where("id < 10"), df).where("a_id != b_id").count()
+    both = J.intersects_join(df.repartition(4), df).where("a_id != b_id").count()
+    assert time.monotonic() - began < 60
+    over = [(low < high[i]).all(1) & (high > low[i]).all(1) for i in range(10)]
+    want = sum(int(o.sum()) for o in over) - 10
+    small = low[20:]
+    pairs = sum(int(((np.abs(small - p) < 0.01).all(1)).sum()) for p in small[:400]) - 400
+    assert got == want and both >= 2 * want - 90 and pairs >= 0
+    points = df.selectExpr("id", "t1 t", "x1 x", "y1 y")
+    held = J.point_in_box_join(points, df.where("id < 10")).count()
+    assert held == sum(int(((low >= low[i]) & (low < high[i])).all(1).sum()) for i in range(10))
+
+
+def test_tiny_and_degenerate_boxes(spark):
+    rows = [(1, 1.7e9, 0.0, 0.0, 1.7e9, 1e-300, 0.0), (2, 1.7e9 - 1, -1.0, -1.0, 1.7e9 + 1, 1.0, 1.0), (3, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (4, -1e-300, -1.0, -1.0, 1e-300, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r["a_id"], r["b_id"]) for r in J.intersects_join(df, df).where("a_id < b_id").collect()) == [(1, 2), (3, 4)]
