@@ -72,7 +72,7 @@ class Arguments:
 def _shapes(spark: SparkSession, a: Arguments, path: str | None = None) -> DataFrame:
     path = path or a.paths[0]
     if index.is_index(spark, path):
-        return index.read_index(spark, path).stored.drop("cell_id")
+        return index.read_index(spark, path).stored.drop(index.CELL)
     return text.read_shapes(spark, path, a.get("shape"))
 
 
@@ -142,7 +142,7 @@ def readfile(spark: SparkSession, a: Arguments) -> None:
         print(found.kind)
         rows = found.show()
         if "offset" in a.values:
-            rows = rows.where(F.col("path") == f"cell_id={a.values['offset']}")
+            rows = rows.where(F.col("path") == f"{index.CELL}={a.values['offset']}")
         for r in rows.toLocalIterator():
             print(*r, sep=",")
     else:

@@ -1,4 +1,4 @@
-"""Uniform grids: dimensions, cells, and cells of points and boxes as arithmetic on columns."""
+"""Uniform grids: dimensions, cells, and cells of points and boxes as arithmetic on columns; cells of equal numbers of rows."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselith.model import AXES, Box
 
+#: Rows of a sample that cells are cut on: for each cell, at least and at most in all.
+SAMPLED, LEAST_SAMPLED, MOST_SAMPLED = 200, 20_000, 2_000_000
+
 
 def num_partitions(size: int, block: int, overhead: float = 0.2) -> int:
     """Blocks needed for ``size`` bytes and what an index adds."""
@@ -158,11 +162,11 @@ def assign_cells(df: DataFrame, grid: Grid, replicate: bool = False) -> DataFram
     return df.withColumn("cell_id", F.explode_outer(grid.cells_of_box()))
 
 
-def reference_cell(grid: Grid, query: Box) -> Column:
+def reference_cell(grid: Grid, query: Box, cell: str = "cell_id") -> Column:
     """Whether a replicated box's row is the one to report for a query: the row in the cell of the low corner of the
     common part. Of the copies of a box exactly one is."""
     corner = [F.greatest(F.lit(q), F.col(f"{a}1")) for q, a in zip(query.low, AXES)]
-    return F.col("cell_id") == grid.cell_of(*corner)
+    return F.col(cell) == grid.cell_of(*corner)
 
 
 def grid_histogram(df: DataFrame, grid: Grid) -> DataFrame:
@@ -170,44 +174,95 @@ def grid_histogram(df: DataFrame, grid: Grid) -> DataFrame:
     return assign_cells(df, grid, replicate=True).where("cell_id is not null").groupBy("cell_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def str_cells(df: DataFrame, counts: Sequence[int], accuracy: int = 10_000) -> DataFrame:
+@dataclass(frozen=True)
+class Slabs:
+    """Cells that split a sample into nearly equal numbers: slabs of t, those of x within each, those of y within each of
+    these; the outer faces are infinite. t, x, y: the cuts of each axis, of all slabs one after another, with the place where
+    those of a slab begin (first) and the number of the first slab of the next axis, or cell, within it."""
+
+    cuts: tuple[np.ndarray, np.ndarray, np.ndarray]
+    first: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, counts: Sequence[int]) -> Slabs:
+        """sample: rows t, x, y. Equal cuts are one, so there may be fewer cells than counts asks for."""
+        if min(counts) < 1:
+            raise ValueError("counts are at least 1")
+        groups, cuts, firsts = [sample], [], []
+        for axis, n in enumerate(counts):
+            own, parts = [], []
+            for rows in groups:
+                v = np.sort(rows[:, axis])
+                places = np.unique(v[[len(v) * i // n for i in range(1, n)]]) if len(v) else v
+                places = places[places > v[0]] if len(v) else places
+                own.append(places)
+                slab = np.searchsorted(places, rows[:, axis], "right")
+                parts += [rows[slab == i] for i in range(len(places) + 1)]
+            cuts.append(np.concatenate(own) if own else np.empty(0))
+            firsts.append(np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype("int64"))
+            groups = parts
+        return cls(tuple(cuts), tuple(firsts))
+
+    @property
+    def size(self) -> int:
+        return int(self.first[2][-1]) + len(self.first[2]) - 1
+
+    def _slab(self, axis: int, outer: np.ndarray, v: np.ndarray, side: str) -> np.ndarray:
+        """Number within its outer slab of the slab of each value: how many cuts are not above it, or with side left, below it."""
+        lo, hi = self.first[axis][outer].copy(), self.first[axis][outer + 1].copy()
+        start, cuts = lo.copy(), np.append(self.cuts[axis], np.inf)
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) // 2
+            past = (cuts[mid] <= v) if side == "right" else (cuts[mid] < v)
+            lo, hi = np.where(open_ & past, mid + 1, lo), np.where(open_ & ~past, mid, hi)
+        return lo - start
+
+    def cell_of(self, p: np.ndarray) -> np.ndarray:
+        """Cells, from 1 on, of locations t, x, y: low <= v < high."""
+        slab = np.zeros(len(p), "int64")
+        for axis in range(3):
+            slab = self._slab(axis, slab, p[:, axis], "right") + self.first[axis][slab] + slab
+        return slab + 1
+
+    def cells_of(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for the cells that boxes overlap openly; one without extent in a dimension is in the slab that holds it there."""
+        row, slab = np.arange(len(low)), np.zeros(len(low), "int64")
+        for axis in range(3):
+            a = self._slab(axis, slab, low[row, axis], "right")
+            n = np.maximum(self._slab(axis, slab, high[row, axis], "left"), a) - a + 1
+            begin = np.repeat(self.first[axis][slab] + slab + a, n)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, slab = np.repeat(row, n), begin + step
+        return row, slab + 1
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(cell_id, t1..y2)."""
+        rows: list[tuple[list[float], list[float], int]] = [([], [], 0)]
+        for axis in range(3):
+            inner = []
+            for low, high, slab in rows:
+                own = self.cuts[axis][self.first[axis][slab] : self.first[axis][slab + 1]].tolist()
+                begin = int(self.first[axis][slab]) + slab
+                inner += [([*low, l], [*high, h], begin + i) for i, (l, h) in enumerate(zip([-math.inf, *own], [*own, math.inf]))]
+            rows = inner
+        return spark.createDataFrame([(slab + 1, *low, *high) for low, high, slab in rows], "cell_id bigint, t1 double, x1 double, y1 double, t2 double, x2 double, y2 double")
+
+
+def centres_of(df: DataFrame) -> DataFrame:
+    """(t, x, y) of points, or of the middles of boxes, that have all coordinates."""
+    pts = df.select(*AXES) if "t" in df.columns else df.select(*[((F.col(f"{a}1") + F.col(f"{a}2")) / 2).alias(a) for a in AXES])
+    return pts.where(" and ".join(f"{a} is not null and not isnan({a})" for a in AXES))
+
+
+def slabs_of(df: DataFrame, counts: Sequence[int], seed: int = 1) -> Slabs:
+    """Slabs of nearly equal numbers of rows, cut on a sample of SAMPLED rows for each cell, at most MOST_SAMPLED."""
+    n = df.count()
+    wanted = min(MOST_SAMPLED, max(LEAST_SAMPLED, SAMPLED * math.prod(counts)))
+    some = df if wanted >= n else df.sample(False, wanted / n, seed)
+    return Slabs.fit(centres_of(some).toPandas().to_numpy(float).reshape(-1, 3), counts)
+
+
+def str_cells(df: DataFrame, counts: Sequence[int]) -> DataFrame:
     """(cell_id, t1..y2): cells that split points, or centres of boxes, into nearly equal numbers, by slabs of t, then x,
-    then y. Outer faces are infinite, so everything is in a cell, low <= v < high. Three aggregations, whose results
-    have one row per slab; the cuts are percentiles of rank error 1/accuracy. Equal cuts give fewer cells."""
-    spark = df.sparkSession
-    nt, nx, ny = counts
-    if min(counts) < 1:
-        raise ValueError("counts are at least 1")
-    pts = df.select(*[F.col(a) for a in AXES]) if "t" in df.columns else df.select(*[((F.col(f"{a}1") + F.col(f"{a}2")) / 2).alias(a) for a in AXES])
-    pts = pts.where(" and ".join(f"{a} is not null and not isnan({a})" for a in AXES))
-
-    def cuts(rows: DataFrame, axis: str, n: int, by: list[str]) -> dict:
-        share = [i / n for i in range(1, n)]
-        if not share:
-            return {}
-        got = rows.groupBy(*by).agg(F.percentile_approx(axis, F.array(*[F.lit(s) for s in share]), F.lit(accuracy)).alias("c")).collect()
-        return {tuple(r[b] for b in by): sorted(set(r["c"] or [])) for r in got}
-
-    def slab(axis: str, table: dict, by: list[str]) -> Column:
-        """Number of cuts not above the value; the cuts of a slab come from a map with one entry per slab."""
-        if not table:
-            return F.lit(0)
-        entries = []
-        for k, values in table.items():
-            entries += [F.lit(",".join(map(str, k))), F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")]
-        own = F.concat_ws(",", *[F.col(b).cast("string") for b in by]) if by else F.lit("")
-        return F.size(F.filter(F.element_at(F.create_map(*entries), own), lambda c: c <= F.col(axis)))
-
-    tcut = cuts(pts, "t", nt, [])
-    with_t = pts.withColumn("st", slab("t", tcut, []))
-    xcut = cuts(with_t, "x", nx, ["st"])
-    with_x = with_t.withColumn("sx", slab("x", xcut, ["st"]))
-    ycut = cuts(with_x, "y", ny, ["st", "sx"])
-    inf, rows = float("inf"), []
-    ts = [-inf, *tcut.get((), []), inf]
-    for i in range(len(ts) - 1):
-        xs = [-inf, *xcut.get((i,), []), inf]
-        for j in range(len(xs) - 1):
-            ys = [-inf, *ycut.get((i, j), []), inf]
-            rows += [(len(rows) + k + 1, ts[i], xs[j], ys[k], ts[i + 1], xs[j + 1], ys[k + 1]) for k in range(len(ys) - 1)]
-    return spark.createDataFrame(rows, "cell_id bigint, t1 double, x1 double, y1 double, t2 double, x2 double, y2 double")
+    then y. Outer faces are infinite, so everything is in a cell, low <= v < high."""
+    return slabs_of(df, counts).table(df.sparkSession)

@@ -1,6 +1,6 @@
 """Space-partitioned datasets on Parquet, with a catalogue that tells which partitions a query needs.
 
-Layout: one directory per cell (cell_id=...), rows sorted by t, x, y so that row-group statistics prune further;
+Layout: one directory per cell (index_cell=...), rows sorted by t, x, y so that row-group statistics prune further;
 _catalog holds one row per cell, _meta.json the kind. Kinds: grid (uniform cells, boxes replicated to all cells they
 overlap), rtree (cells of nearly equal numbers, nothing replicated, catalogue boxes are those of the content) and
 r+tree (such cells with boxes replicated, catalogue boxes are the common part of cell and content).
@@ -9,9 +9,12 @@ r+tree (such cells with boxes replicated, catalogue boxes are the common part of
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +23,14 @@ from tesselith.functions import geometry as G
 from tesselith.model import AXES, HIGHS, LOWS, Boundary, Box, Kind
 from tesselith.operators import grid as grids
 from tesselith.operators import join, range_query, stats
-from tesselith.operators.grid import Grid
+from tesselith.operators.grid import Grid, num_partitions
 from tesselith.session import cut
 
 KINDS = {"grid": True, "rtree": False, "r+tree": True}  # whether boxes are replicated
-#: Rows of a task that writes a cell; a cell with more is written by several tasks.
-FILE_ROWS = 2_000_000
+#: The column with a row's cell, by which the data lie in folders.
+CELL = "index_cell"
+#: Rows of a task that writes a cell, a cell with more is written by several tasks; bytes of rows in a cell by default.
+FILE_ROWS, BLOCK_BYTES = 2_000_000, 128 << 20
 #: Cells up to which a pruned scan lists them; more are filtered by a join.
 LISTED = 1000
 
@@ -58,14 +63,14 @@ def read_file(spark: SparkSession, path: str) -> str:
 
 
 def _in_cells(df: DataFrame, cells: DataFrame, replicate: bool) -> DataFrame:
-    """df with cell_id by a table of cells that tile all of space; its size is that of the catalogue.
+    """df with index_cell by a table of cells that tile all of space; its size is that of the catalogue.
 
     Points and centres go to the cell with low <= v < high, replicated boxes to all they overlap. The outer faces are
     infinite, so they are put a little beyond the data for the join on cells."""
     box = range_query.is_box_table(df)
     around = stats.mbr_box(df)
     if around is None:
-        return df.withColumn("cell_id", F.lit(None).cast("bigint"))
+        return df.withColumn(CELL, F.lit(None).cast("bigint"))
     bounded = cells
     for a, l, h in zip(AXES, around.low, around.high):
         room = (h - l) + abs(l) * 1e-6 + abs(h) * 1e-6 + 1.0
@@ -76,68 +81,131 @@ def _in_cells(df: DataFrame, cells: DataFrame, replicate: bool) -> DataFrame:
         least = lambda a: F.col(f"{a}1") + F.abs(F.col(f"{a}1")) * 4e-16 + F.lit(5e-324)
         own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *LOWS, *[F.greatest(F.col(f"{a}2"), least(a)).alias(f"{a}2") for a in AXES])
         pairs = join.intersects_join(own, bounded)
-        return pairs.select(*[F.col(f"a_row.`{c}`").alias(c) for c in df.columns], F.col("b___cell").alias("cell_id"))
+        return pairs.select(*[F.col(f"a_row.`{c}`").alias(c) for c in df.columns], F.col("b___cell").alias(CELL))
     middle = [F.col(a) for a in AXES] if not box else G.center()
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(a) for a, c in zip(AXES, middle)])
     pairs = join.point_in_box_join(own, bounded, Boundary.HALF_OPEN)
-    return pairs.select(*[F.col(f"p_row.`{c}`").alias(c) for c in df.columns], F.col("b___cell").alias("cell_id"))
+    return pairs.select(*[F.col(f"p_row.`{c}`").alias(c) for c in df.columns], F.col("b___cell").alias(CELL))
 
 
-def build_index(df: DataFrame, path: str, kind: str = "grid", grid: Grid | None = None, cells: DataFrame | None = None, counts: tuple[int, int, int] | None = None, mode: str = "errorifexists", file_rows: int = FILE_ROWS) -> "Index":
+def _size_of(rows: DataFrame, n: int) -> int:
+    """Bytes of rows, by those of some thousand of them in columns."""
+    few = rows.sample(False, min(1.0, 5000 / max(1, n)), 1).limit(5000).toArrow()
+    return int(few.nbytes / max(1, few.num_rows) * n)
+
+
+def _in_slabs(df: DataFrame, slabs: grids.Slabs, replicate: bool) -> DataFrame:
+    """df with index_cell by binary search in the slabs' cuts, which are broadcast: a few numbers for each cell."""
+    cuts = df.sparkSession.sparkContext.broadcast(slabs)
+    if range_query.is_box_table(df) and replicate:
+
+        @F.pandas_udf("array<bigint>")
+        def cells(t1: pd.Series, x1: pd.Series, y1: pd.Series, t2: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+            row, cell = cuts.value.cells_of(np.column_stack([t1, x1, y1]), np.column_stack([t2, x2, y2]))
+            return pd.Series(np.split(cell, np.cumsum(np.bincount(row, minlength=len(t1)))[:-1]))
+
+        return df.withColumn(CELL, F.explode(cells(*LOWS, *HIGHS)))
+
+    @F.pandas_udf("bigint")
+    def cell(t: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(cuts.value.cell_of(np.column_stack([t, x, y])))
+
+    return df.withColumn(CELL, cell(*(G.center() if range_query.is_box_table(df) else AXES)))
+
+
+def _split(placed: DataFrame, sampled: DataFrame, share: float, file_rows: int) -> DataFrame:
+    """placed with __s, the part of its cell that a row is written in: cells that the sampled rows (a share of all) say may
+    hold more than file_rows are split evenly. A row's part is its place among the task's rows in the order of a hash, so
+    copies are spread, and a task that runs again gives equal rows the same parts."""
+    n = F.col("n")
+    most = F.ceil((n + 4 * F.sqrt("n") + 8) / F.lit(share)) if share < 1 else n
+    counts = sampled.groupBy(CELL).agg(F.count(F.lit(1)).alias("n"))
+    many = counts.select(CELL, F.ceil(most / file_rows).cast("bigint").alias("__parts")).where("__parts > 1").toPandas()  # a sampled row each at most
+    if not len(many):
+        return placed.withColumn("__s", F.lit(0))
+    hashable = [F.col(f"`{f.name}`") for f in placed.schema if f.dataType.typeName() not in ("map", "variant")]
+    table = F.broadcast(placed.sparkSession.createDataFrame(many, f"{CELL} bigint, __parts bigint"))
+    sorted_ = placed.withColumn("__h", F.xxhash64(*hashable)).sortWithinPartitions("__h").withColumn("__at", F.monotonically_increasing_id())
+    return sorted_.join(table, CELL, "left").withColumn("__s", F.coalesce(F.pmod("__at", "__parts"), F.lit(0).cast("bigint"))).drop("__h", "__at", "__parts")
+
+
+def build_index(df: DataFrame, path: str, kind: str = "grid", grid: Grid | None = None, cells: DataFrame | None = None, counts: tuple[int, int, int] | None = None, mode: str = "errorifexists", file_rows: int = FILE_ROWS, block: int = BLOCK_BYTES) -> "Index":
     """Writes points or boxes (and any further columns) as an index and returns it.
 
-    grid: cells of a grid index, by default a fit of the bounding box. cells: a table of cells (cell_id, t1..y2) for
-    the other kinds, e.g. those of another index, by default from counts = (nt, nx, ny) slabs. Rows without full
-    coordinates have no place and are left out; inverted boxes too. A cell with many rows is written by several tasks, in
-    files of at most file_rows. mode: errorifexists or overwrite.
+    grid: cells of a grid index, by default a fit of the bounding box, each dimension in units of its extent. cells: a
+    table of cells (cell_id, t1..y2) for the other kinds, e.g. those of another index; by default slabs of nearly equal
+    numbers of rows, cut on a bounded sample, counts = (nt, nx, ny) of them. Without grid, cells and counts there are as
+    many cells as blocks of ``block`` bytes in the data. Rows without full coordinates have no place and are left out;
+    inverted boxes too. A cell with many rows is written by several tasks, in files of at most file_rows. mode:
+    errorifexists or overwrite. The index is written beside its path and then takes its place, so it may be built from
+    rows that it replaces, and a failure leaves the old one.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown index {kind!r}")
     if mode not in ("errorifexists", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
-    if "cell_id" in df.columns:
-        df = df.withColumnRenamed("cell_id", "src_cell_id")
+    if CELL in df.columns:
+        raise ValueError(f"{CELL} is the name of the column that holds a row's cell")
     spark = df.sparkSession
-    if exists(spark, path):
-        if mode == "errorifexists":
-            raise FileExistsError(path)
-        fs, p = _fs(spark, path)
-        fs.delete(p, True)
+    if mode == "errorifexists" and exists(spark, path):
+        raise FileExistsError(path)
     box = range_query.is_box_table(df)
     names = [*LOWS, *HIGHS] if box else list(AXES)
     rows = df.where(" and ".join(f"{n} is not null and not isnan({n})" for n in names))
     if box:
         rows = rows.where("t1 <= t2 and x1 <= x2 and y1 <= y2")
+    n = rows.count()
+    wanted = num_partitions(_size_of(rows, n), block) if grid is None and cells is None and counts is None else 1
     meta: dict = {"kind": kind, "box": box, "grid": None, "schema": df.schema.jsonValue()}
     if kind == "grid":
         if grid is None:
             around = stats.mbr_box(rows) or Box(0, 0, 0, 1, 1, 1)
-            grid = Grid.fit(around, max(1, -(-rows.count() // file_rows)))
+            grid = Grid.fit(around, wanted, tuple(1 / e if e > 0 else 0.0 for e in around.extents))
         meta["grid"] = [*grid.box.low, *grid.box.high, *grid.counts]
-        placed = grids.assign_cells(rows, grid, replicate=box)
+        place = lambda d: d.withColumn(CELL, F.explode(grid.cells_of_box()) if box else grid.cell_of(*[F.col(a) for a in AXES]))
         cell_table = grid.cells(spark)
+    elif cells is not None:
+        cell_table = cut(cells)
+        place = lambda d: _in_cells(d, cell_table, KINDS[kind])
     else:
-        cell_table = cut(cells if cells is not None else grids.str_cells(rows, counts or (1, 4, 4)))
-        placed = _in_cells(rows, cell_table, KINDS[kind])
-    sizes = cut(placed.groupBy("cell_id").agg(F.count(F.lit(1)).alias("__n")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__n") / file_rows)).cast("bigint")
-    split = placed.join(F.broadcast(sizes.where(F.col("__n") > file_rows).select("cell_id", parts.alias("__parts")).limit(100_000)), "cell_id", "left")
-    order = [F.col(n) for n in names[:3]]
-    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("__parts"))).otherwise(F.lit(0))
-    (split.withColumn("__s", salt).repartition("cell_id", "__s").sortWithinPartitions("cell_id", *order).drop("__s", "__parts")
-     .write.partitionBy("cell_id").option("maxRecordsPerFile", file_rows).parquet(path))
-    _write_catalog(spark, path, cell_table, kind, box)
-    write_text(spark, f"{path}/_meta.json", json.dumps(meta))
+        slabs = grids.slabs_of(rows, counts or Grid.fit(Box(0, 0, 0, 1, 1, 1), wanted).counts)
+        place = lambda d: _in_slabs(d, slabs, KINDS[kind])
+        cell_table = slabs.table(spark)
+    share = min(1.0, max(grids.LEAST_SAMPLED, 100 * n / file_rows) / max(1, n))
+    order = [F.col(c) for c in names[:3]]
+    split = _split(place(rows), place(rows.select(*names) if share == 1 else rows.select(*names).sample(False, share, 1)), share, file_rows)
+    fresh = f"{path}.new-{uuid.uuid4().hex[:12]}"
+    (split.repartition(CELL, "__s").sortWithinPartitions(CELL, *order).drop("__s")
+     .write.partitionBy(CELL).option("maxRecordsPerFile", file_rows).parquet(fresh))
+    _write_catalog(spark, fresh, cell_table, kind, box)
+    write_text(spark, f"{fresh}/_meta.json", json.dumps(meta))
+    _swap(spark, fresh, path, mode)
     return read_index(spark, path)
 
 
+def _swap(spark: SparkSession, fresh: str, path: str, mode: str) -> None:
+    """Gives a complete folder its name; what had it before is removed afterwards."""
+    fs, new = _fs(spark, fresh)
+    old, gone = _fs(spark, path)[1], _fs(spark, f"{path}.old-{uuid.uuid4().hex[:12]}")[1]
+    there = fs.exists(old)
+    if there and mode == "errorifexists":
+        fs.delete(new, True)
+        raise FileExistsError(path)
+    if there and not fs.rename(old, gone):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(new, old):
+        raise OSError(f"can't name {path}")
+    if there:
+        fs.delete(gone, True)
+
+
 def _write_catalog(spark: SparkSession, path: str, cells: DataFrame, kind: str, box: bool) -> None:
     low, high = (LOWS, HIGHS) if box else (AXES, AXES)
     data = _data(spark, path)
     if data is None:
         content = spark.createDataFrame([], "cell_id bigint, n bigint, m_t1 double, m_x1 double, m_y1 double, m_t2 double, m_x2 double, m_y2 double")
     else:
-        content = data.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"m_{d}") for c, d in zip(low, LOWS)], *[F.max(c).alias(f"m_{d}") for c, d in zip(high, HIGHS)])
+        content = data.groupBy(F.col(CELL).alias("cell_id")).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"m_{d}") for c, d in zip(low, LOWS)], *[F.max(c).alias(f"m_{d}") for c, d in zip(high, HIGHS)])
     both = content.join(cells, "cell_id")
     if kind == "grid":
         box_of = [F.col(c) for c in (*LOWS, *HIGHS)]
@@ -145,17 +213,17 @@ def _write_catalog(spark: SparkSession, path: str, cells: DataFrame, kind: str,
         box_of = [F.col(f"m_{c}").alias(c) for c in (*LOWS, *HIGHS)]
     else:
         box_of = [F.greatest(F.col(c), F.col(f"m_{c}")).alias(c) for c in LOWS] + [F.least(F.col(c), F.col(f"m_{c}")).alias(c) for c in HIGHS]
-    path_of = F.concat(F.lit("cell_id="), F.col("cell_id").cast("string")).alias("path")
+    path_of = F.concat(F.lit(f"{CELL}="), F.col("cell_id").cast("string")).alias("path")
     # The cell itself, as c_..., serves the reference-point rule; the content box serves pruning and the bounding box.
     both.select("cell_id", path_of, *box_of, "n", *[f"m_{c}" for c in (*LOWS, *HIGHS)], *[F.col(c).alias(f"c_{c}") for c in (*LOWS, *HIGHS)]).coalesce(1).write.parquet(f"{path}/_catalog")
 
 
 def _data(spark: SparkSession, path: str) -> DataFrame | None:
     fs, p = _fs(spark, path)
-    if not any(s.getPath().getName().startswith("cell_id=") for s in fs.listStatus(p)):
+    if not any(s.getPath().getName().startswith(f"{CELL}=") for s in fs.listStatus(p)):
         return None
     rows = spark.read.parquet(path)
-    return rows.withColumn("cell_id", F.col("cell_id").cast("bigint"))
+    return rows.withColumn(CELL, F.col(CELL).cast("bigint"))
 
 
 def read_index(spark: SparkSession, path: str) -> "Index":
@@ -220,12 +288,12 @@ class Index:
 
     @property
     def stored(self) -> DataFrame:
-        """All stored rows with cell_id; of replicated boxes, every copy."""
+        """All stored rows with index_cell; of replicated boxes, every copy."""
         rows = _data(self.spark, self.path)
         return self._none() if rows is None else rows
 
     def _none(self) -> DataFrame:
-        return self.spark.createDataFrame([], self.schema.add("cell_id", T.LongType()) if "cell_id" not in self.schema.names else self.schema)
+        return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField(CELL, T.LongType())]))
 
     def cells(self) -> DataFrame:
         """(cell_id, t1..y2) of the cells."""
@@ -251,13 +319,14 @@ class Index:
         if not ids:
             return self._none()
         rows = self.spark.read.parquet(self.path)
-        rows = rows.where(F.col("cell_id").isin(ids)) if len(ids) <= LISTED else rows.join(hit, "cell_id", "left_semi")
-        return rows.withColumn("cell_id", F.col("cell_id").cast("bigint"))
+        hit = hit.withColumnRenamed("cell_id", CELL)
+        rows = rows.where(F.col(CELL).isin(ids)) if len(ids) <= LISTED else rows.join(hit, CELL, "left_semi")
+        return rows.withColumn(CELL, F.col(CELL).cast("bigint"))
 
     def _reported(self, query: Box) -> Column:
         """Of the copies of a replicated box, the one in the cell with the low corner of the common part."""
         if self.grid is not None:
-            return grids.reference_cell(self.grid, query)
+            return grids.reference_cell(self.grid, query, CELL)
         corner = [F.greatest(F.lit(q), F.col(f"{a}1")) for q, a in zip(query.low, AXES)]
         inside = F.lit(True)
         for v, a in zip(corner, AXES):
@@ -269,6 +338,6 @@ class Index:
         rows = self.scan(box)
         if self.replicated:
             if self.grid is None:
-                rows = rows.join(prune(self.catalog, box).select("cell_id", *[f"c_{c}" for c in (*LOWS, *HIGHS)]), "cell_id")
+                rows = rows.join(prune(self.catalog, box).select(F.col("cell_id").alias(CELL), *[f"c_{c}" for c in (*LOWS, *HIGHS)]), CELL)
             rows = rows.where(self._reported(box)).drop(*[f"c_{c}" for c in (*LOWS, *HIGHS)])
-        return range_query.range_query(rows.drop("cell_id"), box, kind, field, boundary)
+        return range_query.range_query(rows.drop(CELL), box, kind, field, boundary)

@@ -131,7 +131,7 @@ def test_pruning(spark, tmp_path):
     made = index.build_index(points(spark), str(tmp_path / "i"), "grid", Grid(CUBE, 1, 4, 4))
     got = made.range_query(Box(0, 0.1, 0.1, 10, 2, 2))
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "cell_id" in plan.split("PartitionFilters")[1].split("]")[0] and "GreaterThan(t,0.0)" in plan
+    assert "PartitionFilters" in plan and "index_cell" in plan.split("PartitionFilters")[1].split("]")[0] and "GreaterThan(t,0.0)" in plan
     assert got.select(F.input_file_name()).distinct().count() == 1 < made.stored.select(F.input_file_name()).distinct().count()
     assert index.prune(made.catalog, Box(0, 0.1, 0.1, 10, 2, 2)).count() == 1
     assert index.prune_by(made.catalog, lambda c: c.where("n > 0")).count() == made.catalog.count()
@@ -147,7 +147,7 @@ def test_degenerate_content_is_in_the_catalogue(spark, tmp_path):
 def test_overwrite_guard_cell_reuse_and_empty(spark, tmp_path):
     path, df = str(tmp_path / "i"), points(spark)
     first = index.build_index(df.withColumn("cell_id", F.lit(9)), path, "rtree", counts=(1, 2, 2))
-    assert "src_cell_id" in first.stored.columns
+    assert first.stored.columns == ["id", "t", "x", "y", "kind", "cell_id", "index_cell"] and {r["cell_id"] for r in first.range_query(CUBE).collect()} == {9}
     with pytest.raises(FileExistsError):
         index.build_index(df, path)
     second = index.build_index(points(spark, 50, 9), path, "grid", Grid(CUBE, 1, 2, 2), mode="overwrite")
@@ -182,3 +182,62 @@ def test_legacy_catalogue_round_trip(spark, tmp_path):
     assert kind == "grid" and sorted(map(tuple, rows.select(*LOWS, "filename").collect())) == sorted(map(tuple, made.show().select(*LOWS, "path").collect()))
     with pytest.raises(ValueError):
         text.read_master(spark, str(tmp_path / "_master.quad"))
+
+
+def test_index_built_from_itself(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    first = index.build_index(points(spark), path, "rtree", counts=(1, 2, 2))
+    again = index.build_index(first.stored.drop("index_cell"), path, "r+tree", counts=(2, 2, 2), mode="overwrite")
+    assert again.count() == 403 and key(again.range_query(QUERIES[0]).select("id")) == key(range_query(points(spark), QUERIES[0]).select("id"))
+    monkeypatch.setattr(index, "_write_catalog", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.build_index(points(spark, 5), path, mode="overwrite")
+    assert index.read_index(spark, path).count() == 403
+    assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
+    with pytest.raises(ValueError):
+        index.build_index(first.stored, path, mode="overwrite")
+
+
+@pytest.mark.parametrize("kind", ["grid", "rtree", "r+tree"])
+def test_cells_follow_from_the_size(spark, tmp_path, kind):
+    df = spark.range(20_000).selectExpr("id", "id * 7919 % 20011 * 3600D t", "id * 104729 % 20011 * 2D x", "id * 1299709 % 20011 * 0.1D y")
+    made = index.build_index(df, str(tmp_path / "i"), kind, block=30_000)
+    n = [r["n"] for r in made.catalog.collect()]
+    assert sum(n) == 20_000 and len(n) >= 20 and max(n) < 2.5 * 20_000 / len(n)
+    c = made.catalog.agg(*[F.countDistinct(f"c_{a}1").alias(a) for a in "txy"]).first()
+    assert min(c) > 1  # all dimensions are split, whatever their units
+    few = made.range_query(Box(0, 0, 0, 3600 * 500, 40_000, 2001))
+    assert sorted(r["id"] for r in few.collect()) == sorted(r["id"] for r in range_query(df, Box(0, 0, 0, 3600 * 500, 40_000, 2001)).collect())
+
+
+def test_copies_of_a_row_are_split_over_files(spark, tmp_path):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, -1, id) id", "1D t", "if(id % 3 = 0, 2D, id / 300D) x", "1D y", "map('a', id % 2) m")
+    made = index.build_index(df, str(tmp_path / "i"), "rtree", counts=(1, 2, 1), file_rows=100)
+    assert made.count() == 3000 and made.stored.where("id = -1").count() == 1000
+    sizes = [r["count"] for r in made.stored.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 100 and len(sizes) < 90
+
+
+def test_slabs_place_as_their_table_says():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sample = rng.integers(0, 9, (300, 3)).astype(float)
+    for counts in ((1, 1, 1), (3, 2, 4), (2, 5, 1)):
+        slabs = grids.Slabs.fit(sample, counts)
+        low = rng.integers(-1, 10, (500, 3)).astype(float)
+        high = low + rng.integers(0, 5, (500, 3))
+        boxes = {c: (np.array(l), np.array(h)) for c, l, h in table_of(slabs)}
+        assert sorted(boxes) == list(range(1, slabs.size + 1))
+        for p, c in zip(low, slabs.cell_of(low)):
+            assert (boxes[c][0] <= p).all() and (p < boxes[c][1]).all()
+        got = {(r, c) for r, c in zip(*map(np.ndarray.tolist, slabs.cells_of(low, high)))}
+        over = lambda l, h, a, b: all((x < d and c < y) if x < y else c <= x < d for x, y, c, d in zip(l, h, a, b))
+        assert got == {(r, c) for r in range(500) for c, (a, b) in boxes.items() if over(low[r], high[r], a, b)}
+
+
+def table_of(slabs):
+    class Rows:
+        createDataFrame = staticmethod(lambda rows, schema: [(r[0], r[1:4], r[4:7]) for r in rows])
+
+    return slabs.table(Rows)
