@@ -7,6 +7,8 @@ predicate true.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,14 +141,41 @@ def to_text(columns: list[str]) -> Column:
     return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def as_points(df: DataFrame, t: str | Column, x: str | Column, y: str | Column, keep: dict[str, str | Column] | None = None) -> DataFrame:
-    """Points (t, x, y, keep...) of any table; timestamps become epoch seconds."""
+def _stored_bounds(df: DataFrame, c: Column, low: float, high: float) -> Column | None:
+    """A test of a timestamp or whole-number column in its own type that all values between two bounds pass, so that a file
+    scan can use it; it lets at most a unit more pass."""
+    kind = df.select(c.alias("c")).dtypes[0][1]
+    tests = []
+    if kind.startswith("timestamp"):
+        for v, way, unit in ((low, -1, math.floor), (high, 1, math.ceil)):
+            if abs(v) < 2e11:  # microseconds that fit
+                edge = F.timestamp_micros(F.lit(unit(v * 1e6) + 2 * way)).cast(kind)
+                tests.append(c >= edge if way < 0 else c <= edge)
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        most = 2 ** {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 53}[kind]
+        if -most <= low < most:
+            tests.append(c >= F.lit(math.floor(low)).cast(kind))
+        if -most <= high < most:
+            tests.append(c <= F.lit(math.ceil(high) if math.ceil(high) < most else most - 1).cast(kind))
+    return _all(tests)
+
+
+def as_points(df: DataFrame, t: str | Column, x: str | Column, y: str | Column, keep: dict[str, str | Column] | None = None, inside: Box | None = None) -> DataFrame:
+    """Points (t, x, y, keep...) of any table; timestamps become epoch seconds.
+
+    inside: a box of which only points are wanted; timestamps and whole numbers are then also compared in their own type,
+    which a scan of files can use as it can't the tests of converted values. Points a little outside may remain: the range
+    query tests them exactly."""
 
     def number(c: str | Column) -> Column:
         c = F.col(c) if isinstance(c, str) else c
         kind = df.select(c.alias("c")).dtypes[0][1]
         return c.cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else c.cast("double")
 
+    if inside is not None and inside.valid():
+        for c, low, high in zip((t, x, y), inside.low, inside.high):
+            test = _stored_bounds(df, F.col(c) if isinstance(c, str) else c, low, high)
+            df = df if test is None else df.where(test)
     extra = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in (keep or {}).items()]
     return df.select(number(t).alias("t"), number(x).alias("x"), number(y).alias("y"), *extra)
 

@@ -11,7 +11,10 @@ counted; otherwise cells with many rows are split by the adaptive skew join.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -25,8 +28,8 @@ from tesselith.session import cut
 
 #: Boxes that are broadcast, with their cells on all levels (some 200 bytes for each of about 8 a level).
 FEW_BOXES = 10_000
-#: Levels at most, below and above the first: doubles end there.
-MAX_LEVEL = 2100
+#: Groups of boxes by the powers of two of their extents; levels at most, below and above the first: doubles end there.
+GROUPS, MAX_LEVEL = 40_000, 2100
 
 
 def _known(names: list[str]) -> Column:
@@ -40,60 +43,63 @@ def _extent(a: str) -> Column:
     return F.col(f"{a}2") - F.col(f"{a}1")
 
 
-def _frame(widths: tuple[float, float, float] | None, *sides: DataFrame) -> tuple[tuple[float, float, float], int]:
-    """Widths of the cells of level 0 and the lowest level; one aggregation per side.
-
-    The widths are by default twice the median extent, of those above 0, of the boxes in each dimension, 1 where there is
-    none; as levels go down and up from there, only the proportions of the dimensions depend on them. On the lowest level
-    the numbers of cells are still exact."""
-    found: list[list[float]] = [[], [], []]
-    far = [0.0, 0.0, 0.0]
-    for df in sides:
-        some = [F.percentile_approx(F.when(_extent(a) > 0, _extent(a)), 0.5, 1000).alias(f"{a}e") for a in AXES]
-        r = df.agg(*some, *[F.max(F.greatest(F.abs(f"{a}1"), F.abs(f"{a}2"))).alias(f"{a}m") for a in AXES]).first()
+def _power(a: str, step: int) -> Column:
+    """The least multiple e of step for which 2 ** e is not below the extent; null without extent."""
+    return F.when(_extent(a) > 0, F.ceil(F.ceil(F.log2(_extent(a))) / step) * step).cast("int")
+
+
+@dataclass
+class _Levels:
+    """What one aggregation per side tells: widths of level 0 as powers of two, the step of levels, the lowest one, and per
+    side the levels in use and whether it has few boxes."""
+
+    powers: list[int]
+    step: int
+    low: int
+    used: list[list[int]]
+    few: list[bool]
+
+    @classmethod
+    def of(cls, widths: tuple[float, float, float] | None, *sides: DataFrame) -> _Levels:
+        """By default level 0 is as wide as the median extent, of those above 0, in each dimension; as levels go down and up
+        from there, only the proportions of the dimensions depend on it. On the lowest level the numbers of cells are still
+        exact. Extents are grouped by powers of 2 ** step, which is more than 1 only if there are too many groups."""
+        for step in (1, 8, 64):
+            found = [df.groupBy(*[_power(a, step).alias(a) for a in AXES]).agg(F.count(F.lit(1)).alias("n"), *[F.max(F.greatest(F.abs(f"{a}1"), F.abs(f"{a}2"))).alias(f"m{a}") for a in AXES]).limit(GROUPS + 1).collect() for df in sides]
+            if all(len(f) <= GROUPS for f in found):
+                break
+        powers = []
         for i, a in enumerate(AXES):
-            found[i] += [r[f"{a}e"]] if r[f"{a}e"] is not None else []
-            far[i] = max(far[i], r[f"{a}m"] or 0.0)
-    w = widths or tuple(2 * min(f) if f else 1.0 for f in found)
-    return w, max(math.ceil(math.log2(f) - math.log2(v)) - 50 if f > 0 else -MAX_LEVEL for f, v in zip(far, w))
-
-
-def _level(widths: tuple[float, float, float]) -> Column:
-    """The level of a box; one without extent is on the lowest there is."""
-    most = F.greatest(*[_extent(a) / F.lit(w) for a, w in zip(AXES, widths)])
-    return F.when(most > 0, F.ceil(F.log2(most))).otherwise(F.lit(-MAX_LEVEL)).cast("int")
-
-
-def _cells(level: Column, widths: tuple[float, float, float], low: str, high: str) -> list[Column]:
-    wide = [F.lit(w) * F.pow(F.lit(2.0), level) for w in widths]
-    return [F.sequence(F.floor(F.col(f"{a}{low}") / w), F.floor(F.col(f"{a}{high}") / w)) for a, w in zip(AXES, wide)]
-
-
-def _listed(df: DataFrame, prefix: str, levels: list[int], widths: tuple[float, float, float], home: bool, low: int) -> DataFrame:
-    """Rows of boxes once for each of their cells on their own level (home) or on the higher ones of levels; columns get the prefix.
-
-    low: the level that boxes without extent, or below it, are put on."""
-    used = F.array(*[F.lit(v) for v in levels]).cast("array<int>")
-    rows = df.withColumn("__own", F.greatest(_level(widths), F.lit(low)))
-    on = F.array("__own") if home else F.filter(used, lambda l: l > F.col("__own"))
-    rows = rows.withColumn("__level", F.explode(on))
-    t, x, y = _cells(F.col("__level"), widths, "1", "2")
-    rows = rows.withColumn("__ct", F.explode(t)).withColumn("__cx", F.explode(x)).withColumn("__cy", F.explode(y))
-    return rows.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns], "__level", "__ct", "__cx", "__cy")
-
-
-def _levels(df: DataFrame, widths: tuple[float, float, float]) -> list[int]:
-    """Levels that occur: at most 2 * MAX_LEVEL values."""
-    return sorted(r[0] for r in df.select(_level(widths).alias("l")).distinct().limit(2 * MAX_LEVEL + 1).collect())
-
-
-def _lowest(least: int, *levels: list[int]) -> int:
-    """The lowest level of boxes with extent, least or above; those without are put there, too."""
-    return max(least, min([l for ls in levels for l in ls if l > -MAX_LEVEL], default=0))
-
-
-def _few(df: DataFrame, bound: int = FEW_BOXES) -> bool:
-    return df.limit(bound + 1).count() <= bound
+            sizes = Counter()
+            for f in found:
+                sizes.update({r[a]: 0 for r in f if r[a] is not None})
+                for r in f:
+                    if r[a] is not None:
+                        sizes[r[a]] += r["n"]
+            half, up = sum(sizes.values()) / 2, accumulate(n for _, n in sorted(sizes.items()))
+            middle = next((e for e, n in zip(sorted(sizes), up) if n >= half), 0)
+            powers.append(middle if widths is None else round(math.log2(widths[i])))
+        far = [max((r[f"m{a}"] for f in found for r in f), default=0.0) for a in AXES]
+        least = max(math.ceil(math.log2(f)) - 50 - p if f > 0 else -MAX_LEVEL for f, p in zip(far, powers))
+        own = [[max((r[a] - p for a, p in zip(AXES, powers) if r[a] is not None), default=None) for r in f] for f in found]
+        low = max(least, min([l for ls in own for l in ls if l is not None], default=0))
+        return cls(powers, step, low, [sorted({max(low, low if l is None else l) for l in ls}) for ls in own], [sum(r["n"] for r in f) <= FEW_BOXES for f in found])
+
+    def level(self) -> Column:
+        """The level of a box; one without extent is on the lowest."""
+        return F.greatest(F.lit(self.low), *[_power(a, self.step) - p for a, p in zip(AXES, self.powers)]).cast("int")
+
+    def widths(self, level: Column) -> list[Column]:
+        return [F.pow(F.lit(2.0), level + p) for p in self.powers]
+
+    def listed(self, df: DataFrame, prefix: str, home: bool, others: list[int] = ()) -> DataFrame:
+        """Rows of boxes once for each of their cells on their own level (home) and on the higher ones of others; columns get the prefix."""
+        rows = df.withColumn("__own", self.level())
+        higher = F.filter(F.array(*[F.lit(v) for v in others]).cast("array<int>"), lambda l: l > F.col("__own"))
+        rows = rows.withColumn("__level", F.explode(F.concat(F.array("__own"), higher) if home else higher))
+        for a, w in zip(AXES, self.widths(F.col("__level"))):
+            rows = rows.withColumn(f"__c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}1") / w), F.floor(F.col(f"{a}2") / w))))
+        return rows.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns], *_MEET)
 
 
 _MEET = ["__level", "__ct", "__cx", "__cy"]
@@ -111,24 +117,22 @@ def intersects_join(a: DataFrame, b: DataFrame, widths: tuple[float, float, floa
     for n in AXES:
         upright &= F.col(f"{n}1") <= F.col(f"{n}2")
     a, b = a.where(_known(names) & upright), b.where(_known(names) & upright)
-    w, least = _frame(widths, a, b)
-    la, lb = _levels(a, w), _levels(b, w)
-    low = _lowest(least, la, lb)
-    la, lb = (sorted({max(l, low) for l in ls}) for ls in (la, lb))
-    few_a, few_b = _few(a), _few(b)
-    size = F.pow(F.lit(2.0), F.col("__level"))
-    once_ = F.lit(True)
-    for n, c, v in zip(AXES, ("__ct", "__cx", "__cy"), w):
-        once_ &= F.floor(F.greatest(F.col(f"a_{n}1"), F.col(f"b_{n}1")) / (F.lit(v) * size)) == F.col(c)
-    parts = []
-    # Both are at home on one level, or a is and b comes from a lower one, or the reverse: one side is at home in every pair.
-    for home_a, home_b in ((True, True), (True, False), (False, True)):
-        left = _listed(a, "a_", lb, w, home_a, low)
-        right = _listed(b, "b_", la, w, home_b, low)
-        left, right = (F.broadcast(d) if few else d for d, few in ((left, few_a and not few_b), (right, few_b)))
-        met = left.join(right, _MEET).where(once_ & G.intersects("a_", "b_"))
-        parts.append(met.select(*[F.col(f"`a_{c}`") for c in a.columns], *[F.col(f"`b_{c}`") for c in b.columns]))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    levels = _Levels.of(widths, a, b)
+    (used_a, used_b), (few_a, few_b) = levels.used, levels.few
+    first = F.lit(True)
+    for n, w in zip(AXES, levels.widths(F.col("__level"))):
+        first &= F.floor(F.greatest(F.col(f"a_{n}1"), F.col(f"b_{n}1")) / w) == F.col(f"__c{n}")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        left, right = (F.broadcast(left) if few_a and not few_b else left), (F.broadcast(right) if few_b else right)
+        pairs = left.join(right, _MEET).where(first & G.intersects("a_", "b_"))
+        return pairs.select(*[F.col(f"`a_{c}`") for c in a.columns], *[F.col(f"`b_{c}`") for c in b.columns])
+
+    # On the level where they meet, a is at home, or a comes from a lower one and b is at home.
+    both = met(levels.listed(a, "a_", True), levels.listed(b, "b_", True, used_a))
+    if not any(l > used_a[0] for l in used_b) if used_a else True:
+        return both
+    return both.unionByName(met(levels.listed(a, "a_", False, used_b), levels.listed(b, "b_", True)))
 
 
 def point_in_box_join(points: DataFrame, boxes: DataFrame, boundary: Boundary | str = Boundary.HALF_OPEN, widths: tuple[float, float, float] | None = None) -> DataFrame:
@@ -137,16 +141,12 @@ def point_in_box_join(points: DataFrame, boxes: DataFrame, boundary: Boundary |
     Points and boxes with null, NaN or infinite coordinates are in no pair; repeated rows give repeated pairs."""
     points = points.where(_known(list(AXES)))
     boxes = boxes.where(_known([f"{n}{i}" for i in "12" for n in AXES]) & (F.col("t1") <= F.col("t2")) & (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
-    w, least = _frame(widths, boxes)
-    levels = _levels(boxes, w)
-    low = _lowest(least, levels)
-    levels = sorted({max(l, low) for l in levels})
-    right = _listed(boxes, "b_", [], w, True, low)
-    if _few(boxes):
+    levels = _Levels.of(widths, boxes)
+    right = levels.listed(boxes, "b_", True)
+    if levels.few[0]:
         right = F.broadcast(right)
-    left = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
-    size = F.pow(F.lit(2.0), F.col("__level"))
-    cells = [F.floor(F.col(n) / (F.lit(v) * size)).alias(c) for n, v, c in zip(AXES, w, ("__ct", "__cx", "__cy"))]
+    left = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels.used[0]]).cast("array<int>")))
+    cells = [F.floor(F.col(n) / w).alias(f"__c{n}") for n, w in zip(AXES, levels.widths(F.col("__level")))]
     left = left.select(*[F.col(f"`{c}`").alias(f"p_{c}") for c in points.columns], "__level", *cells)
     met = left.join(right, _MEET).where(G.within("b_", boundary, "p_"))
     return met.select(*[F.col(f"`p_{c}`") for c in points.columns], *[F.col(f"`b_{c}`") for c in boxes.columns])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from tesselith.model import Box
 from tesselith.operators import generate, join, range_query, raster, sample, stats
 from tesselith.operators import grid as grids
 from tesselith.operators.grid import Grid
-from tesselith.session import shared_dir
+from tesselith.session import cut, shared_dir
 from tesselith.sources import index, text
 from tesselith.sources.tables import table
 
@@ -39,8 +42,8 @@ def query(sql: str | None = None):
     return add
 
 
-def events(spark: SparkSession, base: str) -> DataFrame:
-    return G.as_points(table(spark, base, "events"), "ts", "user_id", "value", {"id": "event_id", "event_type": "event_type", "value": "value"})
+def events(spark: SparkSession, base: str, inside: Box | None = None) -> DataFrame:
+    return G.as_points(table(spark, base, "events"), "ts", "user_id", "value", {"id": "event_id", "event_type": "event_type", "value": "value"}, inside)
 
 
 def prisms(spark: SparkSession, base: str) -> DataFrame:
@@ -61,47 +64,47 @@ _LIT = lambda b: f"(select {', '.join(f'{v!r}::double {n}' for n, v in zip(_B, b
 
 @query(f"select id, t, x, y from {D} where {_OPEN(QUERY)}")
 def range_get(spark, base):
-    return range_query.range_query(events(spark, base), QUERY).select("id", "t", "x", "y")
+    return range_query.range_query(events(spark, base, QUERY), QUERY).select("id", "t", "x", "y")
 
 
 @query(f"select id, t, x, y from {D} where {' and '.join(f'{a} >= {l!r} and {a} < {h!r}' for a, l, h in zip('txy', QUERY.low, QUERY.high))}")
 def range_get_half_open(spark, base):
-    return range_query.range_query(events(spark, base), QUERY, boundary="half_open").select("id", "t", "x", "y")
+    return range_query.range_query(events(spark, base, QUERY), QUERY, boundary="half_open").select("id", "t", "x", "y")
 
 
 @query(f"select id, t, x, y from {D} where {' and '.join(f'{a} between {l!r} and {h!r}' for a, l, h in zip('txy', QUERY.low, QUERY.high))}")
 def range_get_closed(spark, base):
-    return range_query.range_query(events(spark, base), QUERY, boundary="closed").select("id", "t", "x", "y")
+    return range_query.range_query(events(spark, base, QUERY), QUERY, boundary="closed").select("id", "t", "x", "y")
 
 
 @query(f"select distinct event_type from {D} where {_OPEN(QUERY)}")
 def range_distinct(spark, base):
-    return range_query.range_query(events(spark, base), QUERY, "distinct", "event_type")
+    return range_query.range_query(events(spark, base, QUERY), QUERY, "distinct", "event_type")
 
 
 @query(f"select event_type, count(*) cnt from {D} where {_OPEN(QUERY)} group by 1")
 def range_distribution(spark, base):
-    return range_query.range_query(events(spark, base), QUERY, "distribution", "event_type")
+    return range_query.range_query(events(spark, base, QUERY), QUERY, "distribution", "event_type")
 
 
 @query(f"select round(avg(value), 6) average from {D} where {_OPEN(QUERY)}")
 def range_average(spark, base):
-    return range_query.range_query(events(spark, base), QUERY, "average", "value").select(F.round("average", 6).alias("average"))
+    return range_query.range_query(events(spark, base, QUERY), QUERY, "average", "value").select(F.round("average", 6).alias("average"))
 
 
 @query(f"select count(*) cnt from {D} where {_OPEN(QUERY)}")
 def range_count(spark, base):
-    return range_query.range_query(events(spark, base), QUERY, "count")
+    return range_query.range_query(events(spark, base, QUERY), QUERY, "count")
 
 
 @query(" union all ".join(f"select {i} range_id, count(*) cnt from {D} where {_OPEN(b)}" for i, b in enumerate((QUERY, SECOND))))
 def range_count_multi(spark, base):
-    return range_query.range_query_many(events(spark, base), [QUERY, SECOND], "count")
+    return range_query.range_query_many(events(spark, base, QUERY.union(SECOND)), [QUERY, SECOND], "count")
 
 
 @query(" union all ".join(f"select {i} range_id, event_type, count(*) cnt from {D} where {_OPEN(b)} group by 1, 2" for i, b in enumerate((QUERY, SECOND))))
 def range_distribution_multi(spark, base):
-    return range_query.range_query_many(events(spark, base), [QUERY, SECOND], "distribution", "event_type")
+    return range_query.range_query_many(events(spark, base, QUERY.union(SECOND)), [QUERY, SECOND], "distribution", "event_type")
 
 
 @query(f"select data_value, count(*) cnt from datapoints where {_OPEN(PART)} group by 1")
@@ -122,7 +125,7 @@ def range_boxes(spark, base):
 @query(f"select id, t, x, y from {D} where {_OPEN(QUERY)}")
 def range_sql(spark, base):
     G.register(spark)
-    events(spark, base).createOrReplaceTempView("tl_points")
+    events(spark, base, QUERY).createOrReplaceTempView("tl_points")
     test = " and ".join(f"in_open({a}, {l!r}D, {h!r}D)" for a, l, h in zip("txy", QUERY.low, QUERY.high))
     return spark.sql(f"select id, t, x, y from tl_points where {test}")
 
@@ -152,7 +155,7 @@ def record_count(spark, base):
 
 @query(f"select count(*) cnt from {D} where {_OPEN(QUERY)}")
 def record_count_in_box(spark, base):
-    return stats.record_count(events(spark, base), QUERY)
+    return stats.record_count(events(spark, base, QUERY), QUERY)
 
 
 @query()
@@ -161,6 +164,29 @@ def approx_count(spark, base):
     return spark.createDataFrame([found], "cnt bigint, low bigint, high bigint")
 
 
+@query("select count(*)::bigint cnt, true as within_interval, true as within_error from lineitem")
+def approx_count_ok(spark, base):
+    """The estimate's own claims: the true count lies in the interval, which is narrower than 1 % of it."""
+    value, low, high = stats.approx_count_range(table(spark, base, "lineitem").repartition(200), seconds=0)
+    cnt = table(spark, base, "lineitem").count()
+    return spark.createDataFrame([(cnt, low <= cnt <= high, abs(value - cnt) <= 0.01 * cnt)], "cnt bigint, within_interval boolean, within_error boolean")
+
+
+@query("""select 'gzip' kind, count(*)::bigint n_lines, true as within_error from lineitem
+union all select 'unlike', (select count(*) from lineitem) + (select count(*) from orders), true""")
+def approx_lines_ok(spark, base):
+    """Text files of very different lines, and compressed ones: the true number of lines, and whether the estimate is within 1 %."""
+    short = table(spark, base, "orders").select(F.col("o_orderkey").cast("string").alias("value"))
+    lines = table(spark, base, "lineitem").select(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_shipdate").cast("string"), F.repeat(F.col("l_returnflag"), 90)).alias("value"))
+    out = []
+    for kind, parts, codec in (("unlike", [lines.coalesce(1), short.coalesce(1)], "none"), ("gzip", [lines.repartition(12)], "gzip")):
+        path = f"{shared_dir(spark)}/lines-{kind}-{uuid.uuid4().hex}"
+        reduce(DataFrame.unionByName, parts).write.text(path, compression=codec)
+        exact = stats.line_count(spark, path).first()[0]
+        out.append((kind, exact, abs(stats.approx_line_count(spark, path)[0] - exact) <= 0.01 * exact))
+    return spark.createDataFrame(out, "kind string, n_lines bigint, within_error boolean")
+
+
 # --- geometry of boxes ---
 
 _ZP = f"(select z.zone_id a_id, {', '.join(f'z.{n} a_{n}' for n in _B)}, {', '.join(f'q.{n} b_{n}' for n in _B)} from zones z, {_LIT(SPACE)} q where {_SOUND('z.', _B)} and {' and '.join(f'z.{n} is not null' for n in _B)})"
@@ -243,13 +269,8 @@ def grid_catalog(spark, base):
 
 
 def _index(spark, df, base, name, **kw):
-    import hashlib
-    import os
-    import time
-
     # A folder of its own for every call, so that runs don't meet.
-    tag = hashlib.sha1(f"{base}{name}{os.getpid()}{time.time_ns()}".encode()).hexdigest()[:16]
-    return index.build_index(df, f"{shared_dir(spark)}/index-{name}-{tag}", **kw)
+    return index.build_index(df, f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}", **kw)
 
 
 _RANGE = f"select id, t, x, y from {D} where {_OPEN(QUERY)}"
@@ -262,7 +283,21 @@ def range_indexed_grid(spark, base):
 
 @query(_RANGE)
 def range_indexed_rtree(spark, base):
-    return _index(spark, events(spark, base), base, "rtree", kind="rtree", counts=(2, 3, 3)).range_query(QUERY).select("id", "t", "x", "y")
+    return _index(spark, events(spark, base), base, "rtree", kind="rtree", block=128 << 10).range_query(QUERY).select("id", "t", "x", "y")
+
+
+@query(f"select kind, (select count(*) from datapoints where {_P3})::bigint n, true as even, true as enough from (values ('grid'), ('rtree')) k(kind)")
+def index_cells_even(spark, base):
+    """Of indexes with as many cells as blocks: rows, whether the largest cell of a tree is within twice the mean (a grid
+    promises no such thing), and whether there are as many cells as blocks of the data."""
+    rows = table(spark, base, "datapoints").select("t", "x", "y", "id", "data_value")
+    out = []
+    for kind in ("grid", "rtree"):
+        made = _index(spark, rows, base, f"even-{kind}", kind=kind, block=256 << 10)
+        n = [r["n"] for r in made.catalog.select("n").collect()]  # a row a cell
+        blocks = sum(n) * 40 // (256 << 10)
+        out.append((kind, sum(n), kind == "grid" or max(n) <= 2 * sum(n) / len(n), kind == "grid" or len(n) >= blocks))
+    return spark.createDataFrame(out, "kind string, n bigint, even boolean, enough boolean")
 
 
 _BOXES = f"select p.box_id, p.t1, p.x1, p.y1, p.t2, p.x2, p.y2 from prisms p, {_LIT(PART)} q where {_LAP('p.', 'q.')} and {_SOUND('p.', _B)} and p.t1 <= p.t2 and p.x1 <= p.x2 and p.y1 <= p.y2"
@@ -292,9 +327,19 @@ def index_mbr_count(spark, base):
     return spark.createDataFrame([(*b.low, *b.high, made.count())], ", ".join(f"{n} double" for n in _B) + ", n bigint")
 
 
-@query()
+@query(f"select 64::bigint n_cells, (select count(*) from datapoints where {_P3})::bigint n_rows, 0::bigint n_uneven")
 def str_cells(spark, base):
-    return grids.str_cells(table(spark, base, "datapoints"), (4, 4, 4))
+    """Of 64 cells of equal numbers: how many there are, the rows that lie in them, each in one, and cells beyond twice the mean."""
+    points = table(spark, base, "datapoints").select("id", "t", "x", "y")
+    cells = grids.str_cells(points, (4, 4, 4))
+    held = join.point_in_box_join(points, _bounded(cells)).groupBy("b_cell_id").agg(F.count(F.lit(1)).alias("n"))
+    total = held.agg(F.sum("n")).first()[0]
+    return held.agg(F.lit(cells.count()).alias("n_cells"), F.sum("n").alias("n_rows"), F.count_if(F.col("n") > total / 32).alias("n_uneven"))
+
+
+def _bounded(cells: DataFrame) -> DataFrame:
+    """Cells whose outer faces are beyond all data instead of infinite."""
+    return cells.select("cell_id", *[F.greatest(F.col(c), F.lit(-1e12)).alias(c) for c in _B[:3]], *[F.least(F.col(c), F.lit(1e12)).alias(c) for c in _B[3:]])
 
 
 @query(f"""with g as (select p.*, {', '.join(f"{_IDX(COARSE, i, f'{a}1')} f{a}, case when {COARSE.counts[i]} = 1 then 0 else cast(greatest({_IDX(COARSE, i, f'{a}1')}, least({COARSE.counts[i] - 1}, ceil(({a}2 - {COARSE.box.low[i]!r}) / {COARSE.widths[i]!r}) - 1)) as bigint) end l{a}" for i, a in enumerate('txy'))} from prisms p where {_Z}),
@@ -374,9 +419,12 @@ def knn_join(spark, base):
     return got.withColumn("dist", F.round("dist", 6))
 
 
-@query()
+@query(f"""with p as (select distinct id, t, x, y from datapoints where {_P3} and id is not null),
+n as (select l.id left_id, min({{'d': sqrt((l.t - r.t) * (l.t - r.t) + (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)), 'i': r.id}}, 5) m from p l, p r where l.id % 20 = 0 group by l.id, l.t, l.x, l.y),
+u as (select left_id, unnest(m) s from n)
+select left_id, s.i right_id, round(s.d, 6) dist, cast(row_number() over (partition by left_id order by s.d, s.i) as integer) as rank from u""")
 def knn_join_datapoints(spark, base):
-    """Every datapoint whose id is divisible by 20 against all datapoints, itself included; too many pairs for SQL."""
+    """Every datapoint whose id is divisible by 20 against all datapoints, itself included."""
     points = table(spark, base, "datapoints").select("id", "t", "x", "y")
     got = join.knn_join(points.where("id % 20 = 0"), points, 5)
     return got.withColumn("dist", F.round("dist", 6))
@@ -420,6 +468,56 @@ def shuffle_rows(spark, base):
     return sample.shuffle_rows(events(spark, base).select("id", "event_type"), 7)
 
 
+@query("select 500::bigint n, 500::bigint n_ids, 0::bigint n_foreign from (select count(*) c from events) where c >= 500")
+def sample_count_ok(spark, base):
+    """Rows of a sample of 500, different ones, and such as the table doesn't hold."""
+    own = events(spark, base)
+    drawn = cut(sample.sample_count(own, 500, 7, ["id"]))
+    foreign = drawn.join(own, ["id", "t", "x", "y"], "left_anti").count()
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.lit(foreign).cast("bigint").alias("n_foreign"))
+
+
+@query("select true as within_share, 0::bigint n_repeated, true as within_bytes, true as nearly_full")
+def sample_shares_ok(spark, base):
+    """A share of a tenth within five deviations and without repeats; a sample by bytes within its size, and near it."""
+    own = events(spark, base)
+    n = own.count()
+    part = cut(sample.sample_ratio(own, 0.1, 7))
+    got, ids = part.agg(F.count(F.lit(1)), F.countDistinct("id")).first()
+    line = F.octet_length(F.concat_ws(",", *[F.col(c).cast("string") for c in "txy"])) + 1
+    used, most = sample.sample_bytes(own.select("t", "x", "y"), 20_000, 7).agg(F.sum(line), F.max(line)).first()
+    return spark.createDataFrame([(abs(got - 0.1 * n) <= 5 * (0.09 * n) ** 0.5, got - ids, used <= 20_000, used > 20_000 - most)], "within_share boolean, n_repeated bigint, within_bytes boolean, nearly_full boolean")
+
+
+@query("select kind, 10000::bigint n, 0::bigint n_outside, true as as_shaped from (values ('anti_correlated'), ('box'), ('circle'), ('correlated'), ('gaussian'), ('uniform')) k(kind)")
+def generate_ok(spark, base):
+    """Of 10,000 records of each distribution: how many there are, how many lie outside the box, and whether middle, spread
+    and correlation of x and y (of boxes the extents) are those of the distribution."""
+    half = [(h - l) / 2 for l, h in zip(AREA.low, AREA.high)]
+    out = []
+    for kind in ("uniform", "gaussian", "correlated", "anti_correlated", "circle"):
+        rows = generate.generate(spark, 10_000, AREA, kind, seed=1)
+        u, v = ((F.col(a) - F.lit((l + h) / 2)) / F.lit(w) for a, l, h, w in zip("xy", AREA.low[1:], AREA.high[1:], half[1:]))
+        r = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~G.within(AREA, "closed")).alias("out"), F.avg(u).alias("mean"), F.stddev(u).alias("sd"), F.corr("x", "y").alias("corr"), F.avg(F.sqrt(u * u + v * v)).alias("r")).first()
+        # Of a uniform value over two half extents the deviation is 1 / sqrt(3).
+        shaped = abs(r["mean"]) < 0.05 and {
+            "uniform": abs(r["sd"] - 3**-0.5) < 0.02 and abs(r["corr"]) < 0.05,
+            "gaussian": abs(r["sd"] - generate.SIGMA) < 0.01 and abs(r["corr"]) < 0.05,
+            "correlated": abs(r["sd"] - 3**-0.5) < 0.02 and r["corr"] > 0.9,
+            "anti_correlated": abs(r["sd"] - 3**-0.5) < 0.02 and r["corr"] < -0.9,
+            "circle": abs(r["r"] - generate.RADIUS) < 0.01 and abs(r["corr"]) < 0.05,
+        }[kind]
+        out.append((kind, r["n"], r["out"], shaped))
+    boxes = generate.generate(spark, 10_000, AREA, shape="box", seed=1)
+    ends = [F.col(f"{a}2") - F.col(f"{a}1") for a in "txy"]
+    outside = F.lit(False)
+    for a, l, h in zip("txy", AREA.low, AREA.high):
+        outside |= (F.col(f"{a}1") < F.lit(l)) | (F.col(f"{a}2") > F.lit(h))
+    r = boxes.agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("out"), F.min(F.least(*ends)).alias("low"), F.max(F.greatest(*ends)).alias("high")).first()
+    out.append(("box", r["n"], r["out"], r["low"] >= 0 and r["high"] <= 101 + 1e-6))  # rounding of epoch seconds
+    return spark.createDataFrame(out, "kind string, n bigint, n_outside bigint, as_shaped boolean")
+
+
 @query()
 def generate_uniform(spark, base):
     return generate.generate(spark, 10_000, AREA, "uniform", "datapoint", 1)
