@@ -1,22 +1,25 @@
 """Command line: python -m tesselith.cli VERB [path...] [key:value...] [-flag...].
 
-Verbs: rangequery, count, index, mbr, readfile, sample, generate, plot, and knn, join, tail, shuffle.
+Verbs: rangequery, count, index, mbr, readfile, sample, generate, plot, and knn, join, tail, shuffle. Everything runs as
+Spark plans it, on a cluster or not, and indexes are Parquet, so -local and columnar: are accepted and change nothing.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselith.model import Box
+from tesselith.model import Box, Kind
 from tesselith.operators import generate, join, range_query, raster, sample, stats
 from tesselith.operators.grid import Grid, num_partitions
 from tesselith.session import build_session
 from tesselith.sources import index, text
+from tesselith.sources.files import exists, files_of, write_bytes
 
 _UNITS = {"k": 10, "m": 20, "g": 30, "t": 40}
 
@@ -76,34 +79,50 @@ def _shapes(spark: SparkSession, a: Arguments, path: str | None = None) -> DataF
     return text.read_shapes(spark, path, a.get("shape"))
 
 
-def _put(df: DataFrame, a: Arguments, at: int = 1) -> None:
+def _put(df: DataFrame, a: Arguments, at: int = 1) -> int | None:
+    """Writes rows to the path given, or prints all of them (the first show: of them, and says so); how many were printed."""
     if len(a.paths) > at:
         text.write_shapes(df, a.paths[at], a.mode)
-    else:
-        for r in df.limit(a.get("show", 1000, int)).toLocalIterator():
-            print(",".join("" if v is None else str(v) for v in r))
+        return None
+    show, n = a.get("show", None, int), 0
+    for r in (df if show is None else df.limit(show + 1)).toLocalIterator():
+        if n == show:
+            print(f"... only the first {show} are shown", file=sys.stderr)
+            break
+        print(",".join("" if v is None else str(v) for v in r))
+        n += 1
+    return n
 
 
 def rangequery(spark: SparkSession, a: Arguments) -> None:
-    kind, name = a.get("query", "get"), a.get("field")
-    boundary = a.get("boundary", "open")
-    for number, box in enumerate(a.boxes):
-        if index.is_index(spark, a.paths[0]):
-            found = index.read_index(spark, a.paths[0])
-            result, rows = found.range_query(box, kind, name, boundary), found.range_query(box, "count", boundary=boundary)
-        else:
-            df = _shapes(spark, a)
-            result, rows = range_query.range_query(df, box, kind, name, boundary), range_query.range_query(df, box, "count", boundary=boundary)
+    """Boxes run side by side, concurrency: of them at once; the rows of each are counted as they pass."""
+    kind, name, boundary = Kind(a.get("query", "get")), a.get("field"), a.get("boundary", "open")
+    indexed = index.read_index(spark, a.paths[0]) if index.is_index(spark, a.paths[0]) else None
+    df = None if indexed else _shapes(spark, a)
+
+    def ask(number: int) -> int:
+        box = a.boxes[number]
+        rows = indexed.range_query(box, boundary=boundary) if indexed else range_query.range_query(df, box, boundary=boundary)
         if len(a.paths) > 1:
-            text.write_shapes(result, a.paths[1] if len(a.boxes) == 1 else f"{a.paths[1]}/range_{number}", a.mode)
-        else:
-            _put(result, a)
-        print(f"Result size: {rows.first()[0]}")
+            rows, seen = stats.with_counters(rows, f"range_{number}")
+            text.write_shapes(range_query.result_of(rows, kind, name), a.paths[1] if len(a.boxes) == 1 else f"{a.paths[1]}/range_{number}", a.mode)
+            return seen.get["n_rows"]
+        printed = _put(range_query.result_of(rows, kind, name), a)
+        return printed if kind is Kind.GET and "show" not in a.values else rows.count()
+
+    if len(a.paths) > 1:
+        with ThreadPoolExecutor(max(1, min(len(a.boxes), a.get("concurrency", len(a.boxes), int)))) as pool:
+            sizes = [*pool.map(ask, range(len(a.boxes)))]
+        for n in sizes:
+            print(f"Result size: {n}")
+    else:
+        for number in range(len(a.boxes)):
+            print(f"Result size: {ask(number)}")
 
 
 def count(spark: SparkSession, a: Arguments) -> None:
     if "random" in a.flags:
-        print(round(stats.approx_line_count(spark, a.paths[0], seed=a.seed())))
+        print(stats.approx_line_count(spark, a.paths[0], seed=a.seed())[0])
     elif a.box:
         print(stats.record_count(_shapes(spark, a), a.box, a.get("boundary", "open")).first()[0])
     elif index.is_index(spark, a.paths[0]):
@@ -124,19 +143,29 @@ def build(spark: SparkSession, a: Arguments) -> None:
         n = [int(v) for v in a.values["grid"].split(",")]
         grid = Grid(a.box or stats.mbr_box(df), *n)
     elif "blocksize" in a.values:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a.paths[0])
-        size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-        grid = Grid.fit(a.box or stats.mbr_box(df), num_partitions(size, parse_size(a.values["blocksize"]), a.get("overhead", 0.2, float)))
+        size = sum(f[1] for f in files_of(spark, a.paths[0]))
+        box = a.box or stats.mbr_box(df)
+        grid = Grid.fit(box, num_partitions(size, parse_size(a.values["blocksize"]), a.get("overhead", 0.2, float)), tuple(1 / e if e > 0 else 0.0 for e in box.extents))
     counts = grid.counts if grid is not None else None
     made = index.build_index(df, a.paths[1], kind, grid if kind == "grid" else None, cells if kind != "grid" else None, counts, a.mode)
     print(f"{made.catalog.count()} partitions, {made.count()} records")
 
 
 def mbr(spark: SparkSession, a: Arguments) -> None:
-    print(index.read_index(spark, a.paths[0]).mbr() if index.is_index(spark, a.paths[0]) else stats.mbr_box(_shapes(spark, a)))
+    """The bounding box; with -remember it is kept in the folder, which is otherwise not touched, for the next time."""
+    if index.is_index(spark, a.paths[0]):
+        print(index.read_index(spark, a.paths[0]).mbr())
+        return
+    box = index.known_mbr(spark, a.paths[0])
+    if box is None:
+        box = stats.mbr_box(_shapes(spark, a))
+        if box is not None and "remember" in a.flags:
+            index.write_mbr(spark, a.paths[0], box)
+    print(box)
 
 
 def readfile(spark: SparkSession, a: Arguments) -> None:
+    """The partitions of an index with their rows and bytes, or the files of a heap with their bytes and blocks."""
     if index.is_index(spark, a.paths[0]):
         found = index.read_index(spark, a.paths[0])
         print(found.kind)
@@ -146,7 +175,10 @@ def readfile(spark: SparkSession, a: Arguments) -> None:
         for r in rows.toLocalIterator():
             print(*r, sep=",")
     else:
-        print(f"heap, {len(_shapes(spark, a).inputFiles())} files")
+        files = files_of(spark, a.paths[0])
+        print(f"heap, {len(files)} files, {sum(f[1] for f in files)} bytes, {sum(f[2] for f in files)} blocks")
+        for name, size, blocks, _ in files:
+            print(name, size, blocks, sep=",")
 
 
 def take_sample(spark: SparkSession, a: Arguments) -> None:
@@ -194,17 +226,19 @@ def make(spark: SparkSession, a: Arguments) -> None:
 
 
 def plot(spark: SparkSession, a: Arguments) -> None:
-    df, view = _shapes(spark, a), a.box
-    width, height = a.get("width", 1000, int), a.get("height", 1000, int)
-    view = view or stats.mbr_box(df)
-    if view is None:
-        raise ValueError("nothing to draw")
-    width, height = raster.fit_size(view, width, height)
-    image = raster.draw(raster.pixels(df, width, height, view), width, height, a.get("color", "black"), shade="shade" in a.flags)
-    if "borders" in a.flags and index.is_index(spark, a.paths[0]):
-        image = raster.draw_borders(image, view, [Box(*r) for r in index.read_index(spark, a.paths[0]).catalog.select("t1", "x1", "y1", "t2", "x2", "y2").collect()])
-    with open(a.paths[1], "xb" if a.mode == "errorifexists" else "wb") as out:
-        out.write(raster.png(image))
+    """All but the last path are drawn on one view, each in its colour (color: names that of the first), into the last."""
+    if a.mode == "errorifexists" and exists(spark, a.paths[-1]):
+        raise FileExistsError(a.paths[-1])
+    tables = [_shapes(spark, a, p) for p in a.paths[:-1]]
+    grids, view, width, height = raster.joint_pixels(tables, a.get("width", 1000, int), a.get("height", 1000, int), a.box)
+    first = a.get("color", "black")
+    colors = [first, *[c for c in raster.COLORS if c != first]]
+    image = raster.overlay(*[raster.draw(g, width, height, colors[i % len(colors)], shade="shade" in a.flags) for i, g in enumerate(grids)])
+    if "borders" in a.flags:
+        for p in a.paths[:-1]:
+            if index.is_index(spark, p):
+                image = raster.draw_borders(image, view, [Box(*r) for r in index.read_index(spark, p).catalog.select("t1", "x1", "y1", "t2", "x2", "y2").collect()])
+    write_bytes(spark, a.paths[-1], raster.png(image))
 
 
 def nearest(spark: SparkSession, a: Arguments) -> None:

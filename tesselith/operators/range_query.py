@@ -34,6 +34,11 @@ def _result(rows: DataFrame, kind: Kind, field: str | None, by: list[str]) -> Da
     return rows.groupBy(*by).agg(F.avg(value).alias("average"))
 
 
+def result_of(rows: DataFrame, kind: Kind | str, field: str | None = None) -> DataFrame:
+    """What range_query returns, of rows that are known to be in the box."""
+    return _result(rows, Kind(kind), field, [])
+
+
 def range_query(df: DataFrame, box: Box, kind: Kind | str = Kind.GET, field: str | None = None, boundary: Boundary | str = Boundary.OPEN) -> DataFrame:
     """Rows of df in a box, or an aggregate of one of their fields.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tesselith.model import Box
 from tesselith.operators.range_query import is_box_table
 from tesselith.operators.stats import mbr_box
+from tesselith.sources.files import write_bytes
 
 # Colours by name.
 COLORS = {"black": (0, 0, 0), "red": (255, 0, 0), "blue": (0, 0, 255), "green": (0, 255, 0), "orange": (255, 200, 0)}
@@ -125,12 +127,25 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def plot_png(df: DataFrame, path: str, width: int = 1000, height: int = 1000, color: str = "black", box: Box | None = None, shade: bool = False) -> tuple[int, int]:
-    """Draws points or boxes to a PNG file in the proportions of their bounding box; returns its size."""
-    box = box or mbr_box(df)
+def joint_pixels(tables: Sequence[DataFrame], width: int, height: int, box: Box | None = None) -> tuple[list[DataFrame], Box, int, int]:
+    """Pixel grids of several tables on one view, by default the box around all of them, and the view with its size in proportion."""
     if box is None:
-        raise ValueError("nothing to draw")
+        around = [b for b in map(mbr_box, tables) if b is not None]
+        if not around:
+            raise ValueError("nothing to draw")
+        box = reduce(Box.union, around)
     width, height = fit_size(box, width, height)
-    with open(path, "wb") as out:
-        out.write(png(draw(pixels(df, width, height, box), width, height, color, shade=shade)))
+    return [pixels(t, width, height, box) for t in tables], box, width, height
+
+
+def combine_tables(tables: Sequence[DataFrame], width: int = 1000, height: int = 1000, colors: Sequence[str] = tuple(COLORS), box: Box | None = None) -> np.ndarray:
+    """One image of tables with different extents, later ones on top, each in its colour."""
+    grids, _, width, height = joint_pixels(tables, width, height, box)
+    return overlay(*[draw(g, width, height, colors[i % len(colors)]) for i, g in enumerate(grids)])
+
+
+def plot_png(df: DataFrame, path: str, width: int = 1000, height: int = 1000, color: str = "black", box: Box | None = None, shade: bool = False) -> tuple[int, int]:
+    """Draws points or boxes to a PNG file, on any file system, in the proportions of their bounding box; returns its size."""
+    (grid,), _, width, height = joint_pixels([df], width, height, box)
+    write_bytes(df.sparkSession, path, png(draw(grid, width, height, color, shade=shade)))
     return width, height

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 from tesselith.model import AXES, Boundary, Box
 from tesselith.operators.range_query import is_box_table, range_query
+from tesselith.sources.files import file_system
 
-#: Strata of a count by samples, pieces into which text is cut for it, and their least and greatest size.
-STRATA, PIECES, PIECE_BYTES = 32, 4000, (64 << 10, 64 << 20)
+#: Strata of a count by samples and parts counted of each at least; pieces into which text is cut, their least and greatest
+#: size, and how many are looked at to tell their files.
+STRATA, LEAST, PIECES, PIECE_BYTES, LOOKUPS = 32, 8, 4000, (64 << 10, 64 << 20), 4000
+#: Pieces up to which text is counted whole.
+FEW_PIECES = 512
 
 
 def mbr(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -75,19 +79,21 @@ def estimate(draw: Callable[[int], list[float]], value: Callable[[float], float]
         size = count
 
 
-def _stratified(count: Callable[[list[int]], list[int]], parts: int, confidence: float, rel_error: float, seed: int, ready: Callable[[], bool] = lambda: True) -> tuple[float, float, float]:
-    """(total, low, high) over parts whose numbers count(parts) tells.
+def _stratified(count: Callable[[list[int]], list[int]], runs: list[range], confidence: float, rel_error: float, seed: int, ready: Callable[[], bool] = lambda: True) -> tuple[float, float, float]:
+    """(total, low, high) over parts whose numbers count(parts) tells; runs: parts that follow each other and are alike.
 
-    Parts that follow each other are a stratum, so every file or run of files has its share. Each round counts further parts
-    of each stratum in random order, twice as many each time; from the second on it ends once ready() and the interval is
-    narrower than rel_error of its high end. If it never is, all parts are counted and the result is exact."""
+    Strata are the runs, long ones cut into STRATA pieces. Each round counts further parts of each stratum in random order,
+    twice as many each time; once every stratum has LEAST of them it ends when it is ready() and the interval is narrower
+    than rel_error of its high end. If it never is, all parts are counted and the result is exact."""
     z, rng = NormalDist().inv_cdf((1 + confidence) / 2), np.random.default_rng(seed)
-    strata = [rng.permutation(s) for s in np.array_split(np.arange(parts), max(1, min(STRATA, parts // 4)))]
+    whole = sum(map(len, runs))
+    strata = [rng.permutation(s) for r in runs for s in np.array_split(np.arange(r.start, r.stop), max(1, min(len(r) // (2 * LEAST), STRATA * len(r) // max(1, whole))))]
     found: list[list[int]] = [[] for _ in strata]
-    each = 2
+    each = LEAST // 2
     while True:
+        each *= 2
         wanted = [s[len(f) : each] for s, f in zip(strata, found)]
-        flat = np.concatenate(wanted).tolist()
+        flat = np.concatenate(wanted).tolist() if wanted else []
         fresh = iter(count(flat) if flat else [])
         for w, f in zip(wanted, found):
             f += [next(fresh) for _ in w]
@@ -95,11 +101,39 @@ def _stratified(count: Callable[[list[int]], list[int]], parts: int, confidence:
             total = float(sum(map(sum, found)))
             return total, total, total
         total = sum(len(s) * sum(f) / len(f) for s, f in zip(strata, found))
-        half = z * math.sqrt(sum(len(s) ** 2 * variance(f) / len(f) * (1 - len(f) / len(s)) if 1 < len(f) < len(s) else 0.0 for s, f in zip(strata, found)))
+        half = z * math.sqrt(sum(len(s) ** 2 * variance(f) / len(f) * (1 - len(f) / len(s)) if len(f) < len(s) else 0.0 for s, f in zip(strata, found)))
         low, high = max(total - half, float(sum(map(sum, found)))), total + half
-        if each >= 4 and ready() and high - low < rel_error * high:
+        if ready() and high - low < rel_error * high:
             return total, low, high
-        each *= 2
+
+
+def _runs(df: DataFrame, parts: int) -> list[range]:
+    """Partitions of a scan of files in runs of whole pieces of one file; what is left over, pieces of different sizes, is runs as it is.
+
+    Spark puts pieces of equal size in the order of their files, so a run is known by its ends; up to LOOKUPS are looked at."""
+    held, looked = df._jdf.queryExecution().toRdd().partitions(), {}
+
+    def piece(i: int) -> tuple:
+        if i not in looked:
+            files = held[i].files()
+            looked[i] = (len(files), files[0].filePath().toString(), files[0].length()) if len(files) == 1 else (len(files), "", 0)
+        return looked[i]
+
+    out, todo = [], [range(parts)] if parts else []
+    while todo:
+        r = todo.pop()
+        if len(r) == 1 or len(looked) >= LOOKUPS or (piece(r[0]) == piece(r[-1]) and piece(r[0])[0] == 1):
+            out.append(r)
+        else:
+            middle = (r.start + r.stop) // 2
+            todo += [range(middle, r.stop), range(r.start, middle)]
+    joined: list[range] = []
+    for r in out:
+        if joined and len(looked) < LOOKUPS and piece(joined[-1][-1]) == piece(r[0]) and piece(r[0])[0] == 1:
+            joined[-1] = range(joined[-1].start, r.stop)
+        else:
+            joined.append(r)
+    return joined
 
 
 def _counter(df: DataFrame) -> tuple[Callable[[list[int]], list[int]], int]:
@@ -112,11 +146,11 @@ def _counter(df: DataFrame) -> tuple[Callable[[list[int]], list[int]], int]:
 def approx_line_count(spark: SparkSession, path: str, rel_error: float = 0.01, seed: int = 1, confidence: float = 0.99) -> tuple[int, int, int]:
     """(count, low, high): estimated number of non-empty lines of text files, to a relative width of ``rel_error``.
 
-    Pieces of the files are drawn, stratified by their place in the input, and their lines counted as they are read: decompressed,
+    Pieces of the files are drawn, stratified by file and place, and their lines counted as they are read: decompressed,
     whole. Files that can't be split, as those of gzip, are one piece each. Input of few pieces is counted whole, so the
     result is exact then."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    fs, pattern = file_system(spark, path)
+    size = sum(fs.getContentSummary(s.getPath()).getLength() for s in fs.globStatus(pattern) or [])
     if not size:
         return 0, 0, 0
     settings = {"spark.sql.files.maxPartitionBytes": str(min(PIECE_BYTES[1], max(PIECE_BYTES[0], size // PIECES))), "spark.sql.files.openCostInBytes": "4096"}
@@ -124,11 +158,14 @@ def approx_line_count(spark: SparkSession, path: str, rel_error: float = 0.01, s
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        count, parts = _counter(spark.read.text(path).where(F.length("value") > 0))
+        lines = spark.read.text(path).where(F.length("value") > 0)
+        count, parts = _counter(lines)
+        # Few pieces are counted whole, each as a stratum of its own.
+        runs = _runs(lines, parts) if parts > FEW_PIECES else [range(i, i + 1) for i in range(parts)]
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    total, low, high = _stratified(count, parts, confidence, rel_error, seed)
+    total, low, high = _stratified(count, runs, confidence, rel_error, seed)
     return round(total), math.floor(low), math.ceil(high)
 
 
@@ -145,7 +182,7 @@ def approx_count_range(df: DataFrame, seconds: float = 10.0, confidence: float =
     partitions are counted. An estimate of 0 is always exact."""
     began = time.monotonic()
     count, parts = _counter(df)
-    total, low, high = _stratified(count, parts, confidence, rel_error, seed, lambda: time.monotonic() - began >= seconds)
+    total, low, high = _stratified(count, [range(parts)], confidence, rel_error, seed, lambda: time.monotonic() - began >= seconds)
     return round(total), math.floor(low), math.ceil(high)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,7 @@ from tesselith.operators import grid as grids
 from tesselith.operators import join, range_query, stats
 from tesselith.operators.grid import Grid, num_partitions
 from tesselith.session import cut
+from tesselith.sources.files import exists, file_system, files_of, read_file, write_text
 
 KINDS = {"grid": True, "rtree": False, "r+tree": True}  # whether boxes are replicated
 #: The column with a row's cell, by which the data lie in folders.
@@ -35,33 +36,6 @@ FILE_ROWS, BLOCK_BYTES = 2_000_000, 128 << 20
 LISTED = 1000
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def read_file(spark: SparkSession, path: str) -> str:
-    """Text of one small file; its name may start with an underscore, which Spark's own readers pass over."""
-    fs, p = _fs(spark, path)
-    data = fs.open(p)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
-    finally:
-        data.close()
-
-
 def _in_cells(df: DataFrame, cells: DataFrame, replicate: bool) -> DataFrame:
     """df with index_cell by a table of cells that tile all of space; its size is that of the catalogue.
 
@@ -185,8 +159,8 @@ def build_index(df: DataFrame, path: str, kind: str = "grid", grid: Grid | None
 
 def _swap(spark: SparkSession, fresh: str, path: str, mode: str) -> None:
     """Gives a complete folder its name; what had it before is removed afterwards."""
-    fs, new = _fs(spark, fresh)
-    old, gone = _fs(spark, path)[1], _fs(spark, f"{path}.old-{uuid.uuid4().hex[:12]}")[1]
+    fs, new = file_system(spark, fresh)
+    old, gone = file_system(spark, path)[1], file_system(spark, f"{path}.old-{uuid.uuid4().hex[:12]}")[1]
     there = fs.exists(old)
     if there and mode == "errorifexists":
         fs.delete(new, True)
@@ -219,7 +193,7 @@ def _write_catalog(spark: SparkSession, path: str, cells: DataFrame, kind: str,
 
 
 def _data(spark: SparkSession, path: str) -> DataFrame | None:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     if not any(s.getPath().getName().startswith(f"{CELL}=") for s in fs.listStatus(p)):
         return None
     rows = spark.read.parquet(path)
@@ -257,6 +231,40 @@ def prune_pairs(a: "Index", b: "Index", wanted: Callable[[DataFrame], DataFrame]
     return wanted(pairs) if wanted else pairs
 
 
+def block_pairs(a: "Index", b: "Index", bound: int = 1_000_000) -> DataFrame:
+    """(a_cell_id, b_cell_id): all pairs of the partitions of two indexes, whether they have anything in common or not; for
+    up to ``bound`` pairs. prune_pairs finds those that matter, however many partitions there are."""
+    ids = [[r[0] for r in i.catalog.select("cell_id").limit(bound + 1).collect()] for i in (a, b)]
+    if len(ids[0]) * len(ids[1]) > bound:
+        raise ValueError(f"more than {bound} pairs; prune_pairs has no bound")
+    return a.spark.createDataFrame([(x, y) for x in ids[0] for y in ids[1]], "a_cell_id bigint, b_cell_id bigint")
+
+
+def merged(boxes: Sequence[Box]) -> list[Box]:
+    """Boxes that don't overlap each other and cover the given ones: overlapping ones are replaced by the box around them."""
+    done: list[Box] = []
+    for box in boxes:
+        while (hit := [d for d in done if d.overlaps(box)]):
+            done = [d for d in done if d not in hit]
+            for d in hit:
+                box = box.union(d)
+        done.append(box)
+    return done
+
+
+def write_mbr(spark: SparkSession, path: str, box: Box) -> None:
+    """Remembers the bounding box of the files of a folder in a hidden file of it, for known_mbr; never done unless asked for."""
+    write_text(spark, f"{path}/_mbr.json", json.dumps({"box": [*box.low, *box.high], "files": files_of(spark, path)}))
+
+
+def known_mbr(spark: SparkSession, path: str) -> Box | None:
+    """The remembered bounding box of a folder, None if there is none or a file has come, gone or changed since."""
+    if not exists(spark, f"{path}/_mbr.json"):
+        return None
+    kept = json.loads(read_file(spark, f"{path}/_mbr.json"))
+    return Box(*kept["box"]) if kept["files"] == [list(f) for f in files_of(spark, path)] else None
+
+
 def catalog_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_cell_id, b_cell_id) of partitions whose boxes overlap openly."""
     cols = ["cell_id", *LOWS, *HIGHS]
@@ -299,9 +307,18 @@ class Index:
         """(cell_id, t1..y2) of the cells."""
         return self.catalog.select("cell_id", *[F.col(f"c_{c}").alias(c) for c in (*LOWS, *HIGHS)])
 
+    def areas(self) -> DataFrame:
+        """(cell_id, t1..y2): the boxes of the partitions, numbered from 1, overlapping ones united to the box around them."""
+        boxes = [Box(*r) for r in self.catalog.orderBy("cell_id").select(*LOWS, *HIGHS).collect()]  # a row a partition
+        return self.spark.createDataFrame([(i, *b.low, *b.high) for i, b in enumerate(merged(boxes), 1)], "cell_id bigint, " + ", ".join(f"{c} double" for c in (*LOWS, *HIGHS)))
+
     def show(self) -> DataFrame:
-        """(path, t1..y2, n): one row per partition."""
-        return self.catalog.select("path", *LOWS, *HIGHS, "n").orderBy("path")
+        """(path, t1..y2, n, bytes): one row per partition, with the length of its files."""
+        sizes: dict[str, int] = {}
+        for name, size, _, _ in files_of(self.spark, self.path):
+            sizes[name.split("/")[0]] = sizes.get(name.split("/")[0], 0) + size
+        lengths = self.spark.createDataFrame([*sizes.items()], "path string, bytes bigint")
+        return self.catalog.select("path", *LOWS, *HIGHS, "n").join(F.broadcast(lengths), "path", "left").orderBy("path")
 
     def mbr(self) -> Box | None:
         """Bounding box from the catalogue alone."""

@@ -41,7 +41,7 @@ def read_master(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     kind = path.rsplit("_master.", 1)[-1]
     if kind not in ("grid", "rtree", "r+tree"):
         raise ValueError(f"unknown catalogue {path!r}")
-    from tesselith.sources.index import read_file
+    from tesselith.sources.files import read_file
 
     rows = []  # one per partition
     for line in read_file(spark, path).splitlines():
@@ -53,7 +53,7 @@ def read_master(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
 
 def write_master(spark: SparkSession, index, directory: str) -> str:
     """The catalogue of an index as a legacy file; returns its path."""
-    from tesselith.sources.index import write_text
+    from tesselith.sources.files import write_text
 
     rows = index.show().collect()  # one row per partition
     text = "".join(",".join(repr(r[c]) for c in ("t1", "x1", "y1", "t2", "x2", "y2")) + f",{r['path']}\n" for r in rows)

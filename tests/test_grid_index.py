@@ -241,3 +241,14 @@ def table_of(slabs):
         createDataFrame = staticmethod(lambda rows, schema: [(r[0], r[1:4], r[4:7]) for r in rows])
 
     return slabs.table(Rows)
+
+
+def test_areas_and_pairs_of_partitions(spark, tmp_path):
+    a, b, c = Box(0, 0, 0, 2, 2, 2), Box(5, 5, 5, 6, 6, 6), Box(1, 1, 1, 5.5, 5.5, 5.5)
+    assert index.merged([a, b]) == [a, b] and index.merged([a, b, c]) == [Box(0, 0, 0, 6, 6, 6)] and index.merged([]) == []
+    made = index.build_index(points(spark, 60), str(tmp_path / "i"), "rtree", counts=(1, 2, 2))
+    assert made.areas().count() <= 4 and made.show().where("bytes > 0").count() == made.catalog.count()
+    n = made.catalog.count()
+    assert index.block_pairs(made, made).distinct().count() == n * n
+    with pytest.raises(ValueError):
+        index.block_pairs(made, made, 3)

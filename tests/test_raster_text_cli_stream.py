@@ -67,6 +67,15 @@ def test_images(spark, tmp_path):
         R.plot_png(df.where("false"), path)
 
 
+def test_tables_of_different_extents_on_one_view(spark):
+    a = spark.createDataFrame([(0.0, 0.0, 0.0), (0.0, 1.0, 1.0)], "t double, x double, y double")
+    b = spark.createDataFrame([(0.0, 3.0, 3.0), (0.0, 4.0, 4.0)], "t double, x double, y double")
+    image = R.combine_tables([a, b], 4, 4, ["red", "blue"])
+    assert tuple(image[0, 0]) == tuple(image[1, 1]) == (255, 0, 0, 255) and tuple(image[3, 3]) == (0, 0, 255, 255) and image[2, 2, 3] == 0
+    with pytest.raises(ValueError):
+        R.combine_tables([a.where("false")])
+
+
 def test_text_files(spark, tmp_path):
     df = spark.createDataFrame([(1.5, -2.0, 3.0, 42, 7), (1e9, 0.1, 0.2, None, None)], DATAPOINT)
     for codec in ("none", "gzip"):
@@ -115,6 +124,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert os.path.exists(p("out/_SUCCESS"))
     assert run("mbr", p("d"), "shape:datapoint") == run("mbr", p("g")) == run("mbr", p("r"))
     assert run("readfile", p("g"))[0] == "grid" and len(run("readfile", p("g"), "offset:1")) == 2 and run("readfile", p("d"))[0].startswith("heap")
+    sizes = {f.name: f.stat().st_size for f in (tmp_path / "d").iterdir() if f.name.startswith("part-")}
+    assert dict((r.split(",")[0], int(r.split(",")[1])) for r in run("readfile", p("d"))[1:]) == sizes
+    assert sum(int(r.split(",")[-1]) for r in run("readfile", p("g"))[1:]) == sum(f.stat().st_size for f in (tmp_path / "g").rglob("part-*") if "index_cell" in str(f))
+    assert not os.path.exists(p("d/_mbr.json"))
+    was = run("mbr", p("d"), "shape:datapoint", "-remember")
+    assert os.path.exists(p("d/_mbr.json")) and run("mbr", p("d"), "shape:point") == was
+    with open(p("d/part-more.csv"), "w") as f:
+        f.write("50.0,5.0,5.0,1,1\n")
+    assert run("mbr", p("d"), "shape:datapoint") != was
+    os.remove(p("d/part-more.csv"))
+    more = run("rangequery", p("d"), p("two"), box, "prism:0,0,0,5,5,5", "query:get", "shape:datapoint", "concurrency:2")
+    assert more[0] == f"Result size: {n}" and os.path.exists(p("two/range_1/_SUCCESS"))
+    assert len(run("rangequery", p("d"), box, "shape:datapoint")) == n + 1 and len(run("rangequery", p("d"), box, "shape:datapoint", "show:3")) == 4
     assert len(run("sample", p("d"), "count:20", "seed:1")) == 20 and 20 < len(run("sample", p("d"), "ratio:0.1", "seed:1")) < 90
     assert len(run("sample", p("d"), "size:1.k", "seed:1", "outshape:point", "shape:datapoint")[0].split(",")) == 3
     run("plot", p("g"), p("a.png"), "width:50", "height:50", "color:green", "-borders")
@@ -123,6 +145,8 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(FileExistsError):
         cli.main(["plot", p("g"), p("a.png")], spark)
     run("plot", p("g"), p("a.png"), "-overwrite")
+    run("plot", p("g"), p("d"), p("b.png"), "shape:datapoint", "width:20", "height:20")
+    assert os.path.exists(p("b.png"))
     assert len(run("knn", p("d"), "point:5,5,5", "k:3", "shape:datapoint")) == 3 and len(run("tail", p("d"), "count:4")) == 4
     run("shuffle", p("d"), p("s"), "seed:1")
     assert run("count", p("s"), "-local") == ["500"]

@@ -30,10 +30,31 @@ def test_counts(spark, tmp_path):
     path = str(tmp_path / "lines")
     spark.range(40_000).selectExpr("case when id % 10 = 0 then '' else repeat('ab', int(id % 20)) || 'x' end value").coalesce(2).write.text(path)
     exact = stats.line_count(spark, path).first()[0]
-    assert exact == 36_000 and abs(stats.approx_line_count(spark, path, 0.05) - 40_000) < 4_000
+    assert exact == 36_000 and abs(stats.approx_line_count(spark, path, 0.05)[0] - 36_000) < 1_000
     assert stats.line_count(spark, path).columns == ["cnt"]
 
 
+def test_lines_of_unlike_and_compressed_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stats, "PIECE_BYTES", (2048, 64 << 20))
+    unlike, zipped = str(tmp_path / "unlike"), str(tmp_path / "zipped")
+    parts = [spark.range(60_000).selectExpr("repeat('long', 10) value"), spark.range(90_000).selectExpr("if(id % 3 = 0, '', 'x') value")]
+    for i, df in enumerate(parts):
+        df.coalesce(1).write.text(f"{unlike}/{i}")
+    spark.read.option("recursiveFileLookup", True).text(unlike).repartition(6).write.text(zipped, compression="gzip")
+    counted = []
+    count = stats._counter
+    monkeypatch.setattr(stats, "_counter", lambda df: (lambda c, n: (lambda p: counted.extend(p) or c(p), n))(*count(df)))
+    for path in (f"{unlike}/*", zipped):
+        counted.clear()
+        value, low, high = stats.approx_line_count(spark, path)
+        assert low <= 120_000 <= high and abs(value - 120_000) < 1200 and high - low <= 0.0101 * high
+        assert len(set(counted)) == len(counted) < 600
+    assert value == low == high  # six files that can't be split are counted whole
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert stats.approx_line_count(spark, str(empty)) == (0, 0, 0)
+
+
 def test_estimate():
     numbers = iter([3.0, 5.0] * 100_000)
     low, high = stats.estimate(lambda n: [next(numbers) for _ in range(n)], lambda m: 100 / m, lambda lo, hi: hi - lo < 0.01 * hi)
