@@ -26,12 +26,13 @@ def water_fill(available: Mapping[str, int], share: Mapping[str, float], repeats
     out = {s: 0.0 for s in share}
     limit = {s: float(available.get(s, 0)) * repeats[s] for s, w in share.items() if w > 0}
     # Those that reach their limit first, in the order of the level at which they do.
-    order = sorted(limit, key=lambda s: limit[s] / share[s])
+    top = max(share.values(), default=1.0) or 1.0
+    order = sorted(limit, key=lambda s: limit[s] / (share[s] / top))
     weights = [*accumulate(share[s] for s in reversed(order))][::-1]  # of a source and all after it
     left = float(total)
     for i, s in enumerate(order):
-        if left * share[s] / weights[i] < limit[s]:
-            return out | {r: left * share[r] / weights[i] for r in order[i:]}
+        if left * (share[s] / weights[i]) < limit[s]:
+            return out | {r: min(limit[r], left * (share[r] / weights[i])) for r in order[i:]}
         out[s] = limit[s]
         left -= limit[s]
     return out
