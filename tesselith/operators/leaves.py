@@ -27,58 +27,71 @@ GUESTS, PAIRS = 16_384, 2_000_000
 
 class Volumes:
     """A hierarchy of bounding volumes over boxes, each level halved at the median of its widest axis; built and queried
-    level by level for all boxes and locations at once."""
+    level by level for all boxes and locations at once. All volumes of a level have equally many places, so a level is
+    one array; places that no box is left for hold -1."""
 
     LEAF = 8
 
     def __init__(self, low: np.ndarray, high: np.ndarray):
         n = len(low)
-        self.order, starts = np.arange(n), np.zeros(1, int)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.spans: list[tuple[np.ndarray, np.ndarray]] = []
+        self.order, self.levels, self.depth = np.empty(0, int), [], 0
         if not n:
             return
-        middle = np.clip(low / 2 + high / 2, -1e300, 1e300)
-        depth = max(0, math.ceil(math.log2(n / self.LEAF)))
-        for level in range(depth + 1):
-            self.spans.append((starts, np.append(starts[1:], n) - starts))
-            self.levels.append((np.minimum.reduceat(low[self.order], starts), np.maximum.reduceat(high[self.order], starts)))
-            if level < depth:
-                at, ends = middle[self.order], np.append(starts[1:], n)
-                axis = np.argmax(np.maximum.reduceat(at, starts) - np.minimum.reduceat(at, starts), 1)
-                node = np.repeat(np.arange(len(starts)), ends - starts)
-                self.order = self.order[np.lexsort((at[np.arange(n), axis[node]], node))]
-                starts = np.column_stack([starts, (starts + ends) // 2]).ravel()
-        self.starts, self.sizes = self.spans[-1]
+        self.depth = max(0, math.ceil(math.log2(n / self.LEAF)))
+        own = np.zeros(-(-n // 2**self.depth) * 2**self.depth, int)  # the places left over repeat box 0
+        own[:n] = np.arange(n)
+        spare = np.arange(len(own)) >= n
+        at = np.ascontiguousarray(np.clip(low / 2 + high / 2, -1e300, 1e300)[own].T)
+        for level in range(self.depth):
+            at = at.reshape(3, 2**level, -1)
+            axis = np.argmax(at.max(2) - at.min(2), 0)
+            values = at[axis, np.arange(2**level)]
+            half = np.argpartition(values, values.shape[1] // 2, axis=1)
+            half += (np.arange(2**level) * values.shape[1])[:, None]
+            half = half.ravel()
+            at, own, spare = at.reshape(3, -1)[:, half], own[half], spare[half]
+        # The bounds from below: of the boxes, then of pairs of volumes.
+        lows, highs = (np.ascontiguousarray(v[own].T).reshape(3, 2**self.depth, -1) for v in (low, high))
+        lows, highs = lows.min(2), highs.max(2)
+        for _ in range(self.depth + 1):
+            self.levels.insert(0, (lows, highs))
+            if lows.shape[1] > 1:
+                lows, highs = np.minimum(lows[:, ::2], lows[:, 1::2]), np.maximum(highs[:, ::2], highs[:, 1::2])
+        self.order = np.where(spare, -1, own)
+
+    def places(self, level: int) -> np.ndarray:
+        """The boxes of each volume of a level, one row a volume."""
+        return self.order.reshape(2**level, -1)
 
     def candidates(self, p: np.ndarray, reach: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows of p, numbers of boxes) of boxes that may hold them, faces included, or that may be within reach of them;
         in portions of bounded size, the rows of p in order from portion to portion."""
         if not self.levels:
             return
+        axes = np.ascontiguousarray(p.T)
         for first in range(0, len(p), GUESTS):
-            who, node = np.arange(first, min(len(p), first + GUESTS)), None
-            for low, high in self.levels:
-                node = np.zeros(len(who), int) if node is None else node
-                at = p[who]
-                if reach is None:
-                    inside = ((at >= low[node]) & (at <= high[node])).all(1)
-                else:
-                    gap = np.maximum(np.maximum(low[node] - at, at - high[node]), 0)
-                    inside = np.sqrt((gap * gap).sum(1)) <= reach[who]
-                who, node = who[inside], node[inside]
-                if low is not self.levels[-1][0]:
+            who, node = np.arange(first, min(len(p), first + GUESTS)), np.zeros(min(len(p), first + GUESTS) - first, int)
+            for level, (low, high) in enumerate(self.levels):
+                if level:
                     who, node = np.repeat(who, 2), np.column_stack([node * 2, node * 2 + 1]).ravel()
-            size = self.sizes[node]
-            ends = np.cumsum(size)
-            start = 0
-            while start < len(who):
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
-                k = size[start:stop]
-                offset = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                yield np.repeat(who[start:stop], k), self.order[np.repeat(self.starts[node[start:stop]], k) + offset]
-                start = stop
-
+                far = 0.0
+                for axis in range(3):
+                    v, l, h = axes[axis][who], low[axis][node], high[axis][node]
+                    if reach is None:  # what one axis tells apart, the next needn't look at
+                        inside = (v >= l) & (v <= h)
+                        who, node = who[inside], node[inside]
+                    else:
+                        gap = np.maximum(np.maximum(l - v, v - h), 0)
+                        far = far + gap * gap
+                if reach is not None:
+                    inside = np.sqrt(far) <= reach[who]
+                    who, node = who[inside], node[inside]
+            wide = self.places(self.depth).shape[1]
+            step = max(1, PAIRS // wide)
+            for start in range(0, len(who), step):
+                items = self.places(self.depth)[node[start : start + step]]
+                there = items >= 0
+                yield np.repeat(who[start : start + step], there.sum(1)), items[there]
 
 
 class Places:
@@ -94,19 +107,19 @@ class Places:
         out = np.full(len(p), np.inf)
         if n < k:
             return out
-        depth = max(0, min(len(v.levels) - 1, int(math.log2(n / k)) - 1))  # its volumes hold k at least
+        depth = max(0, min(v.depth, int(math.log2(n / k)) - 1))
+        while depth and (v.places(depth) >= 0).sum(1).min() < k:  # its volumes hold k at least
+            depth -= 1
         for first in range(0, len(p), block := max(1, PAIRS // (8 * k + 8))):
             q = p[first : first + block]
             node = np.zeros(len(q), int)
             for low, high in v.levels[1 : depth + 1]:
-                gaps = [np.maximum(np.maximum(low[c] - q, q - high[c]), 0) for c in (node * 2, node * 2 + 1)]
-                left, right = ((g * g).sum(1) for g in gaps)
+                gaps = [np.maximum(np.maximum(low[:, c] - q.T, q.T - high[:, c]), 0) for c in (node * 2, node * 2 + 1)]
+                left, right = ((g * g).sum(0) for g in gaps)
                 node = node * 2 + (right < left)
-            starts, sizes = v.spans[depth]
-            wide = int(sizes.max())
-            at = starts[node][:, None] + np.minimum(np.arange(wide), sizes[node][:, None] - 1)
-            d = np.sqrt(((self.at[v.order[at]] - q[:, None]) ** 2).sum(2))
-            d[np.arange(wide) >= sizes[node][:, None]] = np.inf
+            items = v.places(depth)[node]
+            d = np.sqrt(((self.at[items] - q[:, None]) ** 2).sum(2))
+            d[items < 0] = np.inf
             out[first : first + block] = np.partition(d, k - 1, axis=1)[:, k - 1]
         return out
 

@@ -368,9 +368,11 @@ class _Near:
     """Homes as boxes of the distance around their locations."""
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, distance: float, ordered: bool):
-        self.rows = self.ids, self.at = once(ids, at)
+        self.ids, self.at = once(ids, at)
         self.distance, self.ordered = distance, ordered
         self.volumes = Volumes(self.at - _wide(distance), self.at + _wide(distance))
+        order = self.volumes.order[self.volumes.order >= 0]
+        self.rows = self.ids[order], self.at[order]  # neighbours follow each other, which memory likes
 
     def find(self, ids: np.ndarray, at: np.ndarray, role: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for row, item in self.volumes.candidates(at):
