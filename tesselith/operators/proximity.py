@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselith.operators.leaves import FELLOW, HOME, LEAF_ROWS, PAIRS, SLICE_ROWS, VISITOR, Top, Volumes, leaves_of, mixed_hash, once, placed_rows, placed_schema, sample_of, wanted_rows, work
+from tesselith.session import cut
 
 #: Triangles up to which one hierarchy is broadcast (about 100 bytes each).
 BROADCAST_TRIANGLES = 200_000
@@ -329,7 +330,7 @@ def regions_of(points: DataFrame, regions: DataFrame, bound: int = BROADCAST_TRI
                 yield pd.DataFrame({"region_id": region.astype("int64"), "point_id": pdf["point_id"].to_numpy()[row]})
 
         return pts.mapInPandas(locate, "region_id bigint, point_id bigint").distinct()
-    return _regions_by_leaf(pts, tris, leaf_rows, slice_rows).distinct()
+    return _regions_by_leaf(pts, cut(tris), leaf_rows, slice_rows).distinct()  # triangulated once
 
 
 class _Regions:

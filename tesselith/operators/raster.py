@@ -74,6 +74,41 @@ def _float(v: Column, low: float, high: float, size: int) -> Column:
     return F.lit(0.0) if not high > low else (v - F.lit(low)) * F.lit(float(size)) / F.lit(high - low)
 
 
+def line_pixels(lines: DataFrame, width: int, height: int, box: Box) -> DataFrame:
+    """(px, py, n): how many lines (ax, ay, bx, by) cross each pixel of a view; only pixels in use.
+
+    A line is a run of pixels along the axis on which it is longer. Only its part within the view is walked along, however long
+    it is. Lines with a null, NaN or infinite end aren't drawn; one without length is a pixel; repeated lines count each time."""
+    good = F.lit(True)
+    for c in ("ax", "ay", "bx", "by"):
+        good &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    px = lines.where(good).select(*[_float(F.col(f"{e}{a}"), l, h, n).alias(f"{e}{a}") for e in "ab" for a, l, h, n in (("x", box.x1, box.x2, width), ("y", box.y1, box.y2, height))])
+    # The shares of the way at which the line enters and leaves the view.
+    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
+    for a, n in (("x", width), ("y", height)):
+        start, way = F.col(f"a{a}"), F.col(f"b{a}") - F.col(f"a{a}")
+        at = [F.when(way != 0, (F.lit(float(e)) - start) / way) for e in (0, n)]
+        beside = (way == 0) & ((start < 0) | (start >= n))
+        enter.append(F.when(beside, F.lit(2.0)).otherwise(F.coalesce(F.least(*at), F.lit(0.0))))
+        leave.append(F.coalesce(F.greatest(*at), F.lit(1.0)))
+    seen = px.withColumns({"__in": F.greatest(*enter), "__out": F.least(*leave)}).where("__in <= __out")
+    long = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) * (F.col("__out") - F.col("__in"))
+    steps = seen.withColumn("__n", F.greatest(F.lit(1).cast("bigint"), 2 * F.ceil(long)))  # twice a pixel, as ends lie on their edges
+    share = lambda i: F.col("__in") + (F.col("__out") - F.col("__in")) * i / F.col("__n")
+    at = lambda i, a: F.floor(F.col(f"a{a}") + share(i) * (F.col(f"b{a}") - F.col(f"a{a}")))
+    run = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("__n")), lambda i: F.struct(at(i, "x").alias("px"), at(i, "y").alias("py")))
+    cells = steps.select(F.explode(F.array_distinct(run)).alias("p")).select("p.px", "p.py")
+    return cells.where((F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height)).groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ring_pixels(regions: DataFrame, width: int, height: int, box: Box, ring: str = "ring") -> DataFrame:
+    """(px, py, n) of the outlines of rings, array<struct<x, y>>; an open ring is closed."""
+    points = F.col(f"`{ring}`")
+    edges = F.zip_with(points, F.concat(F.slice(points, F.lit(2), F.greatest(F.lit(1), F.size(points) - 1)), F.slice(points, 1, 1)), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    lines = regions.where(points.isNotNull() & (F.size(points) > 1)).select(F.explode(edges).alias("e")).select(*[F.col(f"e.{c}").cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
+    return line_pixels(lines, width, height, box)
+
+
 def combine_pixels(grids: Sequence[DataFrame]) -> DataFrame:
     """Pixel grids of the same box and size laid over each other: counts add up."""
     all_ = grids[0]

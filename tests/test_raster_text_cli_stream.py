@@ -1,3 +1,4 @@
+import math
 import os
 import struct
 import zlib
@@ -67,6 +68,20 @@ def test_images(spark, tmp_path):
         R.plot_png(df.where("false"), path)
 
 
+def test_lines_and_rings(spark):
+    view = Box(0, 0, 0, 1, 8, 8)
+    lines = [(0.5, 0.5, 3.5, 0.5), (0.5, 0.5, 0.5, 3.5), (1e9, 1e9, -1e9, -1e9), (20.0, 1.0, 20.0, 5.0), (6.5, 6.5, 6.5, 6.5), (None, 1.0, 2.0, 2.0), (math.nan, 1.0, 2.0, 2.0), (math.inf, 1.0, 2.0, 2.0), (-5.0, 7.5, 50.0, 7.5)]
+    got = {(r["px"], r["py"]): r["n"] for r in R.line_pixels(spark.createDataFrame(lines, "ax double, ay double, bx double, by double"), 8, 8, view).collect()}
+    want = {}
+    for cells in ([(x, 0) for x in range(4)], [(0, y) for y in range(4)], [(i, i) for i in range(8)], [(6, 6)], [(x, 7) for x in range(8)]):
+        for c in cells:
+            want[c] = want.get(c, 0) + 1
+    assert got == want
+    rings = spark.createDataFrame([([{"x": 1.5, "y": 1.5}, {"x": 5.5, "y": 1.5}, {"x": 5.5, "y": 4.5}, {"x": 1.5, "y": 4.5}],), ([],), (None,), ([{"x": 1.0, "y": None}, {"x": 2.0, "y": 2.0}],)], "ring array<struct<x:double,y:double>>")
+    got = {(r["px"], r["py"]) for r in R.ring_pixels(rings, 8, 8, view).collect()}
+    assert got == {(x, y) for x in range(1, 6) for y in (1, 4)} | {(x, y) for x in (1, 5) for y in range(1, 5)}
+
+
 def test_tables_of_different_extents_on_one_view(spark):
     a = spark.createDataFrame([(0.0, 0.0, 0.0), (0.0, 1.0, 1.0)], "t double, x double, y double")
     b = spark.createDataFrame([(0.0, 3.0, 3.0), (0.0, 4.0, 4.0)], "t double, x double, y double")
