@@ -46,9 +46,11 @@ def rule_table(spark: SparkSession, fmt: LineFormat) -> DataFrame:
 
 def _split(line: Column, fmt: LineFormat) -> tuple[Column, Column]:
     """Whether the line's quoting is sound, and its cells as array<struct<text, num>>; the cells are null if it isn't or there is another number of them."""
-    bare = F.regexp_replace(line, r"\r\z", "")
-    sound = bare.rlike(QUOTED_LINE)
-    raw = F.when(sound, F.regexp_extract_all(F.concat(F.lit(","), bare), F.lit(f",({FIELD})"), F.lit(1)))
+    bare = F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    # Without a quote the line is sound and its commas part the cells; that spares the patterns.
+    quoted = bare.contains('"')
+    sound = ~quoted | bare.rlike(QUOTED_LINE)
+    raw = F.when(~quoted, F.split(bare, ",", -1)).when(sound, F.regexp_extract_all(F.concat(F.lit(","), bare), F.lit(f",({FIELD})"), F.lit(1)))
     return sound, raw
 
 
