@@ -10,6 +10,7 @@ two rounds of interval sums and a short ordered run, so no source is ever sorted
 from __future__ import annotations
 
 from collections.abc import Mapping
+from fractions import Fraction
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -26,8 +27,7 @@ def water_fill(available: Mapping[str, int], share: Mapping[str, float], repeats
     out = {s: 0.0 for s in share}
     limit = {s: float(available.get(s, 0)) * repeats[s] for s, w in share.items() if w > 0}
     # Those that reach their limit first, in the order of the level at which they do.
-    top = max(share.values(), default=1.0) or 1.0
-    order = sorted(limit, key=lambda s: limit[s] / (share[s] / top))
+    order = sorted(limit, key=lambda s: Fraction(limit[s]) / Fraction(share[s]))
     weights = [*accumulate(share[s] for s in reversed(order))][::-1]  # of a source and all after it
     left = float(total)
     for i, s in enumerate(order):
@@ -39,7 +39,7 @@ def water_fill(available: Mapping[str, int], share: Mapping[str, float], repeats
 
 
 def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """source -> (share, limit). Rows without a source, and shares that are null, NaN or not above 0, aim at nothing;
+    """source -> (share, limit). Rows without a source, and shares that are null, NaN, infinite or not above 0, aim at nothing;
     of a repeated source the shares add up and the highest limit holds; a null limit is 1, one below 0 is 0."""
     rows = targets.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -50,7 +50,7 @@ def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
         if r["source"] is not None:
             w, m = out.get(r["source"], (0.0, 0))
             limit = 1 if r["max_repeats"] is None else max(0, r["max_repeats"])
-            out[r["source"]] = (w + (share if share is not None and share > 0 else 0.0), max(m, limit))
+            out[r["source"]] = (w + (share if share is not None and 0 < share < float("inf") else 0.0), max(m, limit))
     return out
 
 
