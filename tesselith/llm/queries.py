@@ -147,7 +147,7 @@ p as (select cast(unnest([{", ".join(map(str, PERMILLE))}]) as integer) permille
 
 ORACLES = {
     "p5_check": f"""select least(count(*), {SAMPLE_SIZE})::bigint n_rows, least(count(*), {SAMPLE_SIZE})::bigint n_ids, 0::bigint n_foreign,
-case when count(*) >= {SAMPLE_SIZE} then {SAMPLE_SIZE // SAMPLE_SLOTS} else null end::bigint full_parts from points""",
+case when count(*) >= {SAMPLE_SIZE} then {SAMPLE_SIZE // SAMPLE_SLOTS} else 0 end::bigint full_parts from points""",
     "p3_percentiles": _RANKED + "select query_field, permille, n, field_value as value from r join p on i = greatest(1, (permille * n + 999) // 1000)",
     "p3_check": _RANKED + "select query_field, permille, n, true as holds from r join p on i = greatest(1, (permille * n + 999) // 1000)",
     "p6_check": """select distinct container_kind, (select count(*) from documents where text is not null)::bigint n_docs, true as conserved, 0::bigint wrong_splits, 0::bigint overfull, 0::bigint torn
